@@ -39,7 +39,7 @@ def weighted_percentiles(df: DataFrame, keys: Sequence[str], value: str, weight:
     point = F.struct(F.col("_c").alias("c"), F.col("_x").alias("x"))
     aggs = [F.max("n").alias("n"), F.max(F.struct("_c", "_x")).alias("_top")]
     for i, level in enumerate(LEVELS):
-        aggs += [F.max(F.when(F.col("_c") < level, point)).alias(f"_lo{i}"), F.min(F.when(F.col("_c") >= level, point)).alias(f"_hi{i}")]
+        aggs += [F.max(F.when(F.col("_c") <= level, point)).alias(f"_lo{i}"), F.min(F.when(F.col("_c") > level, point)).alias(f"_hi{i}")]
     got = cum.groupBy(*keys).agg(*aggs)
     out = []
     for i, (level, name) in enumerate(zip(LEVELS, LEVEL_NAMES)):

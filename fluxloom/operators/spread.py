@@ -32,6 +32,12 @@ def row_salt(df: DataFrame, keys: Sequence[str], parts: int = SALTS, spread: Seq
     return F.pmod(F.xxhash64(*spread), F.lit(parts)).cast("int")
 
 
+def fan_out(df: DataFrame, *columns: str | Column) -> DataFrame:
+    """Shuffle ahead of a row-multiplying step, into a number of tasks that adaptive
+    execution does not shrink by the (still small) input size."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+
+
 def attach(rows: DataFrame, facts: DataFrame, keys: Sequence[str], how: str = "inner",
            parts: int = SALTS, spread: Sequence[str] | None = None) -> DataFrame:
     """Join one or few fact rows per key to many rows per key."""
@@ -41,22 +47,35 @@ def attach(rows: DataFrame, facts: DataFrame, keys: Sequence[str], how: str = "i
     return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
 
 
-def rank_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], piece: Column,
-              rank: str = "rn", size: str = "n", keep_piece: str | None = None) -> DataFrame:
-    """Exact 1-based row number and group size; ``piece`` must not decrease along ``order``."""
+def ordered(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], piece: Column,
+            rank: str = "rn", size: str = "n", previous: str | None = None) -> DataFrame:
+    """Exact 1-based row number, group size and the previous row's first order column.
+
+    ``piece`` must not decrease along ``order``. One pass sorts each piece; a table
+    with one row per piece carries counts and last values across pieces.
+    """
     keys = list(keys)
     pieces = df.withColumn("_piece", piece)
-    counts = pieces.groupBy(*keys, "_piece").agg(F.count(F.lit(1)).alias("_c"))
-    group = W.partitionBy(*keys)
-    offsets = counts.select(
-        *keys, "_piece",
-        (F.sum("_c").over(group.orderBy("_piece").rowsBetween(W.unboundedPreceding, 0)) - F.col("_c")).alias("_before"),
-        F.sum("_c").over(group).alias(size),
-    )
-    local = pieces.withColumn("_local", F.row_number().over(W.partitionBy(*keys, "_piece").orderBy(*order)))
-    out = local.join(offsets, [*keys, "_piece"]).withColumn(rank, F.col("_before") + F.col("_local"))
-    out = out.drop("_before", "_local")
-    return out.withColumnRenamed("_piece", keep_piece) if keep_piece else out.drop("_piece")
+    aggs = [F.count(F.lit(1)).alias("_c")]
+    here, along, group = W.partitionBy(*keys, "_piece").orderBy(*order), W.partitionBy(*keys).orderBy("_piece"), W.partitionBy(*keys)
+    carried = [
+        (F.sum("_c").over(along.rowsBetween(W.unboundedPreceding, 0)) - F.col("_c")).alias("_before"),
+        F.sum("_c").over(group).alias(size)]
+    local = pieces.withColumn("_local", F.row_number().over(here))
+    if previous:
+        first = order[0]
+        aggs.append(F.max(first).alias("_end"))
+        carried.append(F.lag("_end").over(along).alias("_prior"))
+        local = local.withColumn("_lag", F.lag(first).over(here))
+    facts = pieces.groupBy(*keys, "_piece").agg(*aggs).select(*keys, "_piece", *carried)
+    out = local.join(facts, [*keys, "_piece"]).withColumn(rank, F.col("_before") + F.col("_local"))
+    if previous:
+        out = out.withColumn(previous, F.coalesce("_lag", "_prior")).drop("_lag", "_prior")
+    return out.drop("_piece", "_before", "_local")
+
+
+def rank_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], piece: Column) -> DataFrame:
+    return ordered(df, keys, order, piece)
 
 
 def time_piece(t: str | Column = "t", width_days: float = HOUR) -> Column:
@@ -157,13 +176,7 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column
 
 def previous_value(df: DataFrame, keys: Sequence[str], order: str, piece: Column, name: str = "previous") -> DataFrame:
     """Value of ``order`` in the row before, also across pieces."""
-    keys = list(keys)
-    pieces = df.withColumn("_piece", piece)
-    last = pieces.groupBy(*keys, "_piece").agg(F.max(order).alias("_last"))
-    before = last.select(*keys, "_piece", F.lag("_last").over(W.partitionBy(*keys).orderBy("_piece")).alias("_before"))
-    local = pieces.withColumn("_local", F.lag(order).over(W.partitionBy(*keys, "_piece").orderBy(order)))
-    return local.join(before, [*keys, "_piece"]).withColumn(name, F.coalesce("_local", "_before")).drop(
-        "_piece", "_local", "_before")
+    return ordered(df, keys, [order], piece, "_rn", "_n", name).drop("_rn", "_n")
 
 
 def value_piece(df: DataFrame, keys: Sequence[str], value: str, parts: int = 256) -> DataFrame:

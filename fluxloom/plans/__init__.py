@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-TOPICS = ("scans", "folds")
+TOPICS = ("scans", "folds", "ordered", "searches", "surveys")
 
 
 def load() -> None:
