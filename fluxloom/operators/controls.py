@@ -13,6 +13,7 @@ from fluxloom.functions.fold import phase_hours
 from fluxloom.operators import search, series, signals
 from fluxloom.operators.folding import exposure
 from fluxloom.operators.spread import attach
+from fluxloom.session import cut
 
 
 @dataclass(frozen=True)
@@ -72,10 +73,10 @@ def candidate_injections(det: DataFrame, offsets: Sequence[float] = (0.25, 0.5,
 
 def both_branches(df: DataFrame, keys: Sequence[str], cfg: SurveyConfig) -> DataFrame:
     """The rows as they are and with a running-median trend divided out (errors unchanged)."""
-    plain = df.withColumnRenamed("flux_err", "_err")
+    plain = cut(df.withColumnRenamed("flux_err", "_err"))
     flat = series.detrend(plain, cfg.detrend_window_days, True, cfg.gap_fraction, keys).drop("run")
     both = plain.withColumn("branch", F.lit(BRANCHES[0])).unionByName(flat.withColumn("branch", F.lit(BRANCHES[1])))
-    return both.withColumnRenamed("_err", "flux_err")
+    return cut(both.withColumnRenamed("_err", "flux_err"))
 
 
 def control_rows(df: DataFrame, cfg: SurveyConfig) -> DataFrame:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime SQL settings every job relies on; safe to set on a shared session.
 RUNTIME_CONF = {
@@ -43,9 +44,26 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, memory: s
     return spark
 
 
+_private_folder: str | None = None
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
     """Folder shared by the cluster; a private one only where none is configured."""
+    global _private_folder
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = os.path.join(tempfile.mkdtemp(prefix="spark-", dir="/tmp"), "checkpoints")
-    return folder
+    if folder:
+        return folder
+    if _private_folder is None:
+        _private_folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return _private_folder
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write an intermediate table to the shared folder and read it back.
+
+    Used where a result feeds several later passes: it is computed once, the plan
+    stays small, and a lost executor costs a re-read instead of a recomputation.
+    """
+    path = f"{checkpoint_folder(df.sparkSession).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
