@@ -36,8 +36,8 @@ def weighted_percentiles(df: DataFrame, keys: Sequence[str], value: str, weight:
     weighted = F.col("_total") > 0
     cum = running_sum(shared, keys, ["_x", "_wt"], F.col("_vp"), F.when(weighted, F.col("_wt")).otherwise(1.0), "_sum")
     cum = cum.withColumn("_c", F.col("_sum") / F.when(weighted, F.col("_total")).otherwise(F.col("n")))
-    point = F.struct(F.col("_c").alias("c"), F.col("_x").alias("x"))
-    aggs = [F.max("n").alias("n"), F.max(F.struct("_c", "_x")).alias("_top")]
+    point = F.struct(F.col("_x").alias("x"), F.col("_c").alias("c"))  # c rises with x
+    aggs = [F.max("n").alias("n"), F.max("_x").alias("_top")]
     for i, level in enumerate(LEVELS):
         aggs += [F.max(F.when(F.col("_c") <= level, point)).alias(f"_lo{i}"), F.min(F.when(F.col("_c") > level, point)).alias(f"_hi{i}")]
     got = cum.groupBy(*keys).agg(*aggs)
@@ -45,7 +45,7 @@ def weighted_percentiles(df: DataFrame, keys: Sequence[str], value: str, weight:
     for i, (level, name) in enumerate(zip(LEVELS, LEVEL_NAMES)):
         lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
         between = lo["x"] + (F.lit(level) - lo["c"]) / (hi["c"] - lo["c"]) * (hi["x"] - lo["x"])
-        out.append(F.when(hi.isNull(), F.col("_top._x")).when(lo.isNull(), hi["x"]).otherwise(between).alias(name))
+        out.append(F.when(hi.isNull(), F.col("_top")).when(lo.isNull(), hi["x"]).otherwise(between).alias(name))
     return got.select(*keys, "n", *out).withColumn("plus", F.col("p84") - F.col("median")).withColumn(
         "minus", F.col("median") - F.col("p16"))
 

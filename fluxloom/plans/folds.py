@@ -171,10 +171,10 @@ def weighted_values(spark, folder):
 
 def wpct_sql(source: str, keys: str, cols: str) -> str:
     """Weighted percentiles of ``source(keys, x, w)``."""
-    point = "struct_pack(c := c, x := x)"
+    point = "struct_pack(x := x, c := c)"
     lo, hi = (lambda l: f"(max({point}) FILTER (WHERE c <= {l}))"), (lambda l: f"(min({point}) FILTER (WHERE c > {l}))")
     level = lambda l, n: (
-        f"CASE WHEN {hi(l)} IS NULL THEN max({point}).x WHEN {lo(l)} IS NULL THEN {hi(l)}.x "
+        f"CASE WHEN {hi(l)} IS NULL THEN max(x) WHEN {lo(l)} IS NULL THEN {hi(l)}.x "
         f"ELSE {lo(l)}.x + ({l} - {lo(l)}.c) / ({hi(l)}.c - {lo(l)}.c) * ({hi(l)}.x - {lo(l)}.x) END AS {n}")
     return f"""wt AS (SELECT *, sum(w) OVER (PARTITION BY {keys}) AS tw, count(*) OVER (PARTITION BY {keys}) AS tn FROM {source} WHERE w >= 0),
 wc AS (SELECT *, sum(CASE WHEN tw > 0 THEN w ELSE 1e0 END) OVER (PARTITION BY {keys} ORDER BY x, w ROWS UNBOUNDED PRECEDING) / CASE WHEN tw > 0 THEN tw ELSE tn END AS c FROM wt),
