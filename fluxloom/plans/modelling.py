@@ -200,10 +200,10 @@ c4 AS (SELECT *, CASE WHEN b / distance_rs < 1 THEN degrees(acos(CASE WHEN b / d
   CASE WHEN reason IS NULL THEN t_eq * 1.380649e-23 / ((m_planet * (6.67430e-11 * 5.9722e24) / pow(r_planet * 6.3710e6, 2)) * (2.3e0 * 1.673557e-27)) / 1000 END AS scale_height_km,
   numax_uhz / 3090 AS nr, teff_k / 5772 AS tr, dnu_uhz / 135.1e0 AS dr, sqrt(sigma_odd * sigma_odd + 25e0) AS so FROM c3),
 c5 AS (SELECT *, sin(radians(inclination_deg)) AS si, CASE WHEN sigma_arcsec > 0 THEN sqrt(pow(ra_offset * cos(radians(dec)), 2) + dec_offset * dec_offset) / sigma_arcsec END AS centroid_z FROM c4)
-SELECT l_orderkey, line, reason, grazing, round(k, 7) AS k, round(a_rs, 7) AS a_rs, round(t14_hours, 7) AS t14_hours, round(t23_hours, 7) AS t23_hours, round((t14_hours - t23_hours) * 0.5e0, 7) AS t12_hours, round(distance_rs, 7) AS distance_rs,
+SELECT l_orderkey, line, reason, grazing, round(k, 9) AS k, round(a_rs, 7) AS a_rs, round(t14_hours, 7) AS t14_hours, round(t23_hours, 7) AS t23_hours, round((t14_hours - t23_hours) * 0.5e0, 7) AS t12_hours, round(distance_rs, 7) AS distance_rs,
   round(inclination_deg, 7) AS inclination_deg, round(sq * 2 * q2, 7) AS u1, round(sq * (1 - q2 * 2), 7) AS u2,
   round(m_planet * si * 0.0895e0 * CASE WHEN reason IS NULL THEN pow(m_star, -2e0 / 3) * pow(period, -1e0 / 3) / sqrt(1 - e * e) END, 7) AS rv_semi_amplitude,
-  round(CASE WHEN reason IS NULL THEN m_planet * 3.00348e-6 / m_star * a_au / distance_pc * 1e6 END, 7) AS astrometric_uas, round(scale_height_km, 7) AS scale_height_km,
+  round(CASE WHEN reason IS NULL THEN m_planet * 3.00348e-6 / m_star * a_au / distance_pc * 1e6 END, 10) AS astrometric_uas, round(scale_height_km, 7) AS scale_height_km,
   round(r_planet * 6371 * 10 * scale_height_km / pow(r_star * 695700e0, 2) * 1e6, 7) AS transmission_ppm,
   round(CASE WHEN reason IS NULL THEN m_planet * 3.00348e-6 / m_star * pow(r_star * 0.00465047e0 / a_au, 3) * si * si * 1.2e6 END, 7) AS ellipsoidal_ppm,
   round(centroid_z, 7) AS centroid_z, round(exp(centroid_z * centroid_z * -0.5e0), 7) AS centroid_p, round(CASE WHEN sigma_odd > 0 THEN abs(depth_odd - depth_even) / so END, 7) AS odd_even_z,
@@ -215,4 +215,4 @@ SELECT l_orderkey, line, reason, grazing, round(k, 7) AS k, round(a_rs, 7) AS a_
 def _(spark, folder):
     j = A.table(spark, folder, "lineitem").join(A.table(spark, folder, "part"), F.expr("p_partkey = l_partkey"))
     out = derive_parameters(j.selectExpr("l_orderkey", "l_linenumber AS line", *[f"{e} AS {n}" for n, e in CAT]))
-    return out.select("l_orderkey", "line", "reason", "grazing", *[F.round(c, 9 if c == "log10_density_sigma" else 7).alias(c) for c in FLOATS], "habitable_zone", "seismic_method")
+    return out.select("l_orderkey", "line", "reason", "grazing", *[F.round(c, {"k": 9, "log10_density_sigma": 9, "astrometric_uas": 10}.get(c, 7)).alias(c) for c in FLOATS], "habitable_zone", "seismic_method")
