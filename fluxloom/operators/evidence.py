@@ -82,7 +82,11 @@ def triage(targets: DataFrame, evidence: DataFrame) -> DataFrame:
     return x.select("target_id", F.coalesce(F.col("_n"), F.lit(0)).alias("diagnostics"), F.element_at(F.array(F.lit(PASS), F.lit(REVIEW), F.lit(BLOCKED)), (worst + 1).cast("int")).alias("triage"))
 
 
-def readiness(targets: DataFrame, artifacts: DataFrame, rejections: DataFrame, required: Sequence[str]) -> DataFrame:
+# Outputs that must exist before the false-positive run.
+REQUIRED_OUTPUTS = ("search", "search manifest", "screen", "archive", "localization", "activity", "asteroseismology", "SED", "dilution", "transit fit", "timing", "phase curve")
+
+
+def readiness(targets: DataFrame, artifacts: DataFrame, rejections: DataFrame, required: Sequence[str] = REQUIRED_OUTPUTS) -> DataFrame:
     """Missing required outputs per target; a bound detection and no decisive rejection are needed too."""
     have = artifacts.where(F.col("role").isin(*required)).groupBy("target_id").agg(F.collect_set("role").alias("_have"))  # at most len(required) roles
     no = rejections.select("target_id").distinct().withColumn("_no", F.lit(True))
@@ -183,24 +187,33 @@ def scan_text(lines: DataFrame, aliases: DataFrame, exceptions: DataFrame, today
     words = lines.select("path", "line_number", F.explode(F.array_distinct(F.split(F.lower("line"), "[^a-z0-9]+"))).alias("word"))
     named = attach(words, aliases.select(F.lower("alias").alias("word")).distinct(), ["word"], parts=4, spread=["path", "line_number"])
     hits = ids.unionByName(named.select("path", "line_number", F.lit("alias").alias("finding")).distinct())
-    live = exceptions.where(F.col("expires") >= F.lit(today).cast("date")).select("path", "finding").distinct()
-    return hits.join(live, ["path", "finding"], "left_anti").select("path", "line_number", "finding")
+    live = exceptions.where(F.col("expires") >= F.lit(today).cast("date")).select("path", "line_number", "finding").distinct()
+    return hits.join(live, ["path", "line_number", "finding"], "left_anti").select("path", "line_number", "finding")
 
 
-PHASES = ("intake", "feasibility", "acquisition", "vetting", "followup", "analysis", "review")  # fixed values
-NOVELTY_PHASES = ("feasibility",)
-PROVENANCE_PHASES = ("acquisition", "vetting", "followup", "analysis", "review")
+PHASES = ("intake", "feasibility", "acquisition", "vetting", "followup", "analysis", "review")  # fixed values from here on
+DOCUMENT_PHASES = ("intake", "feasibility", "vetting", "followup", "review")
+NOVELTY_PHASES = ("feasibility", "review")
 
 
 def gate_errors(targets: DataFrame, checklists: DataFrame, novelty: DataFrame, provenance: DataFrame) -> DataFrame:
-    """What keeps each target from leaving its phase: checklist, novelty audit, provenance."""
-    t = targets.select("target_id", "phase")
-    bad_list = t.join(checklists.select("target_id", "phase", "gate_pass"), ["target_id", "phase"], "left").where(~yes(F.col("gate_pass"))).select(
-        "target_id", F.when(F.col("gate_pass").isNull(), "missing checklist").otherwise("mandatory items open").alias("error"))
-    bad_audit = t.where(F.col("phase").isin(*NOVELTY_PHASES)).join(novelty.where("valid").select("target_id").distinct(), "target_id", "left_anti").select("target_id", F.lit("no valid novelty audit").alias("error"))
-    wrong = provenance.where(F.col("provenance") != "ok").select("target_id").distinct()
-    bad_files = t.where(F.col("phase").isin(*PROVENANCE_PHASES)).join(wrong, "target_id", "left_semi").select("target_id", F.lit("provenance not verified").alias("error"))
-    return bad_list.unionByName(bad_audit).unionByName(bad_files)
+    """What keeps each target from leaving its phase, one row per error.
+
+    ``targets``: ``target_id, phase, state``; ``checklists``: progress per (target, phase);
+    the analysis phase always stops, because no calibrated false-positive claim exists.
+    """
+    audit = novelty.where("valid").select("target_id").distinct().withColumn("_novel", F.lit(True))
+    files = provenance.groupBy("target_id").agg(F.bool_and(F.col("provenance") == "ok").alias("_files"))
+    c = checklists.select("target_id", "phase", "mandatory", "mandatory_checked", F.lit(True).alias("_list"))
+    x = targets.join(c, ["target_id", "phase"], "left").join(audit, "target_id", "left").join(files, "target_id", "left")
+    phase, listed = F.col("phase"), F.col("phase").isin(*DOCUMENT_PHASES)
+    rules = [
+        (F.col("state") == "stopped", "lifecycle stopped"), (listed & F.col("_list").isNull(), "missing gate document"),
+        (listed & (F.col("mandatory") == 0), "no mandatory items"), (listed & (F.col("mandatory_checked") < F.col("mandatory")), "unchecked mandatory items"),
+        (phase.isin(*NOVELTY_PHASES) & F.col("_novel").isNull(), "no valid novelty audit"), ((phase == "acquisition") & ~yes(F.col("_files")), "provenance not verified"),
+        (phase == "analysis", "no calibrated false-positive claim"), ((phase == "review") & F.col("state").isin("published", "archived"), "already locked")]
+    found = F.array_compact(F.array(*[F.when(yes(bad), F.lit(text)) for bad, text in rules]))
+    return x.select("target_id", F.explode(found).alias("error"))
 
 
 def semantic_hash(df: DataFrame, volatile: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
@@ -283,7 +296,7 @@ PAYLOAD_TYPES = ("fits", "fit", "fz", "csv", "tsv", "parquet", "npy", "npz", "h5
 SKIPPED = (".git", "__pycache__", ".pytest_cache")
 
 
-def scan_layout(files: DataFrame, exceptions: DataFrame, allowed: str = "candidate", forbidden: Sequence[str] = ("data", "outputs", "results")) -> DataFrame:
+def scan_layout(files: DataFrame, exceptions: DataFrame, allowed: str = "candidate", forbidden: Sequence[str] = ("archive", "data")) -> DataFrame:
     """Forbidden top-level directories and payload files outside the allowed tree."""
     parts = F.split("path", "/")
     top = F.when(F.size(parts) > 1, parts[0])

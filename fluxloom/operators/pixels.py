@@ -18,7 +18,7 @@ HALF_SIZES = (1, 2, 3)
 PIXEL_ARCSEC = 21.0
 CORE_FRACTION = 0.2
 MIN_CORE = 3
-PRF_SIGMA = 1.0 / 2.3548
+PRF_SIGMA = 0.75 / 2.3548  # fixed value: width of the point-source template in pixels
 
 
 def hard_quality(px: DataFrame, mask: int = HARD_MASK) -> DataFrame:

@@ -93,7 +93,7 @@ def survey_report(targets: DataFrame, candidates: DataFrame, survey_id: str) ->
     return x.groupBy(status.alias("status")).agg(F.count(F.lit(1)).alias("targets"))
 
 
-CHECKBOX = r"^[-*]\s*\[([ xX])\]\s*(.+)$"
+CHECKBOX = r"^-\s*\[([ xX])\]\s*(.*)$"
 
 
 def checklist_progress(lines: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-TOPICS = ("scans", "folds", "ordered", "searches", "surveys", "matching", "stamps", "spectral", "modelling", "record_queries", "audits")
+TOPICS = ("scans", "folds", "ordered", "searches", "surveys", "matching", "stamps", "spectral", "modelling", "record_queries", "audits", "streams")
 
 
 def load() -> None:

@@ -73,16 +73,17 @@ def _(spark, folder):
     return J.triage(A.table(spark, folder, "part").select(F.col("p_partkey").alias("target_id")), e)
 
 
-ROLES = ("photometry", "ephemeris", "search", "screening", "archive", "localization", "activity")
+ROLES = J.REQUIRED_OUTPUTS
+ROLE_AT = "l_linenumber + CASE WHEN l_quantity > 25 THEN 5 ELSE 0 END"
 
 
 @query("j7_readiness", f"""WITH r(i, role) AS (VALUES {', '.join(f"({i + 1}, '{r}')" for i, r in enumerate(ROLES))}),
-h AS (SELECT DISTINCT l_partkey AS t, l_linenumber AS i FROM lineitem WHERE l_quantity > 10),
+h AS (SELECT DISTINCT l_partkey AS t, {ROLE_AT} AS i FROM lineitem),
 m AS (SELECT p_partkey AS t, string_agg(role, ',' ORDER BY r.i) AS missing, CAST(count(*) AS INTEGER) AS n FROM part, r WHERE (p_partkey, r.i) NOT IN (SELECT t, i FROM h) GROUP BY 1)
 SELECT p_partkey AS target_id, coalesce(missing, '') AS missing, coalesce(n, 0) AS n_missing, CASE WHEN p_size % 10 = 0 THEN 'decisive-rejection' WHEN n > 0 THEN 'missing-prerequisites' WHEN p_partkey % 3 = 0 THEN 'no-bound-detection' ELSE 'ready' END AS readiness FROM part LEFT JOIN m ON t = p_partkey""")
 def _(spark, folder):
     part = A.table(spark, folder, "part")
-    art = A.table(spark, folder, "lineitem").where("l_quantity > 10").select(F.col("l_partkey").alias("target_id"), F.element_at(F.array(*[F.lit(r) for r in ROLES]), F.col("l_linenumber")).alias("role"))
+    art = A.table(spark, folder, "lineitem").select(F.col("l_partkey").alias("target_id"), F.element_at(F.array(*[F.lit(r) for r in ROLES]), F.expr(ROLE_AT)).alias("role"))
     return J.readiness(part.selectExpr("p_partkey AS target_id", "p_partkey % 3 <> 0 AS detection_bound"), art, part.where("p_size % 10 = 0").select(F.col("p_partkey").alias("target_id")), ROLES)
 
 
@@ -166,24 +167,26 @@ LINES = """ln AS (SELECT doc_id, CASE WHEN doc_id % 10 = 3 AND i = 1 THEN concat
 @query("j14_scan_text", f"""WITH {LINES}, a AS (SELECT DISTINCT lower(lang) AS w FROM documents),
 h AS (SELECT doc_id, n, 'target-id' AS finding FROM ln WHERE regexp_matches(line, '(?i)(^|[^A-Za-z0-9])(TOI[\\s._-]*\\d{{1,7}}(\\.\\d{{1,2}})?|TIC[\\s._:-]*\\d{{5,12}}|(TOI|TIC)\\d{{4,}})([^A-Za-z0-9]|$)')
 UNION ALL SELECT DISTINCT doc_id, n, 'alias' FROM (SELECT doc_id, n, unnest(list_distinct(regexp_split_to_array(lower(line), '[^a-z0-9]+'))) AS w FROM ln) WHERE w IN (SELECT w FROM a))
-SELECT doc_id AS path, n AS line_number, finding FROM h WHERE NOT (doc_id % 20 = 3 AND finding = 'target-id')""")
+SELECT doc_id AS path, n AS line_number, finding FROM h WHERE NOT (doc_id % 20 = 3 AND n = 0 AND finding = 'target-id')""")
 def _(spark, folder):
     d = A.table(spark, folder, "documents")
     l = d.select(F.col("doc_id").alias("path"), F.posexplode(F.split("text", "\n")).alias("line_number", "l"))
     line = F.when((F.col("path") % 10 == 3) & (F.col("line_number") == 0), F.concat("l", F.lit(" TIC 1234567"))).when((F.col("path") % 10 == 4) & (F.col("line_number") == 0), F.concat(F.lit("toi-700.01 "), "l")).otherwise(F.col("l"))
-    ex = d.where("doc_id % 10 = 3").select(F.col("doc_id").alias("path"), F.lit("target-id").alias("finding"), F.expr("CASE WHEN doc_id % 20 = 3 THEN date'2030-01-01' ELSE date'2020-01-01' END").alias("expires"))
+    ex = d.where("doc_id % 10 = 3").select(F.col("doc_id").alias("path"), F.lit(0).alias("line_number"), F.lit("target-id").alias("finding"), F.expr("CASE WHEN doc_id % 20 = 3 THEN date'2030-01-01' ELSE date'2020-01-01' END").alias("expires"))
     return J.scan_text(l.select("path", "line_number", line.alias("line")), d.select(F.col("lang").alias("alias")).distinct(), ex, "2024-06-01")
 
 
-@query("j15_gate_errors", """WITH t AS (SELECT p_partkey AS t, p_size % 7 AS ph, p_partkey % 4 AS c, p_partkey % 3 AS n, p_partkey % 5 AS f FROM part)
-SELECT t AS target_id, CASE WHEN c = 0 THEN 'missing checklist' ELSE 'mandatory items open' END AS error FROM t WHERE c < 2 UNION ALL SELECT t, 'no valid novelty audit' FROM t WHERE ph = 1 AND n <> 0 UNION ALL SELECT t, 'provenance not verified' FROM t WHERE ph >= 2 AND f = 0""")
+@query("j15_gate_errors", """WITH t AS (SELECT p_partkey AS t, p_size % 7 AS ph, p_partkey % 4 AS c, p_partkey % 3 AS n, p_partkey % 5 AS f, p_partkey % 11 AS s, p_size % 7 NOT IN (2, 5) AS doc FROM part)
+SELECT t AS target_id, 'lifecycle stopped' AS error FROM t WHERE s = 1 UNION ALL SELECT t, 'missing gate document' FROM t WHERE doc AND c = 0 UNION ALL SELECT t, 'no mandatory items' FROM t WHERE doc AND c = 1
+UNION ALL SELECT t, 'unchecked mandatory items' FROM t WHERE doc AND c = 2 UNION ALL SELECT t, 'no valid novelty audit' FROM t WHERE ph IN (1, 6) AND n <> 0 UNION ALL SELECT t, 'provenance not verified' FROM t WHERE ph = 2 AND f IN (0, 1)
+UNION ALL SELECT t, 'no calibrated false-positive claim' FROM t WHERE ph = 5 UNION ALL SELECT t, 'already locked' FROM t WHERE ph = 6 AND s = 2""")
 def _(spark, folder):
-    p = A.table(spark, folder, "part")
-    phase = F.element_at(F.array(*[F.lit(x) for x in J.PHASES]), (F.col("p_size") % 7 + 1).cast("int")).alias("phase")
-    t = p.select(F.col("p_partkey").alias("target_id"), phase)
-    lists = p.where("p_partkey % 4 <> 0").select(F.col("p_partkey").alias("target_id"), phase, (F.col("p_partkey") % 4 > 1).alias("gate_pass"))
-    nov = p.select(F.col("p_partkey").alias("target_id"), (F.col("p_partkey") % 3 == 0).alias("valid"))
-    return J.gate_errors(t, lists, nov, p.selectExpr("p_partkey AS target_id", "CASE WHEN p_partkey % 5 = 0 THEN 'hash-mismatch' ELSE 'ok' END AS provenance"))
+    p = A.table(spark, folder, "part").withColumn("target_id", F.col("p_partkey"))
+    p = p.withColumn("phase", F.element_at(F.array(*[F.lit(x) for x in J.PHASES]), (F.col("p_size") % 7 + 1).cast("int")))
+    t = p.select("target_id", "phase", F.expr("CASE target_id % 11 WHEN 1 THEN 'stopped' WHEN 2 THEN 'published' ELSE 'active' END").alias("state"))
+    lists = p.where("target_id % 4 <> 0").selectExpr("target_id", "phase", "CASE WHEN target_id % 4 = 1 THEN 0 ELSE 3 END AS mandatory", "CASE WHEN target_id % 4 = 1 THEN 0 WHEN target_id % 4 = 2 THEN 2 ELSE 3 END AS mandatory_checked")
+    files = p.where("target_id % 5 <> 0").selectExpr("target_id", "CASE WHEN target_id % 5 = 1 THEN 'hash-mismatch' ELSE 'ok' END AS provenance")
+    return J.gate_errors(t, lists, p.selectExpr("target_id", "target_id % 3 = 0 AS valid"), files)
 
 
 @query("j16_semantic_hash")
@@ -249,7 +252,7 @@ def _(spark, folder):
     return J.lineage(art, runs(spark, folder))
 
 
-LAY = """concat(CASE p_partkey % 6 WHEN 0 THEN 'data/' WHEN 1 THEN 'candidate/' WHEN 2 THEN 'src/' WHEN 3 THEN '.git/' WHEN 4 THEN '' ELSE 'docs/deep/' END, 'f', CAST(p_partkey AS {s}), CASE p_size % 4 WHEN 0 THEN '.FITS' WHEN 1 THEN '.py' WHEN 2 THEN '.csv' ELSE '' END)"""
+LAY = """concat(CASE p_partkey % 6 WHEN 0 THEN 'archive/' WHEN 1 THEN 'candidate/' WHEN 2 THEN 'src/' WHEN 3 THEN '.git/' WHEN 4 THEN '' ELSE 'docs/deep/' END, 'f', CAST(p_partkey AS {s}), CASE p_size % 4 WHEN 0 THEN '.FITS' WHEN 1 THEN '.py' WHEN 2 THEN '.csv' ELSE '' END)"""
 
 
 @query("j22_scan_layout", f"""WITH f AS (SELECT {LAY.format(s='VARCHAR')} AS path, p_partkey % 6 AS d, p_size % 4 AS e, p_partkey FROM part) SELECT path, CASE WHEN d = 0 THEN 'forbidden-directory' ELSE 'payload-outside-tree' END AS finding FROM f

@@ -75,12 +75,13 @@ def _(spark, folder):
     return S.normalize_priors(A.table(spark, folder, "lineitem").selectExpr(*[f"{e.format(s='STRING')} AS {n}" for n, e in TOI]))
 
 
-@query("a11_read_stars", """WITH s AS (SELECT c_custkey AS target_id, coalesce(CASE WHEN c_custkey % 3 = 0 THEN c_acctbal END, CASE WHEN c_custkey % 2 = 0 THEN 5000e0 + c_custkey END) AS teff_k, CASE WHEN c_custkey % 4 <> 1 THEN 1.5e0 END AS radius_solar, CASE WHEN c_custkey % 5 <> 2 THEN c_nationkey * 1e0 END AS mass_solar FROM customer)
-SELECT target_id, teff_k, radius_solar, mass_solar, CASE WHEN teff_k IS NOT NULL AND radius_solar IS NOT NULL AND mass_solar IS NOT NULL THEN 'candidate-data' WHEN coalesce(teff_k, radius_solar, mass_solar) IS NOT NULL THEN 'partial' ELSE 'none' END AS completeness FROM s""")
+@query("a11_read_stars", """WITH s AS (SELECT c_custkey AS target_id, coalesce(CASE WHEN c_custkey % 3 = 0 THEN c_acctbal END, CASE WHEN c_custkey % 2 = 0 THEN 5000e0 + c_custkey END) AS teff_k, CASE WHEN c_custkey % 7 <> 0 THEN 4.4e0 END AS logg_cgs,
+  CASE WHEN c_custkey % 7 <> 0 THEN c_nationkey * 0.01e0 END AS feh, CASE WHEN c_custkey % 4 <> 1 THEN 1.5e0 END AS radius_solar, CASE WHEN c_custkey % 5 <> 2 THEN c_nationkey * 1e0 END AS mass_solar FROM customer)
+SELECT *, CASE WHEN teff_k IS NOT NULL AND radius_solar IS NOT NULL AND mass_solar IS NOT NULL AND feh IS NOT NULL THEN 'candidate-data' WHEN coalesce(teff_k, radius_solar, mass_solar, feh) IS NOT NULL THEN 'partial-candidate-data' ELSE 'none' END AS completeness FROM s""")
 def _(spark, folder):
-    s = A.table(spark, folder, "customer").selectExpr("c_custkey AS target_id", "CASE WHEN c_custkey % 3 = 0 THEN CAST(c_acctbal AS STRING) ELSE 'inf' END AS Teff", "CASE WHEN c_custkey % 2 = 0 THEN 5000e0 + c_custkey END AS st_teff",
-        "CASE WHEN c_custkey % 4 <> 1 THEN '1.5' END AS rad", "CASE WHEN c_custkey % 5 <> 2 THEN c_nationkey END AS mass_solar")
-    return S.read_stars(s).select("target_id", "teff_k", "radius_solar", "mass_solar", "completeness")
+    s = A.table(spark, folder, "customer").selectExpr("c_custkey AS target_id", "CASE WHEN c_custkey % 3 = 0 THEN CAST(c_acctbal AS STRING) ELSE 'inf' END AS Teff", "CASE WHEN c_custkey % 2 = 0 THEN 5000e0 + c_custkey END AS temperature_k",
+        "CASE WHEN c_custkey % 7 <> 0 THEN '4.4' ELSE '-' END AS log_g", "CASE WHEN c_custkey % 7 <> 0 THEN c_nationkey * 0.01e0 END AS metallicity", "CASE WHEN c_custkey % 4 <> 1 THEN '1.5' END AS radius", "CASE WHEN c_custkey % 5 <> 2 THEN c_nationkey END AS mass_solar")
+    return S.read_stars(s).select("target_id", "teff_k", "logg_cgs", "feh", "radius_solar", "mass_solar", "completeness")
 
 
 @query("a12_explode_photometry", """SELECT s_suppkey AS target_id, catalog, band, mag, err, round(sqrt(err * err + 0.05e0 * 0.05e0), 9) AS total_err FROM (SELECT s_suppkey, x.catalog, x.band, CASE x.band WHEN 'J' THEN round(s_acctbal, 2) WHEN 'H' THEN 7.5e0 ELSE 6e0 END AS mag,
@@ -216,7 +217,7 @@ SELECT document, count(*) FILTER (WHERE item) AS total, count(*) FILTER (WHERE i
   count(*) FILTER (WHERE item AND must AND done) = count(*) FILTER (WHERE item AND must) AS gate_pass FROM l GROUP BY 1""")
 def _(spark, folder):
     l = A.table(spark, folder, "lineitem").select(F.col("l_partkey").alias("document"), F.concat(
-        F.when(F.col("l_linestatus") == "O", F.when(F.col("l_returnflag") == "R", "  - [x] ").otherwise("* [ ] ")).otherwise("note [x] "), F.lit("step "),
+        F.when(F.col("l_linestatus") == "O", F.when(F.col("l_returnflag") == "R", "  - [x] ").otherwise("- [ ] ")).otherwise("note [x] "), F.lit("step "),
         F.when(F.col("l_linenumber") % 3 == 0, "[Mandatory]").otherwise("later")).alias("line"))
     return R.checklist_progress(l).withColumn("completion", F.round("completion", 9))
 
