@@ -1,9 +1,10 @@
 """Box periodogram over exploded period grids and peak selection (IDs H1-H4, F1, F2, B12).
 
-Every cadence is expanded to its trial periods by a generator and collapsed at
-once, map-side, to the weight sums of the phase bins of each (series, duration,
-period). All later steps work on those bins. ``K`` bins span one duration, so a
-window is K consecutive bins, wrapping at the end of the period.
+The period grid is cut into blocks and each task gets (series, duration, block,
+part of the rows): it expands its rows to the periods of its block with a
+generator and collapses them at once to the weight sums of the phase bins. All
+later steps work on those bins. ``K`` bins span one duration, so a window is K
+consecutive bins, wrapping at the end of the period.
 """
 
 from __future__ import annotations
@@ -18,7 +19,8 @@ from fluxloom.functions.fold import phase_hours
 from fluxloom.operators.spread import attach, fan_out
 
 K = 5
-STRETCH_DAYS = 5.0  # rows of a series that are expanded together
+TRIALS_PER_TASK = 256  # trial periods one task expands, so that its bins stay in cache
+ROWS_PER_TASK = 1_000_000  # a longer series is split over several tasks per trial block
 MIN_SNR = 7.1
 SCORE_DIGITS = 9
 
@@ -54,20 +56,25 @@ def trial_period(i: Column) -> Column:
 
 
 def box_bins(df: DataFrame, grid: DataFrame, series: Sequence[str]) -> DataFrame:
-    """Weight sums per (series, duration, trial, phase bin)."""
+    """Weight sums per (series, duration, trial, phase bin); the parts of a long series add up later."""
     good = df.where(F.col("flux").isNotNull() & (F.col("flux_err") > 0)).select(
         *series, "t", "flux", (1.0 / (F.col("flux_err") * F.col("flux_err"))).alias("w"))
     packed = grid.groupBy(*series).agg(
-        F.max("t_start").alias("t_start"), F.max("period_min").alias("period_min"),
+        F.max("t_start").alias("t_start"), F.max("period_min").alias("period_min"), F.max("n_points").alias("n_points"),
         F.collect_list(F.struct("duration_hours", "step", "n_trials")).alias("_g"))  # one entry per duration
-    x = fan_out(attach(good, packed, series, spread=["t"]), *series, F.floor(F.col("t") / STRETCH_DAYS))
-    x = x.withColumn("_g", F.explode("_g"))
-    x = x.select(*series, "t", "flux", "w", "t_start", "period_min", "_g.*")
-    x = x.withColumn("trial", F.explode(F.sequence(F.lit(0), F.col("n_trials") - 1))).withColumn("period", trial_period(F.col("trial")))
+    x = attach(good, packed, series, spread=["t"]).withColumn("_g", F.explode("_g"))
+    blocks = F.sequence(F.lit(0), F.floor((F.col("_g.n_trials") - 1) / TRIALS_PER_TASK).cast("int"))
+    part = F.pmod(F.xxhash64("t"), F.ceil(F.col("n_points") / ROWS_PER_TASK)).cast("int")
+    x = x.select(*series, "t", "flux", "w", "t_start", "period_min", "_g.*", part.alias("part"), F.explode(blocks).alias("block"))
+    task = [*series, "duration_hours", "block", "part"]
+    x = fan_out(x, *task)
+    first = F.col("block") * TRIALS_PER_TASK
+    x = x.withColumn("trial", F.explode(F.sequence(first, F.least(first + TRIALS_PER_TASK, F.col("n_trials")) - 1))).withColumn("period", trial_period(F.col("trial")))
     turns = (F.col("t") - F.col("t_start")) / F.col("period")
     x = x.withColumn("bins", F.rint(F.col("period") / (F.col("duration_hours") / 24.0 / K)).cast("int")).withColumn("cycle", F.floor(turns))
     x = x.withColumn("bin", F.least(F.floor((turns - F.col("cycle")) * F.col("bins")).cast("int"), F.col("bins") - 1))
-    return x.groupBy(*series, "duration_hours", "trial", "bin").agg(
+    # grouped by the task columns as well, so no shuffle separates expansion and collapse
+    return x.groupBy(*task, "trial", "bin").agg(
         F.sum("w").alias("w"), F.sum(F.col("w") * F.col("flux")).alias("wy"),
         F.min("cycle").alias("c_min"), F.max("cycle").alias("c_max"), F.max("bins").alias("bins"))
 

@@ -16,6 +16,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # HotSpot never compiles methods above 8000 bytes; let Spark split such stages instead
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
