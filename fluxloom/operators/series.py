@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fluxloom.operators.spread import attach, blocks, medians, ordered, previous_value, rank_rows, running_sum, time_piece
+from fluxloom.session import cut
 
 GROUP = ("target_id", "sector")
 BLOCK = 4096
@@ -111,7 +112,8 @@ def detrend(df: DataFrame, window_days: float, split_gaps: bool = True, frac: fl
     run_keys = [*keys, "run"]
     samples = F.greatest(F.lit(3), F.rint(F.lit(float(window_days)) / F.col("cadence")).cast("int"))
     width = F.when(F.col("cadence") > 0, samples + F.when(samples % 2 == 0, 1).otherwise(0)).otherwise(3)
-    sized = runs.withColumn("_half", ((width - 1) / 2).cast("int")).drop("cadence")
+    # numbered runs feed two more passes; written once, the plan stays short
+    sized = cut(runs.withColumn("_half", ((width - 1) / 2).cast("int")).drop("cadence"))
     filled = fill_missing(sized, run_keys, "flux", "_filled", "_valid")
     framed = blocks(filled, F.col("_half"), BLOCK)
     trend = per_block(framed, run_keys, "_trend",

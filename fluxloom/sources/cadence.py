@@ -98,8 +98,11 @@ def median_bin(df: DataFrame, n_bins: int = 4000, keys: Sequence[str] = GROUP) -
     ranked = rank_rows(df, keys, ["t"], time_piece("t"))
     index = F.when(F.col("n") <= n_bins, F.col("rn") - 1).otherwise(F.floor((F.col("rn") * n_bins - 1) / F.col("n")))
     binned = ranked.withColumn("bin", index.cast("long"))
-    middle = [F.expr(f"percentile({c}, 0.5e0)").alias(c) for c in values]
-    return binned.groupBy(*keys, "bin").agg(F.avg("t").alias("t"), *middle, F.count(F.lit(1)).alias("n_in_bin"))
+    where = [*keys, "bin"]
+    out = binned.groupBy(*where).agg(F.avg("t").alias("t"), F.count(F.lit(1)).alias("n_in_bin"))
+    for c in values:  # a bin of a very long series holds many rows, so its median is bracketed too
+        out = out.join(medians(binned, where, c, c).drop("n"), where, "left")
+    return out
 
 
 def read_pixels(df: DataFrame, stamp: str = "stamp", width: int = 8) -> DataFrame:
