@@ -189,7 +189,8 @@ def _(spark, folder):
     return J.gate_errors(t, lists, p.selectExpr("target_id", "target_id % 3 = 0 AS valid"), files)
 
 
-@query("j16_semantic_hash")
+@query("j16_semantic_hash", """SELECT o_orderkey, sha256(concat('{"o_custkey":', CAST(o_custkey AS VARCHAR), ',"o_orderpriority":"', o_orderpriority, '","o_orderstatus":"', o_orderstatus,
+  '","o_totalprice":', CAST(o_totalprice AS VARCHAR), '}')) AS fingerprint FROM orders""")
 def _(spark, folder):
     return J.semantic_hash(A.table(spark, folder, "orders"), ["o_orderdate"], ["o_orderkey"])
 

@@ -52,16 +52,31 @@ def peaks_of(spark, folder):
     return lc, grid, spacing, S.top_peaks(S.window_power(lc, grid, KEYS), spacing, KEYS)
 
 
-@query("e6_top_peaks")
+def greedy_sql() -> str:
+    """CTE ``sel5``: five rounds, each taking the strongest peak clear of the earlier ones."""
+    text = """lo AS (SELECT target_id, sector, f, power, 1 / baseline AS spacing, lag(power) OVER w AS l, lead(power) OVER w AS r FROM wp JOIN (SELECT target_id, sector, baseline FROM fg) USING (target_id, sector)
+  WINDOW w AS (PARTITION BY target_id, sector ORDER BY k)),
+cd AS (SELECT * FROM lo WHERE power >= l AND power >= r), sel0 AS (SELECT target_id, sector, f, power, 0 AS rank FROM cd WHERE false)"""
+    for i in range(1, 6):
+        text += f""", c{i} AS (SELECT *, row_number() OVER (PARTITION BY target_id, sector ORDER BY power DESC, f) AS k FROM cd c WHERE NOT EXISTS
+  (SELECT 1 FROM sel{i - 1} s WHERE s.target_id = c.target_id AND s.sector = c.sector AND abs(c.f - s.f) < spacing)),
+sel{i} AS (SELECT * FROM sel{i - 1} UNION ALL SELECT target_id, sector, f, power, {i - 1} FROM c{i} WHERE k = 1)"""
+    return text
+
+
+@query("e6_top_peaks", f"{LC16}, {FG}, {WP}, {greedy_sql()} SELECT target_id, sector, CAST(rank AS INTEGER) AS rank, round(f, 9) AS frequency, round(power, 9) AS power FROM sel5")
 def _(spark, folder):
     return peaks_of(spark, folder)[3].select(*KEYS, "rank", F.round("frequency", 9).alias("frequency"), F.round("power", 9).alias("power"))
 
 
-@query("h7_window_proximity")
+@query("h7_window_proximity", f"""{LC16}, {FG}, {WP}, {greedy_sql()}, n AS (SELECT *, row_number() OVER (PARTITION BY target_id, sector ORDER BY abs(f - 0.4e0), rank) AS k FROM sel5)
+SELECT target_id, sector, round(f, 9) AS window_frequency, round(power, 9) AS window_power, round(abs(f - 0.4e0), 9) AS difference, abs(f - 0.4e0) <= 1 / baseline AS within_resolution
+FROM n JOIN (SELECT target_id, sector, baseline FROM fg) USING (target_id, sector) WHERE k = 1""")
 def _(spark, folder):
     lc, grid, spacing, peaks = peaks_of(spark, folder)
     best = spacing.withColumn("best_frequency", F.lit(0.4))
-    return S.window_proximity(peaks, best, KEYS)
+    out = S.window_proximity(peaks, best, KEYS)
+    return out.select(*KEYS, *[F.round(c, 9).alias(c) for c in ("window_frequency", "window_power", "difference")], "within_resolution")
 
 
 SEG = [("target_id", "o_custkey"), ("sector", "o_orderkey"), ("best_period", "1e0 + (o_orderkey * 7 % 190) / 10e0"), ("baseline", "CASE WHEN o_orderkey % 40 = 0 THEN 0e0 ELSE 20e0 + o_orderkey % 7 END")]
