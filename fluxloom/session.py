@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 import uuid
 
@@ -50,22 +50,37 @@ _private_folder: str | None = None
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """Folder shared by the cluster; a private one only where none is configured."""
+    """Folder that driver and executors share, from ``spark.checkpoint.dir``.
+
+    Only a local session without that setting gets a folder of its own; anywhere else
+    a missing setting is an error, because a private folder would lose rows silently.
+    """
     global _private_folder
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
-        return folder
+        return folder.rstrip("/")
+    if not re.fullmatch(r"local(\[[^,\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if _private_folder is None:
         _private_folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return _private_folder
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write an intermediate table to the shared folder and read it back.
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
 
-    Used where a result feeds several later passes: it is computed once, the plan
-    stays small, and a lost executor costs a re-read instead of a recomputation.
+def settle(df: DataFrame) -> DataFrame:
+    """Compute once and cut the lineage with a reliable checkpoint in the shared folder.
+
+    Used where a result feeds several later passes: a lost executor costs a re-read,
+    and Spark removes the files once nothing refers to them.
     """
-    path = f"{checkpoint_folder(df.sparkSession).rstrip('/')}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(checkpoint_folder(df.sparkSession))
+    return df.checkpoint()
+
+
+cut = settle
