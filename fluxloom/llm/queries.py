@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fluxloom.llm import content_sort
+from fluxloom.llm import best_fit, content_sort, licenses
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -42,3 +42,13 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 )
 def op9_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return content_sort.mark_copies(_table(spark, folder, "documents"))
+
+
+@_query("op4_best_fit_packing")
+def op4_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return best_fit.pack_documents(_table(spark, folder, "documents"), capacity=1024, end_id=2)
+
+
+@_query("op10_license_scan")
+def op10_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan_licenses(_table(spark, folder, "documents"))
