@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fluxloom.llm import best_fit, content_sort, licenses
+from fluxloom.llm import best_fit, content_sort, language, licenses
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -52,3 +52,8 @@ def op4_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 @_query("op10_license_scan")
 def op10_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan_licenses(_table(spark, folder, "documents"))
+
+
+@_query("op2_language_id")
+def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return language.identify(_table(spark, folder, "documents"))
