@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fluxloom.llm import best_fit, content_sort, language, licenses
+from fluxloom.llm import best_fit, content_sort, language, licenses, warc
+from fluxloom.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -57,3 +58,21 @@ def op10_license_scan(spark: SparkSession, folder: str) -> DataFrame:
 @_query("op2_language_id")
 def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language.identify(_table(spark, folder, "documents"))
+
+
+@_query(
+    "op1_warc",
+    r"""
+    WITH t AS (
+        SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+    ), r AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS keeper FROM t)
+    SELECT page_id, payload_bytes, payload_digest,
+           CASE WHEN payload_bytes >= 1000 AND page_id <> keeper THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN payload_bytes >= 1000 AND page_id <> keeper THEN keeper END AS refers_to
+    FROM r
+    """,
+)
+def op1_warc(spark: SparkSession, folder: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    warc.write_archives(_table(spark, folder, "pages"), path)
+    return warc.read_archives(spark, path, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
