@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fluxloom.llm import best_fit, content_sort, language, licenses, warc
+from fluxloom.llm import best_fit, content_sort, language, licenses, ngram_join, warc
 from fluxloom.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,3 +76,8 @@ def op1_warc(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "warc")
     warc.write_archives(_table(spark, folder, "pages"), path)
     return warc.read_archives(spark, path, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@_query("op8_ngram_join")
+def op8_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.near_groups(_table(spark, folder, "documents")).drop("th")
