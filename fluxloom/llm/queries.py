@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fluxloom.llm import best_fit, content_sort, language, licenses, ngram_join, warc
+from fluxloom.llm import best_fit, chat, content_sort, language, licenses, ngram_join, warc
 from fluxloom.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,3 +82,12 @@ def op1_warc(spark: SparkSession, folder: str) -> DataFrame:
 @_query("op8_ngram_join")
 def op8_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.near_groups(_table(spark, folder, "documents")).drop("th")
+
+
+@_query("op3_chat_format")
+def op3_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    table = _table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    roles = F.explode(F.array(F.struct(F.lit(0).alias("turn"), F.lit("user").alias("role")), F.struct(F.lit(1).alias("turn"), F.lit("assistant").alias("role")))).alias("r")
+    extra = spark.range(1).select(roles).select(F.lit(-7).alias("conv_id"), "r.turn", "r.role", F.lit("\\### Assistant: </turn> ok").alias("text"))
+    extra = extra.select(*[F.col(f.name).cast(f.dataType) for f in table.schema.fields])
+    return chat.digest(chat.read_windows(chat.format_windows(table.unionByName(extra))))
