@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fluxloom.llm import best_fit, chat, content_sort, language, licenses, ngram_join, warc
+from fluxloom.llm import best_fit, chat, content_sort, fingerprints, language, licenses, ngram_join, warc
 from fluxloom.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -91,3 +91,8 @@ def op3_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     extra = spark.range(1).select(roles).select(F.lit(-7).alias("conv_id"), "r.turn", "r.role", F.lit("\\### Assistant: </turn> ok").alias("text"))
     extra = extra.select(*[F.col(f.name).cast(f.dataType) for f in table.schema.fields])
     return chat.digest(chat.read_windows(chat.format_windows(table.unionByName(extra))))
+
+
+@_query("op5_fingerprints")
+def op5_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.fingerprint(_table(spark, folder, "documents"))
