@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fluxloom.llm import best_fit, chat, content_sort, fingerprints, language, licenses, ngram_join, warc
+from fluxloom.llm import best_fit, chat, content_sort, dropout, fingerprints, language, licenses, ngram_join, tokens, training_order, warc
 from fluxloom.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -96,3 +96,18 @@ def op3_chat_format(spark: SparkSession, folder: str) -> DataFrame:
 @_query("op5_fingerprints")
 def op5_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints.fingerprint(_table(spark, folder, "documents"))
+
+
+@_query("op6_merge_dropout")
+def op6_merge_dropout(spark: SparkSession, folder: str) -> DataFrame:
+    path = tokens.default_path("piece_bpe_32k.model")
+    coded = dropout.encode(_table(spark, folder, "documents"), path, seed=17, drop=0.1)
+    decoded = F.sha2(F.col("text").cast("binary"), 256)
+    return dropout.decode(coded, path).select("doc_id", "n_pieces", F.crc32("ids").alias("ids_crc32"), decoded.alias("decoded_sha256"), (decoded == F.col("text_sha256")).alias("lossless"))
+
+
+@_query("op7_training_order")
+def op7_training_order(spark: SparkSession, folder: str) -> DataFrame:
+    path = scratch_path(spark, "training-order")
+    training_order.write_shards(_table(spark, folder, "documents"), path)
+    return training_order.read_shards(spark, path).select("slot", "doc_id", "piece", "length", F.crc32("ids").alias("ids_crc32"))
