@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from fluxloom.llm import best_fit, chat, content_sort, dropout, fingerprints, language, licenses, ngram_join, tokens, training_order, warc
 from fluxloom.session import scratch_path
 
@@ -111,3 +112,8 @@ def op7_training_order(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "training-order")
     training_order.write_shards(_table(spark, folder, "documents"), path)
     return training_order.read_shards(spark, path).select("slot", "doc_id", "piece", "length", F.crc32("ids").alias("ids_crc32"))
+
+
+@_query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    return corpus_pipeline.run(spark, folder)
