@@ -85,7 +85,7 @@ def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTOR
     spans = spans.withColumn("past", F.filter(earlier, lambda t: F.col("past_upto") - t["upto"] + t["tokens"] <= history))
     # where the window's first repeated or new turn starts, in characters of the whole conversation
     shown = F.concat("past", "new")
-    shift = F.coalesce(F.transform(F.slice(shown, 1, 1), lambda t: t["chars"] - F.length(t["line"]))[0], F.lit(0).cast("bigint"))
+    shift = F.coalesce(F.get(F.transform(F.slice(shown, 1, 1), lambda t: t["chars"] - F.length(t["line"])), F.lit(0)), F.lit(0).cast("bigint"))
     spans = spans.withColumns({"shown": shown, "shift": shift})
     targets = F.transform(
         F.filter("new", lambda t: t["target"]),
