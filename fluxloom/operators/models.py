@@ -189,19 +189,20 @@ def phase_curve(df: DataFrame, eph: DataFrame, min_rows: int = 100) -> DataFrame
 # ---- eclipse template over posterior draws ---------------------------------------------
 
 def eclipse_geometry(e: Column, omega: Column, rp: Column, b: Column) -> tuple[Column, Column]:
-    """Eclipse phase and duration ratio of one draw; NULL where the planet is not occulted."""
-    def mean_anomaly(nu: Column) -> Column:
-        half = nu / 2
-        big = F.atan2(F.sqrt(1 - e) * F.sin(half), F.sqrt(1 + e) * F.cos(half)) * 2
-        return big - e * F.sin(big)
-
-    turn = floored_mod(mean_anomaly(F.lit(1.5 * math.pi) - omega) - mean_anomaly(F.lit(0.5 * math.pi) - omega), F.lit(TAU)) / TAU
-    tran, occ = 1 + e * F.sin(omega), 1 - e * F.sin(omega)
-    ratio = tran / occ
-    size = (1 + rp) * (1 + rp)
-    chord_t, chord_o = size - b * b, size - b * b * ratio * ratio
-    valid = (e >= 0) & (e < 1) & (rp > 0) & (b >= 0) & (tran > 0) & (occ > 0) & (chord_t > 0) & (chord_o > 0)
-    return F.when(valid, turn), F.when(valid, ratio * F.sqrt(chord_o / F.when(valid, chord_t)))
+    """Eclipse phase and duration ratio of one draw; NULL where the planet is not occulted.
+
+    With k = e sin(omega), transit and eclipse lie at the radii (1 - e^2) / (1 + k) and
+    (1 - e^2) / (1 - k); their eccentric anomalies have opposite sines, so Kepler's equation
+    gives the time between them in closed form.
+    """
+    k, width = e * F.sin(omega), F.sqrt(F.greatest(1 - e * e, F.lit(0.0)))
+    side = width * F.cos(omega)
+    between = F.atan2(-side, e - F.sin(omega)) - F.atan2(side, e + F.sin(omega)) + e * side * 2 / (1 - k * k)
+    far = (1 + k) / (1 - k)  # ratio of the distances, and of the speeds the other way round
+    reach = (rp + 1) * (rp + 1)
+    seen = e.between(0, 1) & (e < 1) & (rp > 0) & (b >= 0) & (F.abs(k) < 1) & (reach > b * b) & (reach > b * far * b * far)
+    safe = lambda c: F.when(seen, c)
+    return safe(floored_mod(between, F.lit(TAU)) / TAU), safe(far * F.sqrt((reach - b * far * b * far) / F.nullif(reach - b * b, F.lit(0.0))))
 
 
 def eclipse_draws(chain: DataFrame) -> DataFrame:
