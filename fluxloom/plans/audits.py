@@ -63,13 +63,13 @@ def _(spark, folder):
         ("contamination", "CASE WHEN c_custkey % 7 <> 0 THEN c_nationkey * 0.01e0 END"), ("variation", "0.1e0"), ("verdict", "CASE c_custkey % 3 WHEN 0 THEN 'stable' WHEN 1 THEN 'aperture-sensitive' ELSE 'odd' END")]))
 
 
-@query("j6_triage", """WITH e AS (SELECT l_partkey AS t, l_linenumber AS d, max(CASE l_returnflag WHEN 'R' THEN 2 WHEN 'A' THEN 1 ELSE 0 END) AS r FROM lineitem WHERE l_linenumber <= 5 AND l_quantity > 25 GROUP BY 1, 2),
+@query("j6_triage", """WITH e AS (SELECT CASE WHEN l_quantity > 44 THEN 2 * l_partkey ELSE l_partkey END AS t, l_linenumber % 5 AS d, max(CASE WHEN l_quantity > 48 THEN 2 WHEN l_quantity < 4 THEN 1 ELSE 0 END) AS r FROM lineitem GROUP BY 1, 2),
 s AS (SELECT t, count(*) AS n, max(r) AS w FROM e GROUP BY 1)
 SELECT p_partkey AS target_id, coalesce(n, 0) AS diagnostics, CASE WHEN coalesce(n, 0) < 5 OR w = 2 THEN 'blocked' WHEN w = 1 THEN 'review-required' ELSE 'pass' END AS triage FROM part LEFT JOIN s ON t = p_partkey""")
 def _(spark, folder):
     names = F.array(*[F.lit(d) for d in J.DIAGNOSTICS])
-    e = A.table(spark, folder, "lineitem").where("l_linenumber <= 5 AND l_quantity > 25").select(F.col("l_partkey").alias("target_id"), F.element_at(names, F.col("l_linenumber")).alias("diagnostic"),
-        F.expr("CASE l_returnflag WHEN 'R' THEN 'blocked' WHEN 'A' THEN 'review-required' ELSE 'pass' END").alias("status"))
+    e = A.table(spark, folder, "lineitem").select(F.expr("CASE WHEN l_quantity > 44 THEN 2 * l_partkey ELSE l_partkey END").alias("target_id"), F.element_at(names, (F.col("l_linenumber") % 5 + 1).cast("int")).alias("diagnostic"),
+        F.expr("CASE WHEN l_quantity > 48 THEN 'blocked' WHEN l_quantity < 4 THEN 'review-required' ELSE 'pass' END").alias("status"))
     return J.triage(A.table(spark, folder, "part").select(F.col("p_partkey").alias("target_id")), e)
 
 

@@ -174,10 +174,10 @@ def _(spark, folder):
     return K.novelty(*novelty_inputs(spark, folder))
 
 
-@query("c9_new_targets", "SELECT p_partkey AS target_id, p_name FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)")
+@query("c9_new_targets", "SELECT p_partkey AS target_id, p_name FROM part WHERE p_partkey NOT IN (SELECT 2 * l_partkey FROM lineitem)")
 def _(spark, folder):
     tce = A.table(spark, folder, "part").select(F.col("p_partkey").alias("target_id"), "p_name")
-    return K.new_targets(tce, A.table(spark, folder, "lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("target_id")))
+    return K.new_targets(tce, A.table(spark, folder, "lineitem").select((F.col("l_partkey") * 2).alias("target_id")))
 
 
 

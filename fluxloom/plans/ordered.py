@@ -13,13 +13,12 @@ LC16 = f"WITH {A.cadence_sql(A.SERIES16)}"
 
 
 def gappy(spark, folder):
-    """Long series with a missing day now and then and some missing fluxes."""
-    lc = A.cadence(spark, folder, A.SERIES16).where((F.floor("t") + F.col("target_id")) % 6 != 0)
+    """Long series with a day's gap after every fifth day (all rows kept) and some missing fluxes."""
+    lc = A.cadence(spark, folder, A.SERIES16).withColumn("t", F.col("t") + F.floor((F.floor("t") + F.col("target_id")) / 5))
     return lc.withColumn("flux", F.when(F.col("event_id") % 13 != 0, F.col("flux")))
 
 
-GAPPY = """gp AS (SELECT target_id, sector, t, event_id, flux_err, CASE WHEN event_id % 13 <> 0 THEN flux END AS flux FROM lc
-  WHERE (CAST(floor(t) AS BIGINT) + target_id) % 6 <> 0)"""
+GAPPY = """gp AS (SELECT target_id, sector, t + floor((floor(t) + target_id) / 5) AS t, event_id, flux_err, CASE WHEN event_id % 13 <> 0 THEN flux END AS flux FROM lc)"""
 
 
 def detrend_sql(src: str, keys: str, window: float, frac: float = 0.5) -> str:

@@ -237,13 +237,12 @@ def _(spark, folder):
     return R.inventory_diff(m, f)
 
 
-@query("g3_grid_completeness", """WITH g AS (SELECT p_partkey AS target_id, i AS cell FROM part, range(1, 8) AS x(i)), t AS (SELECT l_partkey AS target_id, CAST(l_linenumber + l_tax * 100 - l_tax * 100 AS BIGINT) AS cell, count(*) AS reported FROM lineitem WHERE l_returnflag <> 'N' GROUP BY 1, 2),
-u AS (SELECT target_id, CASE WHEN cell = 7 THEN 9 ELSE cell END AS cell, reported FROM t)
+@query("g3_grid_completeness", """WITH g AS (SELECT p_partkey AS target_id, i AS cell FROM part, range(1, 22) AS x(i)), u AS (SELECT l_partkey AS target_id, CAST(CASE WHEN l_linenumber = 7 THEN 29 ELSE l_linenumber + CASE l_returnflag WHEN 'R' THEN 7 WHEN 'A' THEN 14 ELSE 0 END END AS BIGINT) AS cell, count(*) AS reported FROM lineitem GROUP BY 1, 2)
 SELECT target_id, cell, coalesce(reported, 0) AS reported, CASE WHEN g.target_id IS NULL THEN 'not declared' WHEN reported IS NULL THEN 'missing' ELSE 'repeated' END AS problem FROM (SELECT target_id, cell, 1 AS one FROM g) g FULL JOIN u USING (target_id, cell)
 WHERE g.one IS NULL OR reported IS NULL OR reported > 1""".replace("CASE WHEN g.target_id IS NULL", "CASE WHEN g.one IS NULL"))
 def _(spark, folder):
-    g = A.table(spark, folder, "part").select(F.col("p_partkey").alias("target_id"), F.explode(F.sequence(F.lit(1).cast("long"), F.lit(7).cast("long"))).alias("cell"))
-    t = A.table(spark, folder, "lineitem").where("l_returnflag <> 'N'").select(F.col("l_partkey").alias("target_id"), F.when(F.col("l_linenumber") == 7, 9).otherwise(F.col("l_linenumber")).cast("long").alias("cell"))
+    g = A.table(spark, folder, "part").select(F.col("p_partkey").alias("target_id"), F.explode(F.sequence(F.lit(1).cast("long"), F.lit(21).cast("long"))).alias("cell"))
+    t = A.table(spark, folder, "lineitem").select(F.col("l_partkey").alias("target_id"), F.expr("CAST(CASE WHEN l_linenumber = 7 THEN 29 ELSE l_linenumber + CASE l_returnflag WHEN 'R' THEN 7 WHEN 'A' THEN 14 ELSE 0 END END AS BIGINT)").alias("cell"))
     return R.grid_completeness(g, t, ["target_id", "cell"])
 
 
