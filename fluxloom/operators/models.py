@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from fluxloom.functions.fold import floored_mod, phase_days
 from fluxloom.operators.robust import percentile_summary, weighted_percentiles
-from fluxloom.operators.spread import attach, fan_out, medians
+from fluxloom.operators.spread import attach, fan_out, medians, running_sum
+from fluxloom.session import settle
 
 TAU = 2.0 * math.pi
 TARGET = ["target_id"]
@@ -211,14 +212,27 @@ def eclipse_draws(chain: DataFrame) -> DataFrame:
 
 
 def eclipse_template(df: DataFrame, eph: DataFrame, draws: DataFrame) -> DataFrame:
-    """Fraction of (thinned, at most 512) draws whose eclipse covers each cadence."""
-    packed = draws.groupBy("target_id").agg(F.count(F.lit(1)).alias("_total"),
-                                            F.collect_list(F.when(F.col("phase").isNotNull(), F.struct("phase", "duration_ratio"))).alias("_d"))
-    x = attach(df, eph.join(packed, "target_id"), TARGET, spread=["t"])
-    at = phase_days("t", "period", "epoch") / F.col("period")
-    half = F.col("duration_hours") / 48.0 / F.col("period")
-    hit = F.filter("_d", lambda d: F.abs(floored_mod(at - d["phase"] + 0.5, F.lit(1.0)) - 0.5) < half * d["duration_ratio"])
-    return x.withColumn("template", F.size(hit) / F.col("_total")).drop("_d", "_total")
+    """Fraction of all draws whose eclipse covers each cadence.
+
+    Every draw becomes the ends of its phase interval; a running count along phase, summed
+    piece by piece, gives the number of open intervals at each cadence. Nothing is collected.
+    """
+    facts = eph.select("target_id", "period", "epoch", "duration_hours").join(draws.groupBy("target_id").agg(F.count(F.lit(1)).alias("_total")), "target_id")
+    rows = attach(df, facts.select("target_id", F.col("period").alias("_p"), F.col("epoch").alias("_e"), "_total"), TARGET, spread=["t"])
+    turn = floored_mod(phase_days("t", "_p", "_e") / F.col("_p"), F.lit(1.0))
+    rows = rows.select("target_id", F.struct(*df.columns).alias("_row"), "_total", turn.alias("x"), F.lit(1).alias("side"), F.lit(0).alias("step"))
+    seen = attach(draws.where(F.col("phase").isNotNull()), facts.select("target_id", (F.col("duration_hours") / 48.0 / F.col("period")).alias("_h")), TARGET, spread=["phase"])
+    half = F.col("_h") * F.col("duration_ratio")
+    low, high = F.col("phase") - half, F.col("phase") + half
+    edge = lambda x, side, step: F.struct(x.cast("double").alias("x"), F.lit(side).alias("side"), F.lit(step).alias("step"))
+    always = edge(F.lit(-1.0), 2, 1)
+    ends = (F.when(half >= 0.5, F.array(always)).when(low < 0, F.array(always, edge(high, 0, -1), edge(low + 1, 2, 1)))
+            .when(high > 1, F.array(always, edge(high - 1, 0, -1), edge(low, 2, 1))).otherwise(F.array(edge(low, 2, 1), edge(high, 0, -1))))
+    ends = seen.select("target_id", F.explode(ends).alias("v")).groupBy("target_id", "v.x", "v.side").agg(F.sum("v.step").cast("int").alias("step"))
+    both = rows.unionByName(ends, allowMissingColumns=True)
+    # an interval is open: its end counts before a cadence at the same phase, its start after
+    counted = running_sum(both, TARGET, ["x", "side"], F.floor(F.col("x") * 256).cast("int"), "step", "_open").where(F.col("_row").isNotNull())
+    return counted.select("_row.*", (F.col("_open") / F.col("_total")).alias("template"))
 
 
 def circular_phase_summary(draws: DataFrame) -> DataFrame:
@@ -352,25 +366,34 @@ def sed_summary(grid: DataFrame) -> DataFrame:
     return weighted_percentiles(merged, ["target_id", "param"], "value", "weight")
 
 
-def nearest_atmosphere(stars: DataFrame, grid: DataFrame, steps: Sequence[float] = (250.0, 5000.0, 1e5)) -> DataFrame:
-    """Nearest (Teff, logg, [Fe/H]) node of each star.
+def nearest_atmosphere(stars: DataFrame, grid: DataFrame, steps: Sequence[float] = (250.0, 5000.0), parts: int = 16) -> DataFrame:
+    """Nearest (Teff, logg, [Fe/H]) node of each star; every star stays, with a ``status``.
 
-    Stars meet the nodes of their own and the two adjoining temperature buckets. A
-    node within one bucket width beats any node outside them; stars without one
-    go on to the next, wider buckets.
+    A star outside the nodes' temperatures is looked up at the nearest end of their range. Stars meet the nodes
+    of their own and the two adjoining temperature buckets; what is found no farther than a bucket beyond
+    the way to that end beats any node outside them. The rest goes on to wider buckets, the last of
+    which span the range. Stars are dealt over ``parts`` tasks per bucket.
     """
-    left, found = stars, None
-    for step in steps:
-        nodes = grid.select(F.floor(F.col("teff_k") / step).alias("_b"), F.col("node_id"), F.col("teff_k").alias("_t"), F.col("logg_cgs").alias("_g"), F.col("feh").alias("_f"))
-        home = F.floor(F.col("teff_k") / step)
-        x = attach(left.withColumn("_b", F.explode(F.sequence(home - 1, home + 1))), nodes, ["_b"], parts=2, spread=["target_id"])
-        square = lambda a, b: (F.col(a) - F.col(b)) * (F.col(a) - F.col(b))
+    known = grid.where(F.col("teff_k").isNotNull() & F.col("logg_cgs").isNotNull() & F.col("feh").isNotNull())
+    span = known.agg(F.min("teff_k").alias("_min"), F.max("teff_k").alias("_max"))  # one row
+    placed = stars.where(F.col("teff_k").isNotNull() & F.col("logg_cgs").isNotNull() & F.col("feh").isNotNull()).select("target_id", "teff_k", "logg_cgs", "feh").distinct()
+    left = settle(placed.join(F.broadcast(span)).withColumn("_at", F.greatest(F.least("teff_k", "_max"), F.col("_min"))))
+    found = None
+    for step in [*map(F.lit, steps), F.col("_max") - F.col("_min") + 1]:
+        nodes = known.join(F.broadcast(span)).select(F.floor((F.col("teff_k") - F.col("_min")) / step).alias("_b"), "node_id", F.col("teff_k").alias("_t"), F.col("logg_cgs").alias("_g"), F.col("feh").alias("_f"))
+        home = F.floor((F.col("_at") - F.col("_min")) / step)
+        x = attach(left.withColumn("_b", F.explode(F.sequence(home - 1, home + 1))), nodes, ["_b"], parts=parts, spread=["target_id", "teff_k"])
+        square = lambda a, b: (F.col(a) - F.col(b)) * (F.col(a) - F.col(b))
         d = F.sqrt(square("teff_k", "_t") + square("logg_cgs", "_g") + square("feh", "_f"))
-        near = x.withColumn("distance", d).where(F.col("distance") <= step).groupBy("target_id").agg(
-            F.min_by(F.struct("node_id", "distance"), F.struct(F.round("distance", 9), "node_id")).alias("b")).select("target_id", "b.*")
+        key = ["target_id", "teff_k", "logg_cgs", "feh"]
+        near = x.withColumn("distance", d).where(F.col("distance") <= F.abs(F.col("teff_k") - F.col("_at")) + step).groupBy(*key).agg(
+            F.min_by(F.struct("node_id", "distance"), F.struct(F.round("distance", 9), "node_id")).alias("b")).select(*key, "b.*")
+        near = settle(near)
         found = near if found is None else found.unionByName(near)
-        left = left.join(near, "target_id", "left_anti")
-    return found
+        left = left.join(near, key, "left_anti")
+    whole = F.col("teff_k").isNotNull() & F.col("logg_cgs").isNotNull() & F.col("feh").isNotNull()
+    status = F.when(~whole, "coordinate missing").when(F.col("node_id").isNull(), "no node").otherwise("matched")
+    return stars.join(found, ["target_id", "teff_k", "logg_cgs", "feh"], "left").select("target_id", "node_id", "distance", status.alias("status"))
 
 
 # ---- posterior chains --------------------------------------------------------------------------

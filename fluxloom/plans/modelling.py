@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from fluxloom.operators import models as M
 from fluxloom.operators.parameters import derive_parameters
-from fluxloom.operators.series import thin
 from fluxloom.plans.folds import wpct_sql
 from fluxloom.plans.registry import query
 from fluxloom.sources import adapters as A
@@ -78,7 +77,7 @@ def _(spark, folder):
 
 CHAIN = """ch AS (SELECT l_suppkey % 16 AS target_id, l_orderkey * 8 + l_linenumber AS step, max(l_discount) * 3 AS e, max(l_quantity) / 10 AS omega, max(l_tax) + 0.05e0 AS rp, max(l_linenumber) * 0.1e0 AS b FROM lineitem GROUP BY 1, 2)"""
 GEO = """ck AS (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY step) AS rn, count(*) OVER (PARTITION BY target_id) AS n FROM ch),
-tk AS (SELECT * FROM ck WHERE n <= 128 OR floor(ceil((rn - 1) * 127 / (n - 1)) * (n - 1) / 127) = rn - 1),
+tk AS (SELECT * FROM ck),
 an AS (SELECT *, 2 * atan2(sqrt(1 - e) * sin((1.5e0 * pi() - omega) / 2), sqrt(1 + e) * cos((1.5e0 * pi() - omega) / 2)) AS eo,
   2 * atan2(sqrt(1 - e) * sin((0.5e0 * pi() - omega) / 2), sqrt(1 + e) * cos((0.5e0 * pi() - omega) / 2)) AS et FROM tk),
 dm AS (SELECT *, eo - e * sin(eo) - (et - e * sin(et)) AS d, (1 + e * sin(omega)) / (1 - e * sin(omega)) AS ratio, (1 + rp) * (1 + rp) AS sz FROM an),
@@ -89,7 +88,7 @@ dr AS (SELECT target_id, step, (d - 2 * pi() * floor(d / (2 * pi()))) / (2 * pi(
 def draws(spark, folder):
     ch = A.table(spark, folder, "lineitem").groupBy((F.col("l_suppkey") % 16).alias("target_id"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("step")).agg(
         (F.max("l_discount") * 3).alias("e"), (F.max("l_quantity") / 10).alias("omega"), (F.max("l_tax") + 0.05).alias("rp"), (F.max("l_linenumber") * 0.1).alias("b"))
-    return M.eclipse_draws(thin(ch, 128, "target_id", "step", 100000))
+    return M.eclipse_draws(ch)
 
 
 @query("h25_eclipse_template", f"""{LC16}, {CHAIN}, {GEO}, tot AS (SELECT target_id, count(*) AS total FROM tk GROUP BY 1),
@@ -151,12 +150,13 @@ def _(spark, folder):
     return rounded(M.sed_summary(M.sed_grid(*photometry(spark, folder))), 5, "p16", "median", "p84").select("target_id", "param", "p16", "median", "p84")
 
 
-@query("h28_nearest_atmosphere", """WITH st AS (SELECT c_custkey AS target_id, 3000 + c_acctbal * 0.7e0 AS teff_k, 3.5e0 + (c_custkey % 15) * 0.1e0 AS logg_cgs, (c_custkey % 7 - 3) * 0.1e0 AS feh FROM customer),
+@query("h28_nearest_atmosphere", """WITH st AS (SELECT c_custkey AS target_id, 3000 + c_acctbal * 0.7e0 + CASE WHEN c_custkey % 13 = 0 THEN 400000 ELSE 0 END AS teff_k, 3.5e0 + (c_custkey % 15) * 0.1e0 AS logg_cgs, CASE WHEN c_custkey % 11 > 0 THEN (c_custkey % 7 - 3) * 0.1e0 END AS feh FROM customer),
 g AS (SELECT p_partkey AS node_id, 3500e0 + (p_partkey % 24) * 100 AS teff_k, 3.5e0 + p_size % 4 * 0.5e0 AS logg_cgs, (p_partkey % 3 - 1) * 0.5e0 AS feh FROM part),
-d AS (SELECT target_id, node_id, sqrt((st.teff_k - g.teff_k) * (st.teff_k - g.teff_k) + (st.logg_cgs - g.logg_cgs) * (st.logg_cgs - g.logg_cgs) + (st.feh - g.feh) * (st.feh - g.feh)) AS distance FROM st, g)
-SELECT target_id, node_id, round(distance, 7) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY round(distance, 9), node_id) AS k FROM d) WHERE k = 1""")
+d AS (SELECT target_id, node_id, sqrt((st.teff_k - g.teff_k) * (st.teff_k - g.teff_k) + (st.logg_cgs - g.logg_cgs) * (st.logg_cgs - g.logg_cgs) + (st.feh - g.feh) * (st.feh - g.feh)) AS distance FROM st, g WHERE st.feh IS NOT NULL),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY round(distance, 9), node_id) AS k FROM d) WHERE k = 1)
+SELECT target_id, node_id, round(distance, 7) AS distance, CASE WHEN feh IS NULL THEN 'coordinate missing' ELSE 'matched' END AS status FROM st LEFT JOIN b USING (target_id)""")
 def _(spark, folder):
-    st = A.table(spark, folder, "customer").selectExpr("c_custkey AS target_id", "3000 + c_acctbal * 0.7e0 AS teff_k", "3.5e0 + (c_custkey % 15) * 0.1e0 AS logg_cgs", "(c_custkey % 7 - 3) * 0.1e0 AS feh")
+    st = A.table(spark, folder, "customer").selectExpr("c_custkey AS target_id", "3000 + c_acctbal * 0.7e0 + CASE WHEN c_custkey % 13 = 0 THEN 400000 ELSE 0 END AS teff_k", "3.5e0 + (c_custkey % 15) * 0.1e0 AS logg_cgs", "CASE WHEN c_custkey % 11 > 0 THEN (c_custkey % 7 - 3) * 0.1e0 END AS feh")
     g = A.table(spark, folder, "part").selectExpr("p_partkey AS node_id", "3500e0 + (p_partkey % 24) * 100 AS teff_k", "3.5e0 + p_size % 4 * 0.5e0 AS logg_cgs", "(p_partkey % 3 - 1) * 0.5e0 AS feh")
     return rounded(M.nearest_atmosphere(st, g), 7, "distance")
 
