@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 TCE_BOUNDS = {"snr": (20.0, None), "period": (1.0, 15.0), "depth_ppm": (200.0, 1500.0), "planet_radius": (1.2, 3.5), "stellar_radius": (None, 1.3), "tmag": (None, 12.5)}
 
 
-def filter_tce(df: DataFrame, bounds: Mapping[str, tuple] = TCE_BOUNDS) -> DataFrame:
-    """Rows that supply and satisfy every bound; only a missing magnitude passes."""
+def within_bounds(bounds: Mapping[str, tuple] = TCE_BOUNDS) -> Column:
+    """Does a row supply and satisfy every bound? Only a missing magnitude passes."""
     keep = F.lit(True)
     for name, (low, high) in bounds.items():
         ok = F.col(name).isNotNull()
@@ -23,7 +23,11 @@ def filter_tce(df: DataFrame, bounds: Mapping[str, tuple] = TCE_BOUNDS) -> DataF
         if high is not None:
             ok = ok & (F.col(name) <= high)
         keep = keep & (F.col(name).isNull() | ok if name == "tmag" else ok)
-    return df.where(keep)
+    return keep
+
+
+def filter_tce(df: DataFrame, bounds: Mapping[str, tuple] = TCE_BOUNDS) -> DataFrame:
+    return df.where(within_bounds(bounds))
 
 
 def filter_targets(df: DataFrame, tag: str | None = None, phase: str | None = None, mission: str | None = None) -> DataFrame:

@@ -164,16 +164,18 @@ LINES = """ln AS (SELECT doc_id, CASE WHEN doc_id % 10 = 3 AND i = 1 THEN concat
   FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents))"""
 
 
-@query("j14_scan_text", f"""WITH {LINES}, a AS (SELECT DISTINCT lower(lang) AS w FROM documents),
+@query("j14_scan_text", f"""WITH {LINES}, a AS (SELECT DISTINCT lower(regexp_replace(array_to_string(string_split(text, ' ')[1:2], ' '), '[^0-9A-Za-z]', '', 'g')) AS w FROM benchmark),
+tk AS (SELECT doc_id, n, list_filter(regexp_split_to_array(lower(line), '[^a-z0-9]+'), lambda x: x <> '') AS t FROM ln),
+g AS (SELECT DISTINCT doc_id, n, array_to_string(t[i:i + k - 1], '') AS w FROM tk, range(1, 6) AS r(k), range(1, len(t) - k + 2) AS s(i)),
 h AS (SELECT doc_id, n, 'target-id' AS finding FROM ln WHERE regexp_matches(line, '(?i)(^|[^A-Za-z0-9])(TOI[\\s._-]*\\d{{1,7}}(\\.\\d{{1,2}})?|TIC[\\s._:-]*\\d{{5,12}}|(TOI|TIC)\\d{{4,}})([^A-Za-z0-9]|$)')
-UNION ALL SELECT DISTINCT doc_id, n, 'alias' FROM (SELECT doc_id, n, unnest(list_distinct(regexp_split_to_array(lower(line), '[^a-z0-9]+'))) AS w FROM ln) WHERE w IN (SELECT w FROM a))
+UNION ALL SELECT DISTINCT doc_id, n, 'alias' FROM g WHERE w IN (SELECT w FROM a WHERE length(w) >= 4))
 SELECT doc_id AS path, n AS line_number, finding FROM h WHERE NOT (doc_id % 20 = 3 AND n = 0 AND finding = 'target-id')""")
 def _(spark, folder):
     d = A.table(spark, folder, "documents")
     l = d.select(F.col("doc_id").alias("path"), F.posexplode(F.split("text", "\n")).alias("line_number", "l"))
     line = F.when((F.col("path") % 10 == 3) & (F.col("line_number") == 0), F.concat("l", F.lit(" TIC 1234567"))).when((F.col("path") % 10 == 4) & (F.col("line_number") == 0), F.concat(F.lit("toi-700.01 "), "l")).otherwise(F.col("l"))
     ex = d.where("doc_id % 10 = 3").select(F.col("doc_id").alias("path"), F.lit(0).alias("line_number"), F.lit("target-id").alias("finding"), F.expr("CASE WHEN doc_id % 20 = 3 THEN date'2030-01-01' ELSE date'2020-01-01' END").alias("expires"))
-    return J.scan_text(l.select("path", "line_number", line.alias("line")), d.select(F.col("lang").alias("alias")).distinct(), ex, "2024-06-01")
+    return J.scan_text(l.select("path", "line_number", line.alias("line")), A.table(spark, folder, "benchmark").select(F.array_join(F.slice(F.split("text", " "), 1, 2), " ").alias("alias")), ex, "2024-06-01")
 
 
 @query("j15_gate_errors", """WITH t AS (SELECT p_partkey AS t, p_size % 7 AS ph, p_partkey % 4 AS c, p_partkey % 3 AS n, p_partkey % 5 AS f, p_partkey % 11 AS s, p_size % 7 NOT IN (2, 5) AS doc FROM part)

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import functions as F
 
 from fluxloom.operators import records as R
 from fluxloom.plans.registry import query
-from fluxloom.session import checkpoint_folder
+from fluxloom.session import scratch_path
 from fluxloom.sources import adapters as A
 from fluxloom.sources import records as S
 
@@ -121,7 +120,7 @@ def _(spark, folder):
 @query("a14_append_run", """SELECT o_orderkey AS retrieval_id, o_orderpriority AS provider FROM orders WHERE o_orderstatus <> 'F'""")
 def _(spark, folder):
     """Two runs over one table: the second appends only what the first did not store."""
-    path = f"{checkpoint_folder(spark)}/runs-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "runs")
     rows = A.table(spark, folder, "orders").select(F.col("o_orderkey").alias("retrieval_id"), F.col("o_orderpriority").alias("provider"), "o_orderstatus")
     S.append_run(rows.where("o_orderstatus = 'F'").drop("o_orderstatus"), path, "r1", ["retrieval_id"])
     return S.append_run(rows.drop("o_orderstatus"), path, "r2", ["retrieval_id"]).select("retrieval_id", "provider")
@@ -129,7 +128,7 @@ def _(spark, folder):
 
 @query("a15_event_log", """SELECT event_type AS event, CAST(user_id AS VARCHAR) AS target_id, 'active' AS state, CAST(event_id AS VARCHAR) AS reason FROM events""")
 def _(spark, folder):
-    path = f"{checkpoint_folder(spark)}/log-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "log")
     e = A.events(spark, folder).select(F.col("event_type").alias("event"), F.col("target_id").cast("string").alias("target_id"), F.lit("active").alias("state"), F.col("event_id").cast("string").alias("reason"))
     S.append_events(e.where("event = 'view'"), path)
     S.append_events(e.where("event <> 'view'"), path)

@@ -2,23 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from fluxloom.plans.matching import novelty_inputs
 from fluxloom.plans.record_queries import TCE, TCE_SQL
 from fluxloom.plans.registry import query
-from fluxloom.session import checkpoint_folder
+from fluxloom.session import scratch_path
 from fluxloom.sources import adapters as A
 from fluxloom.streaming import harvest as H
 from fluxloom.streaming import lifecycle as L
 
 
-def scratch(spark, name: str) -> str:
-    return f"{checkpoint_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def finish(handle) -> None:
     handle.awaitTermination()
     if handle.exception():
@@ -26,16 +20,16 @@ def finish(handle) -> None:
 
 
 @query("k1_harvest_stream", f"""WITH {TCE_SQL}, f AS (SELECT source_row FROM tc WHERE snr >= 20 AND period BETWEEN 1 AND 15 AND depth_ppm BETWEEN 200 AND 1500 AND planet_radius BETWEEN 1.2e0 AND 3.5e0 AND stellar_radius <= 1.3e0 AND (tmag IS NULL OR tmag <= 12.5e0))
-SELECT source_row, source_row AS target_id, CASE WHEN p_size % 9 = 0 THEN 'ineligible' WHEN p_size % 13 = 0 THEN 'unavailable' WHEN (p_size + 1) % 9 = 0 OR (p_size + 2) % 9 = 0 THEN 'ineligible' ELSE 'registered' END AS outcome FROM f JOIN part ON p_partkey = source_row WHERE source_row > 0""")
+SELECT CASE WHEN p_partkey > 0 THEN p_partkey END AS target_id, CASE WHEN source_row IS NULL THEN 'out-of-bounds' WHEN p_partkey = 0 THEN 'invalid-identifier' WHEN p_size % 9 = 0 THEN 'ineligible' WHEN p_size % 13 = 0 THEN 'unavailable' WHEN (p_size + 1) % 9 = 0 OR (p_size + 2) % 9 = 0 THEN 'ineligible' ELSE 'registered' END AS outcome FROM part LEFT JOIN f ON p_partkey = source_row""")
 def _(spark, folder):
     """The release arrives as CSV files; outcomes are read back from the sink table."""
-    names = [n.strip("`") for n, _ in TCE]
-    source, sink = scratch(spark, "release"), scratch(spark, "harvest")
-    A.table(spark, folder, "part").selectExpr(*[f"{e.format(s='STRING')} AS {n}" for n, e in TCE]).withColumn("source_row", F.col("source_row").cast("string")).write.option("header", "true").csv(source)
+    names = [n.strip("`") for n, _ in TCE[1:]]
+    source, sink = scratch_path(spark, "release"), scratch_path(spark, "harvest")
+    A.table(spark, folder, "part").selectExpr(*[f"{e.format(s='STRING')} AS {n}" for n, e in TCE[1:]]).write.option("header", "true").csv(source)
     _, registries, availability = novelty_inputs(spark, folder)
-    stream = H.release_stream(spark, source, names).withColumn("source_row", F.col("source_row").cast("long"))
-    finish(H.harvest_stream(stream, registries, availability, sink, scratch(spark, "harvest-state")))
-    return spark.read.schema(H.OUTCOMES).parquet(sink).select("source_row", "target_id", "outcome")
+    stream = H.release_stream(spark, source, names)
+    finish(H.harvest_stream(stream, registries, availability, sink, scratch_path(spark, "harvest-state")))
+    return spark.read.schema(H.OUTCOMES).parquet(sink).select("target_id", "outcome")
 
 
 STATE = "CASE event_type WHEN 'view' THEN 'active' WHEN 'click' THEN 'paused' WHEN 'error' THEN 'stopped' WHEN 'purchase' THEN 'published' ELSE 'archived' END"
@@ -53,8 +47,8 @@ def _(spark, folder):
     raw = spark.readStream.schema(schema).parquet(f"{folder}/events*.parquet")
     events = raw.select(F.col("user_id").alias("target_id"), "event_id", F.col("ts").alias("at"), F.expr(STATE).alias("state"),
                         F.when(F.get_json_object("props", "$.k").cast("int") % 3 > 0, "why").alias("reason"))
-    sink = scratch(spark, "lifecycle")
-    finish(L.run_to_table(L.lifecycle_stream(events), sink, scratch(spark, "lifecycle-state")))
+    sink = scratch_path(spark, "lifecycle")
+    finish(L.run_to_table(L.lifecycle_stream(events), sink, scratch_path(spark, "lifecycle-state")))
     return spark.read.schema(L.OUTPUT).parquet(sink)
 
 
@@ -62,6 +56,6 @@ def _(spark, folder):
 def _(spark, folder):
     schema = A.table(spark, folder, "orders").schema
     stream = spark.readStream.schema(schema).parquet(f"{folder}/orders*.parquet").select(F.col("o_orderstatus").alias("outcome"))
-    sink = scratch(spark, "counts")
-    finish(H.outcome_counts(stream, sink, scratch(spark, "counts-state")))
+    sink = scratch_path(spark, "counts")
+    finish(H.outcome_counts(stream, sink, scratch_path(spark, "counts-state")))
     return H.latest_counts(spark, sink)

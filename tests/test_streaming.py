@@ -1,14 +1,12 @@
 """Streams over files that arrive in two steps."""
 
-from pyspark.sql import functions as F
-
 from fluxloom.streaming import harvest, lifecycle
 
-COLUMNS = ["source_row", "tic_id", "snr", "period", "depth_ppm", "planet_radius", "stellar_radius", "tmag"]
+COLUMNS = ["tic_id", "snr", "period", "depth_ppm", "planet_radius", "stellar_radius", "tmag"]
 
 
 def release(path, rows):
-    path.write_text(",".join(COLUMNS) + "\n" + "".join(f"{i},{tic},25,3,800,2,1,10\n" for i, tic in rows))
+    path.write_text(",".join(COLUMNS) + "\n" + "".join(f"{tic},{snr},3,800,2,1,10\n" for tic, snr in rows))
 
 
 def test_harvest_does_not_register_twice(spark, tmp_path):
@@ -19,15 +17,17 @@ def test_harvest_does_not_register_twice(spark, tmp_path):
     sink, state = str(tmp_path / "sink"), str(tmp_path / "state")
 
     def run():
-        stream = harvest.release_stream(spark, str(src), COLUMNS).withColumn("source_row", F.col("source_row").cast("long"))
+        stream = harvest.release_stream(spark, str(src), COLUMNS)
         harvest.harvest_stream(stream, {"a": registry}, up, sink, state).awaitTermination()
 
-    release(src / "one.csv", [(1, 10), (2, 30), (3, 10)])
+    release(src / "one.csv", [(10, 25), (30, 25), (10, 25), (50, 3), ("x1", 25)])
+    release(src / "same.csv", [(10, 25)])
     run()
-    release(src / "two.csv", [(4, 10), (5, 20), (6, 40)])
+    release(src / "two.csv", [(10, 25), (20, 25), (40, 25)])
     run()
-    got = {r["source_row"]: r["outcome"] for r in spark.read.parquet(sink).collect()}
-    assert got == {1: "registered", 2: "ineligible", 3: "already-provisioned", 4: "already-provisioned", 5: "registered", 6: "unavailable"}
+    got = sorted((r["target_id"] or 0, r["outcome"]) for r in spark.read.parquet(sink).collect())
+    assert got == [(0, "invalid-identifier"), (10, "already-provisioned"), (10, "already-provisioned"), (10, "already-provisioned"), (10, "registered"),
+                   (20, "registered"), (30, "ineligible"), (40, "unavailable"), (50, "out-of-bounds")]
 
 
 def test_lifecycle_state_survives_between_runs(spark, tmp_path):
