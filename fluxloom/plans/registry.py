@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fluxloom.session import tune
+from fluxloom.session import ship, tuned
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,7 +22,8 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
             raise ValueError(f"query {name} registered twice")
 
         def run(spark: SparkSession, folder: str) -> DataFrame:
-            return fn(tune(spark), folder)
+            ship(spark)
+            return fn(tuned(spark), folder)
 
         run.__doc__ = fn.__doc__
         QUERIES[name] = run

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import re
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,11 +23,40 @@ RUNTIME_CONF = {
 }
 
 
-def tune(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings to a session that somebody else created."""
+def is_local(spark: SparkSession) -> bool:
+    """Driver and executors are one process."""
+    return re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master) is not None
+
+
+def tuned(spark: SparkSession) -> SparkSession:
+    """A session of our own beside the caller's: its settings, then ours. The caller's stay as they are."""
+    own = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if key.startswith("spark.sql.") and spark.conf.isModifiable(key):
+            own.conf.set(key, value)
     for key, value in RUNTIME_CONF.items():
-        spark.conf.set(key, value)
-    return spark
+        own.conf.set(key, value)
+    return own
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once per application, so that they need no copy of the repository."""
+    context = spark.sparkContext
+    if is_local(spark) or context.applicationId in _shipped:
+        return
+    home = os.path.dirname(os.path.abspath(__file__))
+    bundle = os.path.join(tempfile.mkdtemp(prefix="fluxloom-"), "fluxloom.zip")
+    with zipfile.ZipFile(bundle, "w", zipfile.ZIP_DEFLATED) as out:
+        for folder, _, names in os.walk(home):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.join("fluxloom", os.path.relpath(path, home)))
+    context.addPyFile(bundle)
+    _shipped.add(context.applicationId)
 
 
 def local_session(cores: str | int = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -59,7 +90,7 @@ def checkpoint_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    if not re.fullmatch(r"local(\[[^,\]]*\])?", spark.sparkContext.master):
+    if not is_local(spark):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if _private_folder is None:
         _private_folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
