@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from fluxloom.llm import best_fit, chat, content_sort, dropout, fingerprints, language, licenses, ngram_join, tokens, training_order, warc
-from fluxloom.session import scratch_path
+from fluxloom.session import scratch_path, ship
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -18,7 +18,11 @@ SQL: dict[str, str] = {}
 
 def _query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def wrap(fn: Query) -> Query:
-        QUERIES[name] = fn
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            ship(spark)
+            return fn(spark, folder)
+
+        QUERIES[name] = run
         if sql:
             SQL[name] = sql
         return fn
