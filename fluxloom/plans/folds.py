@@ -110,14 +110,14 @@ def _(spark, folder):
 
 
 @query("d3_phase_bins", f"""{LC16}, f AS (SELECT target_id, flux, {HOURS} AS h {FOLD}),
-b AS (SELECT target_id, CAST(least(floor((h + 14e0) / (28e0 / 28)), 27) AS INTEGER) AS bin, count(*) AS n, median(flux) AS m,
+b AS (SELECT target_id, CAST(least(floor((h + 14e0) / (28e0 / 210)), 209) AS INTEGER) AS bin, count(*) AS n, median(flux) AS m,
   stddev_pop(flux) AS sd FROM f WHERE abs(h) <= 14 GROUP BY 1, 2)
-SELECT target_id, CAST(r.bin AS INTEGER) AS bin, round((r.bin + 0.5e0) * (28e0 / 28) - 14, 6) AS centre_hours,
+SELECT target_id, CAST(r.bin AS INTEGER) AS bin, round((r.bin + 0.5e0) * (28e0 / 210) - 14, 6) AS centre_hours,
   coalesce(n, 0) AS n, round(CASE WHEN n >= 3 THEN m END, 9) AS median_flux,
   round(CASE WHEN n >= 3 THEN 1.253e0 * sd / sqrt(n) END, 9) AS error
-FROM (SELECT target_id, i AS bin FROM eph, range(28) AS x(i)) r LEFT JOIN b USING (target_id, bin)""")
+FROM (SELECT target_id, i AS bin FROM eph, range(210) AS x(i)) r LEFT JOIN b USING (target_id, bin)""")
 def _(spark, folder):
-    out = O.phase_bins(*both(spark, folder, A.SERIES16), limit_hours=14.0, bin_minutes=60.0)
+    out = O.phase_bins(*both(spark, folder, A.SERIES16), limit_hours=14.0, bin_minutes=8.0)
     return out.select("target_id", "bin", F.round("centre_hours", 6).alias("centre_hours"), "n",
                       F.round("median_flux", 9).alias("median_flux"), F.round("error", 9).alias("error"))
 

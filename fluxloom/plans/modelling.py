@@ -112,7 +112,7 @@ def _(spark, folder):
 def _(spark, folder):
     rv = A.events(spark, folder, A.SERIES16).select("target_id", F.col("event_type").alias("instrument"), "t", F.col("value").alias("velocity"), (F.col("k") % 5 + 2.0).alias("sigma"))
     periods = rv.select("target_id").distinct().withColumn("period", F.col("target_id") * 0.5 + 3.0)
-    return M.rv_compare(rv, periods, (0.0, 0.3), 8, (0.0, 3.0))
+    return M.rv_compare(rv, periods)
 
 
 PHOT = [(b, 6.0 + i * 0.03) for i, b in enumerate(M.BANDS)]

@@ -114,9 +114,9 @@ def _(spark, folder):
 
 
 @query("f5_thin", f"""WITH {SAMPLES}, r AS (SELECT *, row_number() OVER (PARTITION BY chain ORDER BY step) AS rn, count(*) OVER (PARTITION BY chain) AS n FROM smp)
-SELECT chain, step, rn, n FROM r WHERE n <= 128 OR floor(ceil((rn - 1) * 127 / (n - 1)) * (n - 1) / 127) = rn - 1""")
+SELECT chain, step, rn, n FROM r WHERE n <= 512 OR floor(ceil((rn - 1) * 511 / (n - 1)) * (n - 1) / 511) = rn - 1""")
 def _(spark, folder):
-    return S.thin(samples(spark, folder), 128).select("chain", "step", "rn", "n")
+    return S.thin(samples(spark, folder), 512).select("chain", "step", "rn", "n")
 
 
 def chain_rows(spark, folder):

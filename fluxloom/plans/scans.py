@@ -103,6 +103,20 @@ def _(spark, folder):
     return out.select("target_id", "sector", "bin", *[F.round(c, 9).alias(c) for c in ("t", "flux", "flux_err")], "n_in_bin")
 
 
+ONE = "0 * user_id"  # all cadences as one series, so that the default number of bins is exceeded
+
+
+@query("a5_median_bin_default", f"""WITH {A.cadence_sql(ONE)},
+r AS (SELECT *, row_number() OVER (PARTITION BY target_id, sector ORDER BY t) AS rn,
+  count(*) OVER (PARTITION BY target_id, sector) AS n FROM (SELECT * REPLACE (1 AS sector) FROM lc))
+SELECT target_id, sector, CAST(CASE WHEN n <= 4000 THEN rn - 1 ELSE (rn * 4000 - 1) // n END AS BIGINT) AS bin,
+  round(avg(t), 9) AS t, round(median(flux), 9) AS flux, round(median(flux_err), 9) AS flux_err, count(*) AS n_in_bin
+FROM r GROUP BY 1, 2, 3""")
+def _(spark, folder):
+    out = C.median_bin(A.cadence(spark, folder, ONE).withColumn("sector", F.lit(1)), n_bins=4000)
+    return out.select("target_id", "sector", "bin", *[F.round(c, 9).alias(c) for c in ("t", "flux", "flux_err")], "n_in_bin")
+
+
 @query("a6_read_pixels", """SELECT vec_id AS cadence, label AS sector, CAST((i - 1) % 8 AS INTEGER) AS x,
   CAST((i - 1) // 8 AS INTEGER) AS y, CAST(embedding[i] AS DOUBLE) AS flux
 FROM embeddings, range(1, 65) AS r(i)""")
