@@ -21,6 +21,7 @@ ORDER = 4  # symbols of an n-gram; 64 bits hold four
 SAMPLE = 3000  # labelled documents per language that models are fitted and calibrated on
 MAX_LANGUAGES = 200  # the most frequent labels are learned
 UNKNOWN = "und"
+MARGIN = 0.75  # nats per symbol that a text may lie above its language's calibrated range: texts of two languages, names and keys stay
 CHUNK = 2_000_000  # symbols scored at once
 SCRAMBLE = np.uint64(0x9E3779B97F4A7C15)
 UNSCRAMBLE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
@@ -182,7 +183,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     for k in range(len(names)):
         own = seen.loc[seen["lang"] == k, "excess"].to_numpy()
         if len(own):
-            models.limits[k] = max(own.max(), np.quantile(own, 0.75) + 3 * (np.quantile(own, 0.75) - np.quantile(own, 0.25))) + 0.25
+            models.limits[k] = max(own.max(), np.quantile(own, 0.75) + 3 * (np.quantile(own, 0.75) - np.quantile(own, 0.25))) + MARGIN
     return models
 
 
