@@ -206,21 +206,23 @@ NOVELTY_PHASES = ("feasibility", "review")
 def gate_errors(targets: DataFrame, checklists: DataFrame, novelty: DataFrame, provenance: DataFrame) -> DataFrame:
     """What keeps each target from leaving its phase, one row per error.
 
-    ``targets``: ``target_id, phase, state``; ``checklists``: progress per (target, phase);
+    ``targets``: ``target_id, phase, state``; ``checklists``: progress per (target, phase) with the
+    names of the ``unchecked`` mandatory items, each of which is an error of its own;
     the analysis phase always stops, because no calibrated false-positive claim exists.
     """
     audit = novelty.where("valid").select("target_id").distinct().withColumn("_novel", F.lit(True))
     files = provenance.groupBy("target_id").agg(F.bool_and(F.col("provenance") == "ok").alias("_files"))
-    c = checklists.select("target_id", "phase", "mandatory", "mandatory_checked", F.lit(True).alias("_list"))
+    c = checklists.select("target_id", "phase", "mandatory", "unchecked", F.lit(True).alias("_list"))
     x = targets.join(c, ["target_id", "phase"], "left").join(audit, "target_id", "left").join(files, "target_id", "left")
     phase, listed = F.col("phase"), F.col("phase").isin(*DOCUMENT_PHASES)
     rules = [
         (F.col("state") == "stopped", "lifecycle stopped"), (listed & F.col("_list").isNull(), "missing gate document"),
-        (listed & (F.col("mandatory") == 0), "no mandatory items"), (listed & (F.col("mandatory_checked") < F.col("mandatory")), "unchecked mandatory items"),
+        (listed & (F.col("mandatory") == 0), "no mandatory items"),
         (phase.isin(*NOVELTY_PHASES) & F.col("_novel").isNull(), "no valid novelty audit"), ((phase == "acquisition") & ~yes(F.col("_files")), "provenance not verified"),
         (phase == "analysis", "no calibrated false-positive claim"), ((phase == "review") & F.col("state").isin("published", "archived"), "already locked")]
     found = F.array_compact(F.array(*[F.when(yes(bad), F.lit(text)) for bad, text in rules]))
-    return x.select("target_id", F.explode(found).alias("error"))
+    items = F.when(listed & F.col("unchecked").isNotNull(), F.transform("unchecked", lambda i: F.concat(F.lit("unchecked mandatory item: "), i))).otherwise(F.array().cast("array<string>"))
+    return x.select("target_id", F.explode(F.concat(found, items)).alias("error"))
 
 
 def semantic_hash(df: DataFrame, volatile: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:

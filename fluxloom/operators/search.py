@@ -12,7 +12,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fluxloom.functions.fold import phase_hours
@@ -125,9 +124,8 @@ def select_peak(periodogram: DataFrame, df: DataFrame, grid: DataFrame, series:
     exact event count runs on those few; no trial is ever dropped by a cap.
     """
     group = [*series, "duration_hours"]
-    # the window holds one row per trial period of a series, however many cadences it has
-    sure = F.max(F.when(F.col("two_events"), F.col("power"))).over(W.partitionBy(*group))
-    rivals = periodogram.withColumn("_sure", sure).where(F.col("_sure").isNull() | (F.col("power") >= F.col("_sure")))
+    sure = periodogram.groupBy(*group).agg(F.max(F.when(F.col("two_events"), F.col("power"))).alias("_sure"))
+    rivals = attach(periodogram, sure, group, spread=["trial"]).where(F.col("_sure").isNull() | (F.col("power") >= F.col("_sure")))
     valid = events_in_box(df, rivals.drop("_sure", "two_events"), series).where(F.col("n_events") >= 2)
     best = valid.groupBy(*group).agg(F.max_by(
         F.struct("trial", "period", "epoch", "depth", "depth_err", "power", "n_events"),

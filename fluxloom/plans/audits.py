@@ -180,13 +180,13 @@ def _(spark, folder):
 
 @query("j15_gate_errors", """WITH t AS (SELECT p_partkey AS t, p_size % 7 AS ph, p_partkey % 4 AS c, p_partkey % 3 AS n, p_partkey % 5 AS f, p_partkey % 11 AS s, p_size % 7 NOT IN (2, 5) AS doc FROM part)
 SELECT t AS target_id, 'lifecycle stopped' AS error FROM t WHERE s = 1 UNION ALL SELECT t, 'missing gate document' FROM t WHERE doc AND c = 0 UNION ALL SELECT t, 'no mandatory items' FROM t WHERE doc AND c = 1
-UNION ALL SELECT t, 'unchecked mandatory items' FROM t WHERE doc AND c = 2 UNION ALL SELECT t, 'no valid novelty audit' FROM t WHERE ph IN (1, 6) AND n <> 0 UNION ALL SELECT t, 'provenance not verified' FROM t WHERE ph = 2 AND f IN (0, 1)
+UNION ALL SELECT t, 'unchecked mandatory item: second' FROM t WHERE doc AND c = 2 UNION ALL SELECT t, 'unchecked mandatory item: first' FROM t WHERE doc AND t % 8 = 2 UNION ALL SELECT t, 'no valid novelty audit' FROM t WHERE ph IN (1, 6) AND n <> 0 UNION ALL SELECT t, 'provenance not verified' FROM t WHERE ph = 2 AND f IN (0, 1)
 UNION ALL SELECT t, 'no calibrated false-positive claim' FROM t WHERE ph = 5 UNION ALL SELECT t, 'already locked' FROM t WHERE ph = 6 AND s = 2""")
 def _(spark, folder):
     p = A.table(spark, folder, "part").withColumn("target_id", F.col("p_partkey"))
     p = p.withColumn("phase", F.element_at(F.array(*[F.lit(x) for x in J.PHASES]), (F.col("p_size") % 7 + 1).cast("int")))
     t = p.select("target_id", "phase", F.expr("CASE target_id % 11 WHEN 1 THEN 'stopped' WHEN 2 THEN 'published' ELSE 'active' END").alias("state"))
-    lists = p.where("target_id % 4 <> 0").selectExpr("target_id", "phase", "CASE WHEN target_id % 4 = 1 THEN 0 ELSE 3 END AS mandatory", "CASE WHEN target_id % 4 = 1 THEN 0 WHEN target_id % 4 = 2 THEN 2 ELSE 3 END AS mandatory_checked")
+    lists = p.where("target_id % 4 <> 0").selectExpr("target_id", "phase", "CASE WHEN target_id % 4 = 1 THEN 0 ELSE 3 END AS mandatory", "CASE WHEN target_id % 8 = 2 THEN array('first', 'second') WHEN target_id % 4 = 2 THEN array('second') ELSE cast(array() AS array<string>) END AS unchecked")
     files = p.where("target_id % 5 <> 0").selectExpr("target_id", "CASE WHEN target_id % 5 = 1 THEN 'hash-mismatch' ELSE 'ok' END AS provenance")
     return J.gate_errors(t, lists, p.selectExpr("target_id", "target_id % 3 = 0 AS valid"), files)
 

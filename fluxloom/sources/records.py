@@ -174,7 +174,9 @@ def append_run(df: DataFrame, path: str, run_id: str, keys: Sequence[str]) -> Da
     spark = df.sparkSession
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     exists = jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath)
-    fresh = df.dropDuplicates(list(keys))
+    # of rows with one key the smallest by content stays, whatever partitions they come in
+    rest = [c for c in df.columns if c not in keys]
+    fresh = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.to_json(F.struct(*rest))).alias("_row")).select(*keys, "_row.*") if rest else df.distinct()
     if exists:
         fresh = fresh.join(spark.read.parquet(path).select(*keys), list(keys), "left_anti")
     fresh.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").parquet(path)
