@@ -182,17 +182,17 @@ def scan_text(lines: DataFrame, aliases: DataFrame, exceptions: DataFrame, today
     """Identifier and alias leaks in text lines, minus exceptions that have not expired.
 
     ``lines`` has ``path, line_number, line``. An alias of at least four letters and digits matches without
-    case, as written or in compact form: runs of whole tokens, joined, are compared with the
-    compact alias, up to the number of tokens of the longest alias.
+    case, as written (token by token, whatever separates them) or in compact form as one token.
     """
     ids = lines.where(F.col("line").rlike(ID_PATTERN)).select("path", "line_number", F.lit("target-id").alias("finding"))
     tokens = lambda c: F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda x: x != "")
-    names = aliases.select(F.lower(F.regexp_replace("alias", "[^0-9A-Za-z]", "")).alias("word"), F.size(tokens("alias")).alias("_n")).where(F.length("word") >= 4)
-    longest = names.agg(F.max("_n")).first()[0] or 1
-    joined = lambda n: (lambda i: F.array_join(F.slice("_t", i, n), ""))
-    runs = [F.when(F.size("_t") >= n, F.transform(F.sequence(F.lit(1), F.size("_t") - (n - 1)), joined(n))).otherwise(F.array().cast("array<string>")) for n in range(1, longest + 1)]
-    words = lines.withColumn("_t", tokens("line")).where(F.size("_t") > 0).select("path", "line_number", F.explode(F.array_distinct(F.flatten(F.array(*runs)))).alias("word"))
-    named = attach(words, names.select("word").distinct(), ["word"], spread=["path", "line_number"])
+    names = aliases.select(tokens("alias").alias("_a")).where((F.size("_a") > 0) & (F.length(F.array_join("_a", "")) >= 4))
+    names = names.select(F.explode(F.array("_a", F.array(F.array_join("_a", "")))).alias("_a")).distinct().select(F.col("_a")[0].alias("word"), "_a")
+    longest = names.agg(F.max(F.size("_a"))).first()[0] or 1
+    # every token with the few that follow it; only those that start an alias are compared further
+    runs = F.transform(F.sequence(F.lit(1), F.size("_t")), lambda i: F.slice("_t", i, longest))
+    words = lines.withColumn("_t", tokens("line")).where(F.size("_t") > 0).select("path", "line_number", F.explode(F.array_distinct(runs)).alias("_w")).withColumn("word", F.col("_w")[0])
+    named = attach(words, names, ["word"], spread=["path", "line_number"]).where(F.slice("_w", F.lit(1), F.size("_a")) == F.col("_a"))
     hits = ids.unionByName(named.select("path", "line_number", F.lit("alias").alias("finding")).distinct())
     live = exceptions.where(F.col("expires") >= F.lit(today).cast("date")).select("path", "line_number", "finding").distinct()
     return hits.join(live, ["path", "line_number", "finding"], "left_anti").select("path", "line_number", "finding")

@@ -164,11 +164,12 @@ LINES = """ln AS (SELECT doc_id, CASE WHEN doc_id % 10 = 3 AND i = 1 THEN concat
   FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents))"""
 
 
-@query("j14_scan_text", f"""WITH {LINES}, a AS (SELECT DISTINCT lower(regexp_replace(array_to_string(string_split(text, ' ')[1:2], ' '), '[^0-9A-Za-z]', '', 'g')) AS w FROM benchmark),
+@query("j14_scan_text", f"""WITH {LINES}, a0 AS (SELECT DISTINCT list_filter(regexp_split_to_array(lower(array_to_string(string_split(text, ' ')[1:2], ' ')), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM benchmark),
+a AS (SELECT w FROM a0 WHERE length(array_to_string(w, '')) >= 4 UNION SELECT [array_to_string(w, '')] FROM a0 WHERE length(array_to_string(w, '')) >= 4),
 tk AS (SELECT doc_id, n, list_filter(regexp_split_to_array(lower(line), '[^a-z0-9]+'), lambda x: x <> '') AS t FROM ln),
-g AS (SELECT DISTINCT doc_id, n, array_to_string(t[i:i + k - 1], '') AS w FROM tk, range(1, 6) AS r(k), range(1, len(t) - k + 2) AS s(i)),
+g AS (SELECT DISTINCT doc_id, n, t[i:i + k - 1] AS w FROM tk, range(1, 6) AS r(k), range(1, len(t) - k + 2) AS s(i)),
 h AS (SELECT doc_id, n, 'target-id' AS finding FROM ln WHERE regexp_matches(line, '(?i)(^|[^A-Za-z0-9])(TOI[\\s._-]*\\d{{1,7}}(\\.\\d{{1,2}})?|TIC[\\s._:-]*\\d{{5,12}}|(TOI|TIC)\\d{{4,}})([^A-Za-z0-9]|$)')
-UNION ALL SELECT DISTINCT doc_id, n, 'alias' FROM g WHERE w IN (SELECT w FROM a WHERE length(w) >= 4))
+UNION ALL SELECT DISTINCT doc_id, n, 'alias' FROM g WHERE w IN (SELECT w FROM a))
 SELECT doc_id AS path, n AS line_number, finding FROM h WHERE NOT (doc_id % 20 = 3 AND n = 0 AND finding = 'target-id')""")
 def _(spark, folder):
     d = A.table(spark, folder, "documents")
