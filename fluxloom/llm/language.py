@@ -66,6 +66,19 @@ def keys(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return grams[mine[ORDER - 1 :]] * SCRAMBLE, counts
 
 
+def portions(texts: list[str]) -> Iterator[list[str]]:
+    """Runs of texts of about ``CHUNK`` code points together; a longer text comes alone."""
+    own, size = [], 0
+    for text in texts:
+        if own and size + len(text) > CHUNK:
+            yield own
+            own, size = [], 0
+        own.append(text)
+        size += len(text) + 1
+    if own:
+        yield own
+
+
 class Language:
     """Sorted keys of each order with discounted counts and the weights of the lower order."""
 
@@ -123,6 +136,15 @@ class Models:
         starts = np.cumsum(counts) - counts
         return -np.add.reduceat(logs, starts, axis=0, dtype=np.float64) / counts[:, None], counts
 
+    def scored(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """``cross_entropies`` of any number of texts, about ``CHUNK`` symbols at a time."""
+        entropies, counts = [np.zeros((0, len(self.names)))], [np.zeros(0, np.int64)]
+        for own in portions(texts):
+            e, n = self.cross_entropies(own)
+            entropies.append(e)
+            counts.append(n)
+        return np.concatenate(entropies), np.concatenate(counts)
+
     def limit(self, best: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Highest accepted cross-entropy; short texts vary more."""
         return self.limits[best] + 3.0 / np.sqrt(counts)
@@ -154,8 +176,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         for batch in batches:
             langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for lang in sorted(set(langs)):
-                grams, n = np.unique(keys([t for x, t in zip(langs, texts, strict=True) if x == lang])[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams)), pa.array(grams.view(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
+                for own in portions([t for x, t in zip(langs, texts, strict=True) if x == lang]):
+                    grams, n = np.unique(keys(own)[0], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams)), pa.array(grams.view(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
 
     counted = sample.where("NOT calibration").select("lang", "text").mapInArrow(count, "lang string, gram bigint, n bigint")
     table = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()  # bounded by the sample
@@ -174,7 +197,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
     def calibrate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            entropies, counts = shared.value.cross_entropies(batch.column(1).to_pylist())
+            entropies, counts = shared.value.scored(batch.column(1).to_pylist())
             best = entropies.argmin(1)
             right = np.array([shared.value.names[b] for b in best]) == np.array(batch.column(0).to_pylist())
             yield pa.RecordBatch.from_arrays([pa.array(best[right]), pa.array(entropies.min(1)[right] - 3.0 / np.sqrt(counts[right]))], names=["lang", "excess"])
@@ -201,18 +224,8 @@ def predict(docs: DataFrame, models: Models | None, id_col: str = "doc_id", text
         own = shared.value
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            entropies, counts, at = [], [], 0
-            while at < len(texts) and own:
-                stop, size = at, 0
-                while stop < len(texts) and (size == 0 or size + len(texts[stop]) <= CHUNK):
-                    size += len(texts[stop]) + 1
-                    stop += 1
-                e, n = own.cross_entropies(texts[at:stop])
-                entropies.append(e)
-                counts.append(n)
-                at = stop
             if own and texts:
-                e, n = np.concatenate(entropies), np.concatenate(counts)
+                e, n = own.scored(texts)
                 best = e.argmin(1)
                 low = e[np.arange(len(e)), best]
                 score = 1.0 / np.exp(-20.0 * (e - low[:, None])).sum(1)
@@ -244,20 +257,9 @@ def keep_identified(docs: DataFrame, models: Models | None, text_col: str = "tex
     def accepted(texts):
         import pandas as pd
 
-        own, out = shared.value, []
-        values = [t or "" for t in texts]
-        at = 0
-        while at < len(values):
-            if own is None:
-                out.append(np.zeros(len(values), bool))
-                break
-            stop, size = at, 0
-            while stop < len(values) and (size == 0 or size + len(values[stop]) <= CHUNK):
-                size += len(values[stop]) + 1
-                stop += 1
-            e, n = own.cross_entropies(values[at:stop])
-            out.append((n > 1) & (e.min(1) <= own.limit(e.argmin(1), n)))
-            at = stop
-        return pd.Series(np.concatenate(out) if out else np.zeros(0, bool))
+        if shared.value is None or not len(texts):
+            return pd.Series(np.zeros(len(texts), bool))
+        e, n = shared.value.scored([t or "" for t in texts])
+        return pd.Series((n > 1) & (e.min(1) <= shared.value.limit(e.argmin(1), n)))
 
     return docs.where(accepted(F.col(text_col)))
