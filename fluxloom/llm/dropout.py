@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SEED, DROP, VARIANTS = 17, 0.1, 4
-TABLE_SIZE = 150_000  # chunks remembered per worker and variant; a full table is emptied
+TABLE_SIZE = 60_000  # chunks remembered per worker and variant; a full table is emptied
 WIDEST = 24  # characters of a chunk that is merged together with others; longer ones go alone
 NONE, NEVER = 0xFFFF, np.int32(2**31 - 1)
 _CHUNK = re.compile("▁*[^▁]+|▁+")
@@ -216,7 +216,7 @@ def codec(path: str, seed: int = SEED, drop: float = DROP, variants: int = VARIA
     return Codec(path, seed, drop, variants)
 
 
-def _portions(texts: list[str], size: int = 2_000_000) -> Iterator[list[str]]:
+def _portions(texts: list[str], size: int = 1_000_000) -> Iterator[list[str]]:
     own, total = [], 0
     for text in texts:
         own.append(text)
