@@ -45,7 +45,9 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 class Codec:
     def __init__(self, path: str, seed: int = SEED, drop: float = DROP, variants: int = VARIANTS):
         import sentencepiece
+        import xxhash
 
+        self.hash = xxhash.xxh64_intdigest
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         n = model.vocab_size()
         self.seed, self.limit, self.variants = seed, int(drop * 2**64), variants
@@ -74,9 +76,7 @@ class Codec:
 
     # --- one chunk alone
     def _key(self, chunk: str, variant: int) -> int:
-        import xxhash
-
-        return _mix(xxhash.xxh64_intdigest(chunk.encode("utf-8", "surrogatepass"), self.seed) ^ (variant * 0x9E3779B97F4A7C15 & _M))
+        return _mix(self.hash(chunk.encode("utf-8", "surrogatepass"), self.seed) ^ (variant * 0x9E3779B97F4A7C15 & _M))
 
     def _bytes(self, char: str) -> list[int]:
         return [self.byte_ids[b] for b in char.encode("utf-8", "surrogatepass")]
@@ -124,7 +124,8 @@ class Codec:
     def _together(self, chunks: list[str], variant: int) -> list[bytes]:
         w, lengths = len(chunks), np.array([len(c) for c in chunks])
         width = int(lengths.max())
-        keys = np.array([self._key(c, variant) for c in chunks], np.uint64)
+        hashes = (self.hash(c.encode("utf-8", "surrogatepass"), self.seed) for c in chunks)
+        keys = _mixed(np.fromiter(hashes, np.uint64, w) ^ np.uint64(variant * 0x9E3779B97F4A7C15 & _M))
         ids = np.full((w, width + 2), NONE, np.uint16)
         inside = np.arange(width + 2) < lengths[:, None]
         ids[inside] = self.of_char[np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32)]
@@ -168,21 +169,22 @@ class Codec:
 
     def _learn(self, chunks: list[str], variant: int) -> None:
         table = self.tables[variant]
-        for low, high in ((0, 6), (6, 10), (10, WIDEST)):
-            own = [c for c in chunks if low < len(c) <= high]
+        by_width: tuple[list, list, list, list] = ([], [], [], [])
+        for c in chunks:
+            n = len(c)
+            by_width[0 if n <= 6 else 1 if n <= 10 else 2 if n <= WIDEST else 3].append(c)
+        for own in by_width[:3]:
             for at in range(0, len(own), 20_000):
                 part = own[at : at + 20_000]
                 table.update(zip(part, self._together(part, variant), strict=True))
-        table.update((c, self._alone(c, variant)) for c in chunks if len(c) > WIDEST)
+        table.update((c, self._alone(c, variant)) for c in by_width[3])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each whole text, two bytes each."""
-        import xxhash
-
         mark = np.array(self._bytes("▁"), "<u2").tobytes()
         split, wanted = [], [set() for _ in self.tables]
         for text in texts:
-            first = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), self.seed)
+            first = self.hash(text.encode("utf-8", "surrogatepass"), self.seed)
             parts = []
             for k, part in enumerate(text.split("▁")):
                 part = part.replace(" ", "▁")
