@@ -32,12 +32,18 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 READ = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, payload binary"
 
 
-def _train(pages: DataFrame, id_col: str, body_col: str) -> bytes:
-    """A dictionary from at most ``SAMPLE`` pages of the smallest hashes; empty if there is too little text."""
+def _train(pages: DataFrame, id_col: str, url_col: str, body_col: str) -> bytes:
+    """A dictionary from at most ``SAMPLE`` pages of the smallest hashes; empty if there is too little text.
+
+    The hashes are ranked alone, so that no task sends more than ``SAMPLE`` numbers.
+    """
     import zstandard
 
-    body = F.coalesce(F.col(body_col), F.lit(""))
-    rows = pages.select(F.left(body, F.lit(20_000)).alias("body"), F.xxhash64(id_col, body_col).alias("h")).where(F.length("body") > 0).orderBy("h").limit(SAMPLE).collect()
+    rank = F.xxhash64(id_col, url_col)
+    last = pages.select(rank.alias("h")).orderBy("h").limit(SAMPLE).agg(F.max("h")).first()[0]
+    if last is None:
+        return b""
+    rows = pages.where((rank <= last) & (F.length(body_col) > 0)).select(F.left(body_col, F.lit(20_000)).alias("body")).limit(SAMPLE).collect()
     try:
         return zstandard.train_dictionary(DICTIONARY, [r["body"].encode("utf-8", "replace") for r in rows]).as_bytes()
     except zstandard.ZstdError:
@@ -76,7 +82,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     null body is an empty payload. Of repeated rows with the largest identifier the records all are
     responses. A null identifier is written as ``None`` and never referred to. Other columns are ignored.
     """
-    dictionary = _train(pages, id_col, body_col)
+    dictionary = _train(pages, id_col, url_col, body_col)
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.encode(F.coalesce(F.col(body_col), F.lit("")), "utf-8").alias("payload"))
     rows = rows.withColumns({"digest": F.sha1("payload"), "size": F.octet_length("payload").cast("bigint")})
     groups = rows.where(F.col("size") >= LEAST_REVISIT).groupBy("digest", "size").agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("n"))
