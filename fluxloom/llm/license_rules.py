@@ -3,7 +3,8 @@
 One rule per line: ``label | priority | keyword | pattern``. Patterns are matched against text
 with A-Z lower-cased. In a pattern a blank stands for any run of up to 12 characters that are
 neither letters nor digits (so line breaks and comment marks may separate the words), ``<ver>``
-for the words before a version number. A rule is only tried on texts that hold its keyword.
+for the words before a version number. A rule is only tried on texts that hold its keyword (or one of
+several, parted by "or"), so every match must hold it; any separator may stand for a blank there too.
 Priorities: 9 full notice, 7 versioned name or tag, 5 name, 3 general mention.
 """
 
@@ -191,7 +192,7 @@ pddl-1.0 | 7 | open data commons | open data commons public domain dedication
 odc | 4 | open data commons | open data commons
 ogl-uk-3.0 | 7 | open government | open government licen[sc]e <ver>? ?3(?:\.0)?
 ogl | 5 | open government | open government licen[sc]e
-etalab-2.0 | 6 | etalab | (?:etalab|licence ouverte)(?: <v>?2\.0)?
+etalab-2.0 | 6 | etalab or licence ouverte | (?:etalab|licence ouverte)(?: <v>?2\.0)?
 cdla-permissive | 7 | community data | community data licen[sc]e agreement permissive
 cdla-sharing | 7 | community data | community data licen[sc]e agreement sharing
 cc0-1.0 | 8 | cc0 | cc0(?: 1\.0)?(?: universal)?
@@ -207,7 +208,7 @@ proprietary | 7 | proprietary | proprietary and confidential
 proprietary | 7 | unauthorized | unauthorized copying of this file via any medium is strictly prohibited
 proprietary | 5 | all rights reserved | copyright [^\n]{0,80}all rights reserved
 proprietary | 3 | all rights reserved | all rights reserved
-proprietary | 6 | licensor | no part of this [a-z]{3,12} may be reproduced
+proprietary | 6 | no part of this | no part of this [a-z]{3,12} may be reproduced
 eula | 6 | end user licen | end[ -]user licen[sc]e agreement
 eula | 5 | eula | (?:subject to|accept) the eula
 shareware | 5 | shareware | shareware(?: licen[sc]e| version)
@@ -217,7 +218,7 @@ non-commercial | 5 | non-commercial | (?:for )?non-commercial use only
 academic-only | 5 | academic use | (?:for )?academic use only
 research-only | 5 | research | for research purposes only
 no-derivatives | 4 | derivative | no derivative works
-share-alike | 4 | sharealike | share-?alike licen[sc]e
+share-alike | 4 | alike licen | share-?alike licen[sc]e
 copyleft | 3 | copyleft | copyleft licen[sc]e
 permissive | 3 | permissive | permissive (?:free |open )?(?:software |source )?licen[sc]e
 open-source | 3 | open source | open source licen[sc]e

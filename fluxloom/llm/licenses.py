@@ -1,7 +1,8 @@
 """License scans with ordered signature rules.
 
 Every whole text is read as UTF-8 with A-Z lower-cased. A keyword automaton decides which of the
-rules can match at all; their regular expressions then run on that text alone. Among
+rules can match at all; it reads a copy in which each run of characters that are neither a-z nor digits is
+one blank, as in the keywords. The rules' regular expressions then run on the text itself. Among
 the matches, one that lies inside another of the same or a higher priority is dropped.
 One task holds one text at a time, nothing is shuffled.
 """
@@ -29,28 +30,35 @@ FIELDS = "n_words bigint, n_base bigint, first_word bigint, last_word bigint, ba
 _DETECTION = pa.struct([("label", pa.string()), ("rule", pa.int32()), ("priority", pa.int32()), ("start", pa.int32()), ("stop", pa.int32())])
 
 
+_SPACED = bytes(c if chr(c) in "0123456789abcdefghijklmnopqrstuvwxyz" else 0x20 for c in range(256))
+
+
+def _spaced(raw: bytes) -> str:
+    """``raw`` with one blank for each run of bytes that are neither a-z nor digits."""
+    return b" ".join(raw.translate(_SPACED).split()).decode("ascii")
+
+
 @lru_cache(maxsize=1)
 def _gate():
     import ahocorasick
 
     automaton, by_keyword = ahocorasick.Automaton(), {}
     for rule in rules():
-        by_keyword.setdefault(rule.keyword, []).append(rule)
+        for keyword in rule.keyword.split(" or "):
+            by_keyword.setdefault(_spaced(keyword.encode()), []).append(rule)
     for keyword, own in by_keyword.items():
-        automaton.add_word(keyword, own)
+        automaton.add_word(keyword, (keyword, own))
     automaton.make_automaton()
     return automaton
 
 
 def detect(text: str) -> list[tuple[str, int, int, int, int]]:
     """``label, rule, priority, start, stop`` of the matches that remain, by place; A-Z of ``text`` are lower case already."""
-    tried, found = set(), []
-    for _, own in _gate().iter(text):
-        if own[0].keyword in tried:
-            continue
-        tried.add(own[0].keyword)
-        for rule in own:
-            found += [(rule.label, rule.number, rule.priority, *m.span()) for m in rule.pattern.finditer(text)]
+    tried, found = {}, []
+    for own in dict(hit for _, hit in _gate().iter(_spaced(text.encode("utf-8", "surrogatepass")))).values():
+        tried.update((rule.number, rule) for rule in own)
+    for rule in tried.values():
+        found += [(rule.label, rule.number, rule.priority, *m.span()) for m in rule.pattern.finditer(text)]
     return _outermost(found)
 
 

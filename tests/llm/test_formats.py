@@ -250,6 +250,53 @@ def test_every_rule_has_its_keyword_in_what_it_matches():
         assert any(r.label == tag and r.keyword in f"spdx-license-identifier: {tag}" for r in rules())
 
 
+def wordings(parsed, separators, pick):
+    """One text that a parsed pattern matches: separators are taken in turn, ``pick`` chooses among the rest."""
+    out = ""
+    for op, arg in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            out += chr(arg)
+        elif name == "IN":
+            out += pick([chr(v) for o, v in arg if str(o) == "LITERAL"] or ["7" if "DIGIT" in str(arg) else "w"]) if str(arg[0][0]) != "NEGATE" else "w"
+        elif name == "NOT_LITERAL":
+            out += "w"
+        elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+            low, high, inner = arg
+            if "NEGATE" in str(inner) and high in (3, 12):
+                mark = next(separators)
+                out += mark[:high] if low or pick([True, False]) else ""
+            else:
+                out += "".join(wordings(inner, separators, pick) for _ in range(pick([low, min(int(high), low + 1)])))
+        elif name == "BRANCH":
+            out += wordings(pick(arg[1]), separators, pick)
+        elif name == "SUBPATTERN":
+            out += wordings(arg[3], separators, pick)
+    return out
+
+
+def test_gated_detection_loses_no_match():
+    """Every rule is found in wrapped, commented and double-blank wordings of all its parts."""
+    import itertools
+    import random
+    import re._parser as parser
+
+    choose = random.Random(5)
+    every = rules()
+    for rule in every:
+        for marks in ([" "], ["  "], ["\n * "], ["\n"], ["\r\n// ", " "], [", "], ["é"], ["-"]):
+            for _ in range(4):
+                text = wordings(parser.parse(rule.pattern.pattern), itertools.cycle(marks), choose.choice)
+                if rule.pattern.search(text):
+                    tried = {r.number for _, (_, own) in licenses._gate().iter(licenses._spaced(text.encode())) for r in own}
+                    assert rule.number in tried, (rule, text)
+        assert any(rule.pattern.search(wordings(parser.parse(rule.pattern.pattern), itertools.cycle(m), choose.choice)) for m in ([" "], ["-"], ["  "]) for _ in range(20)), rule
+    notice = "GNU Lesser General\n * Public License version 2.1\nRedistribution and  use in source and binary forms, with or without modification, are permitted provided that\nCreative\nCommons, a share-alike license"
+    whole = licenses._outermost([(r.label, r.number, r.priority, *m.span()) for r in every for m in r.pattern.finditer(notice.lower())])
+    assert licenses.detect(notice.lower()) == whole
+    assert {"lgpl-2.1", "bsd-2-clause", "cc", "share-alike"} <= set(licenses.scan_text(notice)[5].split(","))
+
+
 # --- languages
 def test_language_models_sum_to_one_and_learn(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
