@@ -2,10 +2,10 @@
 
 Blanks become ``▁`` and no vocabulary piece holds ``▁`` behind another character, so merges never leave a
 chunk: a word with the blanks before it. In a chunk the agenda takes the best candidate merge
-first, the leftmost of equals; a keyed hash of seed, variant, chunk and the candidate's place
-decides whether the candidate is skipped for good. The occurrences of a text take the variants
-in turn, from a place that depends on the text, so equal words are cut differently, yet
-each (chunk, variant) is computed once and remembered. Characters outside the vocabulary, and
+first, the leftmost of equals; a keyed hash of seed, text, the chunk's number in the text and the
+candidate's number decides whether the candidate is skipped for good, so every occurrence is
+dealt with on its own. All that the hash decides is one bit per candidate: what a chunk becomes
+under given bits is computed once and remembered. Characters outside the vocabulary, and
 ``▁`` itself, become byte pieces, so that decoding restores every text.
 """
 
@@ -21,19 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SEED, DROP, VARIANTS = 17, 0.1, 4
-TABLE_SIZE = 60_000  # chunks remembered per worker and variant; a full table is emptied
-WIDEST = 24  # characters of a chunk that is merged together with others; longer ones go alone
+SEED, DROP = 17, 0.1
+TABLE_SIZE = 120_000  # chunks remembered per worker; a full table is emptied
+OUTCOMES = 60_000  # outcomes of chunks under given skips remembered per worker; likewise
+WIDEST = 23  # characters of a chunk that is merged together with others, 3 * 23 - 6 candidates fit 64 bits; longer ones go alone
 NONE, NEVER = 0xFFFF, np.int32(2**31 - 1)
 _CHUNK = re.compile("▁*[^▁]+|▁+")
-_M = (1 << 64) - 1
-_A, _B = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
-
-
-def _mix(x: int) -> int:
-    x = ((x ^ (x >> 30)) * _A) & _M
-    x = ((x ^ (x >> 27)) * _B) & _M
-    return x ^ (x >> 31)
+_A, _B, _C = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -43,14 +37,14 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Codec:
-    def __init__(self, path: str, seed: int = SEED, drop: float = DROP, variants: int = VARIANTS):
+    def __init__(self, path: str, seed: int = SEED, drop: float = DROP):
         import sentencepiece
         import xxhash
 
         self.hash = xxhash.xxh64_intdigest
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         n = model.vocab_size()
-        self.seed, self.limit, self.variants = seed, int(drop * 2**64), variants
+        self.seed, self.limit = seed, int(drop * 2**64)
         self.piece_bytes = [b""] * n
         self.byte_ids, ids, scores = [0] * 256, {}, {}
         for k in range(n):
@@ -72,27 +66,32 @@ class Codec:
         for piece, k in ids.items():
             if len(piece) == 1:
                 self.of_char[ord(piece)] = k
-        self.tables: list[dict[str, bytes]] = [{} for _ in range(variants)]
+        self._forget()
 
-    # --- one chunk alone
-    def _key(self, chunk: str, variant: int) -> int:
-        return _mix(self.hash(chunk.encode("utf-8", "surrogatepass"), self.seed) ^ (variant * 0x9E3779B97F4A7C15 & _M))
+    def _forget(self) -> None:
+        """Number 0 stands for a ``▁`` of the text, which is bytes."""
+        self.number, self.size, self.needed, self.plain = {"": 0}, [0], [0], [np.array(self._bytes("▁"), "<u2").tobytes()]
+        self.outcomes: dict[tuple[int, int], bytes] = {}
 
+    # --- one chunk alone
     def _bytes(self, char: str) -> list[int]:
         return [self.byte_ids[b] for b in char.encode("utf-8", "surrogatepass")]
 
-    def _alone(self, chunk: str, variant: int) -> bytes:
-        key, n = self._key(chunk, variant), len(chunk)
+    def _alone(self, chunk: str, skips: int | np.ndarray) -> bytes:
+        """Ids of a chunk whose candidate k is skipped if bit (or item) k of ``skips`` is set."""
+        n, offered = len(chunk), 0
         ids = [int(self.of_char[ord(c)]) for c in chunk]
         left, right, stop = list(range(-1, n - 1)), list(range(1, n + 1)), list(range(1, n + 1))
         live, agenda = [True] * n, []
 
         def offer(i: int, j: int) -> None:
+            nonlocal offered
             if i < 0 or j >= n:
                 return
             if found := self.by_pair.get((ids[i] << 16) | ids[j]):
-                if _mix(key ^ _mix(i | (j << 21) | (stop[j] << 42))) >= self.limit:
+                if not (skips >> offered & 1 if isinstance(skips, int) else skips[offered]):
                     heapq.heappush(agenda, (found[0], i, j, stop[j], found[1]))
+                offered += 1
 
         for i in range(n - 1):
             offer(i, i + 1)
@@ -103,8 +102,8 @@ class Codec:
             ids[i], stop[i], live[j], right[i] = merged, stop[j], False, right[j]
             if right[i] < n:
                 left[right[i]] = i
-            offer(left[i], i)
             offer(i, right[i])
+            offer(left[i], i)
         out: list[int] = []
         for i in range(n):
             if live[i]:
@@ -117,25 +116,26 @@ class Codec:
         at = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
         return np.where(self.pairs[at] == pair, self.ranks[at], NEVER), self.merged[at]
 
-    def _kept(self, keys: np.ndarray, start, mid, stop) -> np.ndarray:
-        place = start.astype(np.uint64) | (mid.astype(np.uint64) << np.uint64(21)) | (stop.astype(np.uint64) << np.uint64(42))
-        return _mixed(keys ^ _mixed(place)) >= np.uint64(self.limit)
+    def _together(self, chunks: list[str], skips: int | np.ndarray) -> list[bytes]:
+        return self._merged(chunks, skips)[0]
 
-    def _together(self, chunks: list[str], variant: int) -> list[bytes]:
+    def _merged(self, chunks: list[str], skips: int | np.ndarray) -> tuple[list[bytes], np.ndarray]:
+        """Ids of every chunk under its bits of ``skips``, and how many candidates it met."""
         w, lengths = len(chunks), np.array([len(c) for c in chunks])
-        width = int(lengths.max())
-        hashes = (self.hash(c.encode("utf-8", "surrogatepass"), self.seed) for c in chunks)
-        keys = _mixed(np.fromiter(hashes, np.uint64, w) ^ np.uint64(variant * 0x9E3779B97F4A7C15 & _M))
+        width, skips = int(lengths.max()), np.broadcast_to(np.asarray(skips, np.uint64), w)
         ids = np.full((w, width + 2), NONE, np.uint16)
         inside = np.arange(width + 2) < lengths[:, None]
         ids[inside] = self.of_char[np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32)]
         right = np.minimum(np.arange(1, width + 3, dtype=np.int32), width + 1) * np.ones((w, 1), np.int32)
         left = np.arange(-1, width + 1, dtype=np.int32) * np.ones((w, 1), np.int32)
         rank, merged = np.full((w, width + 2), NEVER, np.int32), np.zeros((w, width + 2), np.uint16)
+        offered = np.zeros(w, np.uint64)
         if width > 1:
             rank[:, : width - 1], merged[:, : width - 1] = self._find(ids[:, : width - 1], ids[:, 1:width])
             row, at = np.nonzero(rank != NEVER)
-            gone = ~self._kept(keys[row], at, at + 1, at + 2)
+            order = np.arange(len(row)) - np.searchsorted(row, row)
+            gone = (skips[row] >> order.astype(np.uint64) & np.uint64(1)).astype(bool)
+            offered += np.bincount(row, minlength=w).astype(np.uint64)
             rank[row[gone], at[gone]] = NEVER
         live, row = inside, np.arange(w)
         while len(row):
@@ -151,8 +151,9 @@ class Codec:
                 ok = a >= 0
                 r, a, b = row[ok], a[ok], b[ok]
                 found, piece = self._find(ids[r, a], ids[r, b])
-                found = np.where(self._kept(keys[r], a, b, right[r, b]), found, NEVER)
-                rank[r, a], merged[r, a] = found, piece
+                gone = (skips[r] >> offered[r] & np.uint64(1)).astype(bool)
+                offered[r] += found != NEVER
+                rank[r, a], merged[r, a] = np.where(gone, NEVER, found), piece
         out = ids[live]
         ends = np.cumsum(live.sum(1))
         raw, result, start = out.tobytes(), [], 0
@@ -165,48 +166,101 @@ class Codec:
             else:
                 result.append(raw[2 * start : 2 * end])
             start = end
-        return result
-
-    def _learn(self, chunks: list[str], variant: int) -> None:
-        table = self.tables[variant]
-        by_width: tuple[list, list, list, list] = ([], [], [], [])
-        for c in chunks:
-            n = len(c)
-            by_width[0 if n <= 6 else 1 if n <= 10 else 2 if n <= WIDEST else 3].append(c)
-        for own in by_width[:3]:
+        return result, offered.astype(np.int64)
+
+    def _learn(self, chunks: list[str], skips: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+        """``_merged`` of any number of chunks up to ``WIDEST``, in portions of similar width."""
+        results: list[bytes] = [b""] * len(chunks)
+        offered = np.zeros(len(chunks), np.int64)
+        width = np.searchsorted([6, 10], np.array([len(c) for c in chunks], np.int64))
+        for k in range(3):
+            own = np.flatnonzero(width == k)
             for at in range(0, len(own), 20_000):
                 part = own[at : at + 20_000]
-                table.update(zip(part, self._together(part, variant), strict=True))
-        table.update((c, self._alone(c, variant)) for c in by_width[3])
+                ids, offered[part] = self._merged([chunks[i] for i in part.tolist()], skips[part])
+                for i, x in zip(part.tolist(), ids, strict=True):
+                    results[i] = x
+        return results, offered
+
+    def _numbers(self, chunks: list[str]) -> np.ndarray:
+        """Number of each chunk; new ones up to ``WIDEST`` are merged without skips."""
+        new = list({c: None for c in chunks if c not in self.number})
+        if len(self.number) + len(new) > TABLE_SIZE:
+            self._forget()
+            new = list(dict.fromkeys(c for c in chunks if c))
+        narrow = [c for c in new if len(c) <= WIDEST]
+        ids, offered = self._learn(narrow, np.zeros(len(narrow), np.uint64))
+        wide = [c for c in new if len(c) > WIDEST]  # merged at each occurrence
+        self.number.update(zip(narrow + wide, range(len(self.number), len(self.number) + len(new)), strict=True))
+        self.plain += ids + [b""] * len(wide)
+        self.needed += offered.tolist() + [0] * len(wide)
+        self.size += map(len, narrow + wide)
+        return np.fromiter(map(self.number.__getitem__, chunks), np.int64, len(chunks))
+
+    def _skips(self, keys: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Bit k is set if candidate k of an occurrence is skipped; chunks of ``n`` characters meet at most 3n - 6 (n - 1 below three)."""
+        most = np.maximum(3 * n - 6, n - 1)
+        skips = np.zeros(len(keys), np.uint64)
+        order = np.argsort(-most, kind="stable")
+        keys, counts = keys[order], np.searchsorted(-most[order], -np.arange(64), side="left")
+        bits = np.zeros(len(keys), np.uint64)
+        for k in range(int(most.max(initial=0))):
+            own = counts[k]  # the occurrences with more than k candidates stand first
+            bits[:own] |= (self._drawn(keys[:own], k) < np.uint64(self.limit)).astype(np.uint64) << np.uint64(k)
+        skips[order] = bits
+        return skips
+
+    def _drawn(self, keys, k) -> np.ndarray:
+        return _mixed(np.atleast_1d(keys) ^ _mixed(np.atleast_1d(k).astype(np.uint64) * np.uint64(_C) + np.uint64(_A)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each whole text, two bytes each."""
-        mark = np.array(self._bytes("▁"), "<u2").tobytes()
-        split, wanted = [], [set() for _ in self.tables]
+        chunks, counts, first = [], [], []
         for text in texts:
-            first = self.hash(text.encode("utf-8", "surrogatepass"), self.seed)
-            parts = []
+            before = len(chunks)
             for k, part in enumerate(text.split("▁")):
                 part = part.replace(" ", "▁")
-                chunks = _CHUNK.findall("▁" + part if k == 0 and text else part)
-                for o in range(self.variants):
-                    wanted[(first + o) % self.variants].update(chunks[o :: self.variants])
-                parts.append(chunks)
-            split.append((first, parts))
-        for v, (table, own) in enumerate(zip(self.tables, wanted, strict=True)):
-            if len(table) + len(own) > TABLE_SIZE:
-                table.clear()
-            self._learn([c for c in own if c not in table], v)
-        out = []
-        for first, parts in split:
-            coded = []
-            for chunks in parts:
-                ids: list[bytes] = [b""] * len(chunks)
-                for o in range(self.variants):
-                    ids[o :: self.variants] = map(self.tables[(first + o) % self.variants].__getitem__, chunks[o :: self.variants])
-                coded.append(b"".join(ids))
-            out.append(mark.join(coded))
-        return out
+                if k:
+                    chunks.append("")
+                chunks += _CHUNK.findall("▁" + part if k == 0 and text else part)
+            counts.append(len(chunks) - before)
+            first.append(self.hash(text.encode("utf-8", "surrogatepass"), self.seed))
+        number = self._numbers(chunks)
+        ends = np.cumsum(counts)
+        place = np.arange(len(chunks)) - np.repeat(ends - counts, counts)
+        keys = _mixed(np.repeat(np.array(first, np.uint64), counts) + place.astype(np.uint64) * np.uint64(_C))
+        size, needed = np.array(self.size)[number], np.array(self.needed)[number]
+        out = list(map(self.plain.__getitem__, number.tolist()))
+        narrow = np.flatnonzero((size <= WIDEST) & (needed > 0))
+        skips = self._skips(keys[narrow], size[narrow])
+        met = (np.uint64(1) << needed[narrow].astype(np.uint64)) - np.uint64(1)
+        varied = (skips & met) != 0  # else no candidate of the plain agenda is skipped
+        self._vary(chunks, out, narrow[varied], number[narrow[varied]], skips[varied])
+        for at in np.flatnonzero(size > WIDEST).tolist():
+            out[at] = self._alone(chunks[at], self._drawn(keys[at], np.arange(3 * len(chunks[at]))) < np.uint64(self.limit))
+        return [b"".join(out[end - n : end]) for end, n in zip(ends.tolist(), counts, strict=True)]
+
+    def _vary(self, chunks: list[str], out: list[bytes], at: np.ndarray, number: np.ndarray, skips: np.ndarray) -> None:
+        """Set ``out`` at the places of chunks of which a candidate is skipped; each (chunk, skips) is merged once."""
+        if not len(at):
+            return
+        order = np.lexsort((skips, number))
+        n, s = number[order], skips[order]
+        head = np.r_[True, (n[1:] != n[:-1]) | (s[1:] != s[:-1])]
+        which = np.empty(len(at), np.int64)
+        which[order] = np.cumsum(head) - 1
+        pairs = list(zip(n[head].tolist(), s[head].tolist(), strict=True))
+        found = list(map(self.outcomes.get, pairs))
+        new = [k for k, x in enumerate(found) if x is None]
+        some = at[order[head]]
+        ids, _ = self._learn([chunks[some[k]] for k in new], s[head][new])
+        for k, x in zip(new, ids, strict=True):
+            found[k] = x
+        if len(self.outcomes) + len(new) > OUTCOMES:
+            self.outcomes.clear()
+        self.outcomes.update((pairs[k], found[k]) for k in new[:OUTCOMES])
+        for place, k in zip(at.tolist(), which.tolist(), strict=True):
+            out[place] = found[k]
 
     def decode(self, ids: bytes) -> str:
         whole = b"".join(map(self.piece_bytes.__getitem__, np.frombuffer(ids, "<u2").tolist()))
@@ -214,8 +268,8 @@ class Codec:
 
 
 @lru_cache(maxsize=2)
-def codec(path: str, seed: int = SEED, drop: float = DROP, variants: int = VARIANTS) -> Codec:
-    return Codec(path, seed, drop, variants)
+def codec(path: str, seed: int = SEED, drop: float = DROP) -> Codec:
+    return Codec(path, seed, drop)
 
 
 def _portions(texts: list[str], size: int = 1_000_000) -> Iterator[list[str]]:

@@ -187,6 +187,51 @@ def test_dropout_on_spark(messy, none, model):
     assert dropout.decode(dropout.encode(none, model), model).count() == 0
 
 
+def test_every_occurrence_is_dropped_on_its_own(model):
+    own = dropout.Codec(model)
+    word, n = "unbelievable", 4000
+    plain, met = (x[0] for x in own._merged(["▁" + word], 0))
+    outcomes = Counter()
+    for text in [" ".join([word] * n), " ".join([word] * (n // 2))]:
+        cut, at = [], 0
+        first = own.hash(text.encode(), own.seed)
+        code = own.encode([text])[0]
+        for k in range(len(text.split())):
+            key = dropout._mixed(np.array([first], np.uint64) + np.array([k], np.uint64) * np.uint64(dropout._C))
+            skips = own._drawn(key, np.arange(64)) < np.uint64(own.limit)
+            want = own._alone("▁" + word, skips)
+            assert code[at : at + len(want)] == want
+            at += len(want)
+            cut.append(want)
+        assert at == len(code)
+        outcomes.update(cut)
+    assert len(outcomes) > 20  # four at most when variants were dealt
+    kept = (1 - dropout.DROP) ** int(met)
+    assert kept - 0.03 < outcomes[plain] / (n + n // 2) < 1  # an unskipped agenda, and skips that change nothing
+    assert own._merged(["▁a"] * 2, 0)[0] == [own._alone("▁a", 0)] * 2
+
+
+def test_rare_merges_vary_with_more_text(model):
+    """A word of one candidate: each occurrence skips it with the set chance."""
+    own = dropout.Codec(model)
+    text = "to " * 20_000
+    code = np.frombuffer(own.encode([text])[0], "<u2")
+    long = own.encode([" ".join(["x" * 40] * 300)])[0]
+    assert own.decode(long) == " ".join(["x" * 40] * 300) and len(code) > 20_500
+    small = dropout.Codec(model)
+    texts = [t or "" for _, t in ROWS] * 2
+    assert [small.encode([t])[0] for t in texts] == own.encode(texts)
+
+
+def test_full_tables_change_nothing(model, monkeypatch):
+    texts = [t or "" for _, t in ROWS]
+    want = dropout.Codec(model).encode(texts)
+    monkeypatch.setattr(dropout, "TABLE_SIZE", 10)
+    monkeypatch.setattr(dropout, "OUTCOMES", 3)
+    own = dropout.Codec(model)
+    assert [own.encode([t])[0] for t in texts] == want
+
+
 # --- training order
 @pytest.mark.parametrize("n", [1, 2, 3, 7, 64, 1000, 4097])
 def test_slots_are_a_keyed_permutation(n):
