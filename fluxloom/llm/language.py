@@ -22,6 +22,7 @@ SAMPLE = 3000  # labelled documents per language that models are fitted and cali
 MAX_LANGUAGES = 200  # the most frequent labels are learned
 UNKNOWN = "und"
 MARGIN = 0.75  # nats per symbol that a text may lie above its language's calibrated range: texts of two languages, names and keys stay
+FEW = 20  # calibration rows below which a language has no limit of its own
 CHUNK = 2_000_000  # symbols scored at once
 SCRAMBLE = np.uint64(0x9E3779B97F4A7C15)
 UNSCRAMBLE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
@@ -164,6 +165,23 @@ def _held_out(identifier):
     return F.coalesce(F.crc32(identifier.cast("string")) % 5 == 0, F.lit(False))
 
 
+def limits(lang: np.ndarray, excess: np.ndarray, n: int) -> np.ndarray:
+    """Highest accepted excess of each of ``n`` languages, from the calibration rows that were predicted right.
+
+    The quartiles of a language decide, so a few strange rows move nothing. A language of less than
+    ``FEW`` rows takes the limit of all languages' rows together: a small model gives more to unknown
+    symbols, which must not let strangers in. Without any row there is nothing to calibrate on and no limit.
+    """
+
+    def fence(own: np.ndarray) -> float:
+        low, high = np.quantile(own, (0.25, 0.75))
+        return high + 3 * (high - low) + MARGIN
+
+    pooled = fence(excess) if len(excess) else np.inf
+    own = [excess[lang == k] for k in range(n)]
+    return np.array([fence(x) if len(x) >= FEW else pooled for x in own])
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Models | None:
     """Count the sample's n-grams on the executors, build the models, and set each language's limit.
 
@@ -203,10 +221,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             yield pa.RecordBatch.from_arrays([pa.array(best[right]), pa.array(entropies.min(1)[right] - 3.0 / np.sqrt(counts[right]))], names=["lang", "excess"])
 
     seen = sample.where("calibration").select("lang", "text").mapInArrow(calibrate, "lang bigint, excess double").toPandas()
-    for k in range(len(names)):
-        own = seen.loc[seen["lang"] == k, "excess"].to_numpy()
-        if len(own):
-            models.limits[k] = max(own.max(), np.quantile(own, 0.75) + 3 * (np.quantile(own, 0.75) - np.quantile(own, 0.25))) + MARGIN
+    models.limits[:] = limits(seen["lang"].to_numpy(np.int64), seen["excess"].to_numpy(np.float64), len(names))
     return models
 
 

@@ -368,3 +368,24 @@ def test_languages_of_messy_documents(messy, none, spark):
     assert language.fit(none) is None and language.predict(none, None).count() == 0
     unlabelled = language.predict(messy, None).collect()
     assert {r.lang_pred for r in unlabelled} == {"und"} and len(unlabelled) == len(ROWS)
+
+
+def test_rare_labels_and_junk_rows_leave_rejection_on(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    names = sorted(r.lang for r in docs.select("lang").distinct().collect() if r.lang)
+    junk = "".join(chr(0x4E00 + 37 * k % 5000) for k in range(300))
+    odd = [(10**9 + k, f"ma na ka ta {k} la", "rare") for k in range(3)]
+    odd += [(2 * 10**9 + k, (prose(k, 60) + " " if k % 2 else "") + junk[k:] + junk[:k], names[0]) for k in range(6)]
+    models = language.fit(docs.unionByName(spark.createDataFrame(odd, "doc_id bigint, text string, lang string")))
+    assert "rare" in models.names and np.isfinite(models.limits).all()
+    unlearned = ["ქართული ენა არის ლამაზი და ძველი " * 20, "qzx wvk jjq xkz " * 40, "ббб щщщ ъъъ " * 40]
+    e, n = models.cross_entropies(unlearned)
+    assert (e.min(1) > models.limit(e.argmin(1), n)).all()
+
+
+def test_strange_calibration_rows_move_no_limit():
+    rng = np.random.default_rng(3)
+    lang, excess = np.repeat([0, 1, 2], [200, 200, 1]), np.r_[rng.normal(2, 0.1, 400), 2.1]
+    plain = language.limits(lang, excess, 4)
+    mixed = language.limits(np.r_[lang, 0, 0], np.r_[excess, 7.5, 9.0], 4)
+    assert np.isfinite(plain).all() and plain[2] == plain[3] and np.allclose(plain, mixed, atol=0.1)
