@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from fluxloom.llm import best_fit, chat, content_sort, dropout, fingerprints, language, licenses, ngram_join, tokens, training_order, warc
+from fluxloom.llm import best_fit, chat, content_sort, dropout, fingerprints, language, licenses, ngram_join, phrases, tokens, training_order, warc
 from fluxloom.session import scratch_path, ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -121,3 +121,45 @@ def op7_training_order(spark: SparkSession, folder: str) -> DataFrame:
 @_query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)
+
+
+@_query(
+    "op11_phrase_mining",
+    r"""
+    WITH t AS (
+        SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang,
+               translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+        FROM documents
+    ), p AS (
+        SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM t
+    ), w AS (
+        SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM p
+    ), total AS (
+        SELECT lang, sum(len(words))::BIGINT AS n FROM w GROUP BY lang
+    ), f AS (
+        SELECT lang, ph, count(*) AS f
+        FROM (
+            SELECT lang, unnest(list_transform(range(1, len(words) - m + 2), lambda k: words[k : k + m - 1])) AS ph
+            FROM w, range(1, 6) AS r(m) WHERE len(words) >= m
+        )
+        GROUP BY lang, ph HAVING count(*) >= 100
+    ), c AS (SELECT * FROM f WHERE len(ph) >= 2), around AS (
+        SELECT lang, part, max(f) AS f
+        FROM (SELECT lang, f, unnest(list_transform(range(1, len(ph) - m + 2), lambda k: ph[k : k + m - 1])) AS part FROM c, range(2, 5) AS r(m) WHERE len(ph) > m)
+        GROUP BY lang, part
+    ), kept AS (
+        SELECT c.* FROM c LEFT JOIN around x ON x.lang = c.lang AND x.part = c.ph WHERE x.f IS NULL OR 100 * x.f < 100 * c.f
+    ), cuts AS (
+        SELECT kept.lang, kept.ph, kept.f AS a, k, x.f AS l, y.f AS r, n,
+               (1000::HUGEINT * kept.f * n) // (x.f::HUGEINT * y.f) AS score
+        FROM kept JOIN range(1, 5) AS q(k) ON k < len(ph) JOIN total ON total.lang = kept.lang
+        JOIN f x ON x.lang = kept.lang AND x.ph = kept.ph[1 : k] JOIN f y ON y.lang = kept.lang AND y.ph = kept.ph[k + 1 : len(kept.ph)]
+    ), best AS (
+        SELECT *, array_to_string(ph, ' ') AS phrase FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, ph ORDER BY score, k) = 1
+    )
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score
+    FROM best QUALIFY rank <= 2000
+    """,
+)
+def op11_phrase_mining(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocations(_table(spark, folder, "documents")).drop("cut")
