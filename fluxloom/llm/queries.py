@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from fluxloom.llm import best_fit, chat, content_sort, dropout, fingerprints, language, licenses, ngram_join, phrases, tokens, training_order, warc
+from fluxloom.llm import best_fit, chat, content_sort, dropout, fingerprints, language, licenses, ngram_join, phrases, spelling, tokens, training_order, urls, warc
 from fluxloom.session import scratch_path, ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -163,3 +163,13 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 )
 def op11_phrase_mining(spark: SparkSession, folder: str) -> DataFrame:
     return phrases.collocations(_table(spark, folder, "documents")).drop("cut")
+
+
+@_query("op12_spelling_variants")
+def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(_table(spark, folder, "documents"))
+
+
+@_query("op13_url_filter")
+def op13_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return urls.judge(_table(spark, folder, "pages"))
