@@ -150,17 +150,37 @@ def near_in(words: list[str], m: int, lo: int, hi: int) -> Iterator[tuple[int, i
 def near_pairs(words: DataFrame, segments: int = SEGMENTS, group: int = GROUP) -> DataFrame:
     """Each pair of ``words(word, n)`` one edit apart, in both directions: ``word, n, other, other_n``."""
 
-    def scan(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, lo, hi = (k.as_py() for k in key[:3])
-        own = sorted((w, n) for b in batches for w, n in zip(b.column("word").to_pylist(), b.column("n").to_pylist(), strict=True))
-        names, counts = [w for w, _ in own], [n for _, n in own]
-        pairs = list(near_in(names, m, lo, hi))
-        for at in range(0, len(pairs), 100_000):
-            part = pairs[at : at + 100_000]
-            left, right = [a for a, _ in part] + [b for _, b in part], [b for _, b in part] + [a for a, _ in part]
-            yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in left], pa.string()), pa.array([counts[i] for i in left], pa.int64()), pa.array([names[i] for i in right], pa.string()), pa.array([counts[i] for i in right], pa.int64())], names=["word", "n", "other", "other_n"])
-
-    return grouped(words, segments, group).groupBy("m", "lo", "hi", "rest").applyInArrow(scan, "word string, n bigint, other string, other_n bigint")
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, names, counts = None, [], []
+        out: tuple[list, list, list, list] = ([], [], [], [])
+
+        def search():
+            m, lo, hi = map(int, key.split(" ", 3)[:3])
+            for a, b in near_in(names, m, lo, hi):
+                for column, both in zip(out, ((names[a], names[b]), (counts[a], counts[b]), (names[b], names[a]), (counts[b], counts[a])), strict=True):
+                    column.extend(both)
+
+        def found():
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64() if k % 2 else pa.string()) for k, x in enumerate(out)], names=["word", "n", "other", "other_n"])
+            for column in out:
+                column.clear()
+
+        for batch in batches:
+            for k, word, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if k != key:
+                    if len(names) > 1:
+                        search()
+                    key, names, counts = k, [], []
+                names.append(word)
+                counts.append(n)
+            if len(out[0]) > 100_000:
+                yield from found()
+        if len(names) > 1:
+            search()
+        yield from found()
+
+    rows = grouped(words, segments, group).select(F.concat_ws(" ", "m", "lo", "hi", "rest").alias("key"), "word", "n")
+    return rows.repartition("key").sortWithinPartitions("key", "word").mapInArrow(scan, "word string, n bigint, other string, other_n bigint")
 
 
 def roots(forms: DataFrame) -> DataFrame:
