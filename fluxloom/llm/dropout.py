@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -36,17 +37,16 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class Codec:
-    def __init__(self, path: str, seed: int = SEED, drop: float = DROP):
+class Pieces:
+    """The vocabulary: bytes of every piece, the ids of byte pieces, and ids and scores of all others."""
+
+    def __init__(self, path: str):
         import sentencepiece
-        import xxhash
 
-        self.hash = xxhash.xxh64_intdigest
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         n = model.vocab_size()
-        self.seed, self.limit = seed, int(drop * 2**64)
         self.piece_bytes = [b""] * n
-        self.byte_ids, ids, scores = [0] * 256, {}, {}
+        self.byte_ids, self.ids, self.scores = [0] * 256, {}, {}
         for k in range(n):
             piece = model.id_to_piece(k)
             if model.is_byte(k):
@@ -54,23 +54,47 @@ class Codec:
                 self.piece_bytes[k] = bytes([int(piece[3:5], 16)])
             elif not (model.is_control(k) or model.is_unknown(k) or model.is_unused(k)):
                 self.piece_bytes[k] = piece.replace("▁", " ").encode()
-                ids[piece], scores[piece] = k, model.get_score(k)
+                self.ids[piece], self.scores[piece] = k, model.get_score(k)
+
+    def decode(self, ids: bytes) -> str:
+        whole = b"".join(map(self.piece_bytes.__getitem__, np.frombuffer(ids, "<u2").tolist()))
+        return whole.removeprefix(b" ").decode("utf-8", "surrogatepass")
+
+
+class Codec(Pieces):
+    def __init__(self, path: str, seed: int = SEED, drop: float = DROP):
+        import xxhash
+
+        super().__init__(path)
+        self.hash = xxhash.xxh64_intdigest
+        self.seed, self.limit = seed, int(drop * 2**64)
+        ids, scores = self.ids, self.scores
         order = {score: rank for rank, score in enumerate(sorted(set(scores.values()), reverse=True))}
         merges = [((ids[piece[:s]] << 16) | ids[piece[s:]], order[scores[piece]], k) for piece, k in ids.items() for s in range(1, len(piece)) if piece[:s] in ids and piece[s:] in ids]
-        merges.sort()
-        self.pairs = np.array([m[0] for m in merges], np.uint32)
-        self.ranks = np.array([m[1] for m in merges], np.int32)
-        self.merged = np.array([m[2] for m in merges], np.uint16)
-        self.by_pair = {m[0]: (m[1], m[2]) for m in merges}
+        self.by_pair = {pair: (rank, k) for pair, rank, k in merges}
+        self._lay_out(merges)
         self.of_char = np.full(0x110000, NONE, np.uint16)
         for piece, k in ids.items():
             if len(piece) == 1:
                 self.of_char[ord(piece)] = k
         self._forget()
 
+    def _lay_out(self, merges: list[tuple[int, int, int]]) -> None:
+        """Merges in an open hash table: a pair stands at its hash or one of the next places."""
+        self.shift = np.uint32(32 - (4 * len(merges)).bit_length())
+        size = 1 << (32 - int(self.shift))
+        self.pairs, self.ranks, self.merged = np.full(size + 64, 0xFFFFFFFF, np.uint32), np.full(size + 64, NEVER, np.int32), np.zeros(size + 64, np.uint16)
+        for (pair, rank, k), at in zip(merges, self._place(np.array([m[0] for m in merges], np.uint32)).tolist(), strict=True):
+            while self.pairs[at] != 0xFFFFFFFF:
+                at += 1
+            self.pairs[at], self.ranks[at], self.merged[at] = pair, rank, k
+
+    def _place(self, pair: np.ndarray) -> np.ndarray:
+        return (pair * np.uint32(_C & 0xFFFFFFFF)) >> self.shift
+
     def _forget(self) -> None:
         """Number 0 stands for a ``▁`` of the text, which is bytes."""
-        self.number, self.size, self.needed, self.plain = {"": 0}, [0], [0], [np.array(self._bytes("▁"), "<u2").tobytes()]
+        self.number, self.needed, self.plain = {"": 0}, [0], [np.array(self._bytes("▁"), "<u2").tobytes()]
         self.outcomes: dict[tuple[int, int], bytes] = {}
 
     # --- one chunk alone
@@ -112,9 +136,16 @@ class Codec:
 
     # --- many chunks at once
     def _find(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        pair = (left.astype(np.uint32) << np.uint32(16)) | right
-        at = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
-        return np.where(self.pairs[at] == pair, self.ranks[at], NEVER), self.merged[at]
+        shape = left.shape
+        pair = ((left.astype(np.uint32) << np.uint32(16)) | right).ravel()
+        at = self._place(pair).astype(np.int32)
+        there = self.pairs[at]
+        more = np.flatnonzero((there != pair) & (there != 0xFFFFFFFF))
+        while len(more):
+            at[more] += 1
+            there = self.pairs[at[more]]
+            more = more[(there != pair[more]) & (there != 0xFFFFFFFF)]
+        return self.ranks[at].reshape(shape), self.merged[at].reshape(shape)
 
     def _together(self, chunks: list[str], skips: int | np.ndarray) -> list[bytes]:
         return self._merged(chunks, skips)[0]
@@ -172,11 +203,11 @@ class Codec:
         """``_merged`` of any number of chunks up to ``WIDEST``, in portions of similar width."""
         results: list[bytes] = [b""] * len(chunks)
         offered = np.zeros(len(chunks), np.int64)
-        width = np.searchsorted([6, 10], np.array([len(c) for c in chunks], np.int64))
-        for k in range(3):
+        width = np.searchsorted([5, 7, 9, 12], np.array([len(c) for c in chunks], np.int64))
+        for k in range(5):
             own = np.flatnonzero(width == k)
-            for at in range(0, len(own), 20_000):
-                part = own[at : at + 20_000]
+            for at in range(0, len(own), 5_000):
+                part = own[at : at + 5_000]
                 ids, offered[part] = self._merged([chunks[i] for i in part.tolist()], skips[part])
                 for i, x in zip(part.tolist(), ids, strict=True):
                     results[i] = x
@@ -194,12 +225,10 @@ class Codec:
         self.number.update(zip(narrow + wide, range(len(self.number), len(self.number) + len(new)), strict=True))
         self.plain += ids + [b""] * len(wide)
         self.needed += offered.tolist() + [0] * len(wide)
-        self.size += map(len, narrow + wide)
         return np.fromiter(map(self.number.__getitem__, chunks), np.int64, len(chunks))
 
-    def _skips(self, keys: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """Bit k is set if candidate k of an occurrence is skipped; chunks of ``n`` characters meet at most 3n - 6 (n - 1 below three)."""
-        most = np.maximum(3 * n - 6, n - 1)
+    def _skips(self, keys: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """Bit k is set if candidate k of an occurrence is skipped, for the first ``most`` candidates of each."""
         skips = np.zeros(len(keys), np.uint64)
         order = np.argsort(-most, kind="stable")
         keys, counts = keys[order], np.searchsorted(-most[order], -np.arange(64), side="left")
@@ -225,21 +254,49 @@ class Codec:
                 chunks += _CHUNK.findall("▁" + part if k == 0 and text else part)
             counts.append(len(chunks) - before)
             first.append(self.hash(text.encode("utf-8", "surrogatepass"), self.seed))
-        number = self._numbers(chunks)
         ends = np.cumsum(counts)
         place = np.arange(len(chunks)) - np.repeat(ends - counts, counts)
         keys = _mixed(np.repeat(np.array(first, np.uint64), counts) + place.astype(np.uint64) * np.uint64(_C))
-        size, needed = np.array(self.size)[number], np.array(self.needed)[number]
-        out = list(map(self.plain.__getitem__, number.tolist()))
-        narrow = np.flatnonzero((size <= WIDEST) & (needed > 0))
-        skips = self._skips(keys[narrow], size[narrow])
-        met = (np.uint64(1) << needed[narrow].astype(np.uint64)) - np.uint64(1)
-        varied = (skips & met) != 0  # else no candidate of the plain agenda is skipped
-        self._vary(chunks, out, narrow[varied], number[narrow[varied]], skips[varied])
+        size = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        out = [b""] * len(chunks)
+        new = [k for k, c in enumerate(chunks) if c not in self.number]
+        times = Counter([chunks[k] for k in new])
+        alone = np.zeros(len(chunks), bool)
+        alone[[k for k in new if times[chunks[k]] == 1]] = True
+        alone &= size <= WIDEST
+        self._once(chunks, out, np.flatnonzero(alone), keys, size)
+        rest = np.flatnonzero(~alone)
+        number = self._numbers([chunks[at] for at in rest.tolist()])
+        for at, k in zip(rest.tolist(), number.tolist(), strict=True):
+            out[at] = self.plain[k]
+        needed = np.array(self.needed, np.int64)[number]
+        some = (size[rest] <= WIDEST) & (needed > 0)
+        at, number, needed = rest[some], number[some], needed[some]
+        varied = self._skips(keys[at], needed) != 0  # else no candidate of the plain agenda is skipped
+        at, number = at[varied], number[varied]
+        self._vary(chunks, out, at, number, self._skips(keys[at], _most(size[at])))
         for at in np.flatnonzero(size > WIDEST).tolist():
             out[at] = self._alone(chunks[at], self._drawn(keys[at], np.arange(3 * len(chunks[at]))) < np.uint64(self.limit))
         return [b"".join(out[end - n : end]) for end, n in zip(ends.tolist(), counts, strict=True)]
 
+    def _once(self, chunks: list[str], out: list[bytes], at: np.ndarray, keys: np.ndarray, size: np.ndarray) -> None:
+        """Set ``out`` at the places of new chunks that stand there alone: merged once, under their own skips.
+
+        A chunk none of whose candidates was skipped has become what it becomes without skips, and is remembered.
+        """
+        skips = self._skips(keys[at], _most(size[at]))
+        own = [chunks[k] for k in at.tolist()]
+        ids, met = self._learn(own, skips)
+        plain = (skips & ((np.uint64(1) << met.astype(np.uint64)) - np.uint64(1))) == 0
+        if len(self.number) + int(plain.sum()) > TABLE_SIZE:
+            self._forget()
+        for k, chunk, x, n, whole in zip(at.tolist(), own, ids, met.tolist(), plain.tolist(), strict=True):
+            out[k] = x
+            if whole and len(self.number) < TABLE_SIZE:
+                self.number[chunk] = len(self.plain)
+                self.plain.append(x)
+                self.needed.append(n)
+
     def _vary(self, chunks: list[str], out: list[bytes], at: np.ndarray, number: np.ndarray, skips: np.ndarray) -> None:
         """Set ``out`` at the places of chunks of which a candidate is skipped; each (chunk, skips) is merged once."""
         if not len(at):
@@ -262,16 +319,22 @@ class Codec:
         for place, k in zip(at.tolist(), which.tolist(), strict=True):
             out[place] = found[k]
 
-    def decode(self, ids: bytes) -> str:
-        whole = b"".join(map(self.piece_bytes.__getitem__, np.frombuffer(ids, "<u2").tolist()))
-        return whole.removeprefix(b" ").decode("utf-8", "surrogatepass")
-
 
 @lru_cache(maxsize=2)
 def codec(path: str, seed: int = SEED, drop: float = DROP) -> Codec:
     return Codec(path, seed, drop)
 
 
+@lru_cache(maxsize=2)
+def pieces(path: str) -> Pieces:
+    return Pieces(path)
+
+
+def _most(size: np.ndarray) -> np.ndarray:
+    """Most candidates that a chunk of so many characters can meet."""
+    return np.maximum(3 * size - 6, size - 1)
+
+
 def _portions(texts: list[str], size: int = 1_000_000) -> Iterator[list[str]]:
     own, total = [], 0
     for text in texts:
@@ -307,7 +370,7 @@ def decode(coded: DataFrame, path: str) -> DataFrame:
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in coded.schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path)
+        own = pieces(path)
         for batch in batches:
             texts = pa.array([own.decode(x.as_py()) for x in batch.column("ids")], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, texts], names=[*batch.schema.names, "text"])
