@@ -22,7 +22,6 @@ from fluxloom.llm.tokens import byte_bpe, default_path
 from fluxloom.session import settle
 
 GROUP = 50_000  # pieces packed together
-PASSES = 40  # most passes of the local search over a group
 FIELDS = "piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
@@ -172,61 +171,93 @@ def _search(sizes: list[int], capacity: int) -> np.ndarray:
         fills[a] += d
         fills[b] -= d
 
-    for _ in range(PASSES):
+    def kinds(b: int) -> list[tuple[int, list[int]]]:
+        """A bin's items by size. The capacity bounds the number of different sizes by its root."""
+        own: dict[int, list[int]] = {}
+        for i in bins[b]:
+            own.setdefault(sizes[i], []).append(i)
+        return list(own.items())
+
+    def pairs(own: list[tuple[int, list[int]]]):
+        """One pair of items for each two sizes of a bin."""
+        for k, (s, items) in enumerate(own):
+            if len(items) > 1:
+                yield 2 * s, (items[0], items[1])
+            for t, others in own[:k]:
+                yield s + t, (items[0], others[0])
+
+    gained = True
+    while gained:
         used = [b for b, f in enumerate(fills) if f]
         if len(used) <= least:
             break
-        loose = sorted((b for b in used if fills[b] < capacity), key=fills.__getitem__)  # emptiest first
-        by_size: list[list[int]] = [[] for _ in range(capacity + 1)]
-        for b in reversed(loose):  # items of the emptiest bins come last, to be popped first
-            for i in bins[b]:
-                by_size[sizes[i]].append(i)
-        present = sum(1 << s for s, own in enumerate(by_size) if own)
         gained = False
-
-        def larger(low: int, high: int, a: int):
-            """An item of size in (low, high], as large as can be, from a bin emptier than ``a`` becomes."""
-            nonlocal present
-            window = present & ((1 << (high + 1)) - 1)
-            while (s := window.bit_length() - 1) > low:
-                own = by_size[s]
-                while own and fills[home[own[-1]]] >= capacity:  # that bin is full by now
-                    own.pop()
+        loose = sorted((b for b in used if fills[b] < capacity), key=fills.__getitem__)  # emptiest first
+        singles, twos = _Index(capacity), _Index(capacity)
+        for b in reversed(loose):  # what the emptiest bins hold comes last, to be found first
+            own = kinds(b)
+            for s, items in own:
+                for i in items:
+                    singles.add(s, (i,))
+            for s, two in pairs(own):
+                twos.add(s, two)
+
+        def found(index: _Index, low: int, high: int, a: int):
+            """Items of a size in (low, high], as large as can be, out of one bin that is emptier than ``a`` becomes."""
+            for s in index.sizes_down(low, high):
+                own = index.by_size[s]
+                while own and (fills[home[own[-1][0]]] >= capacity or home[own[-1][0]] != home[own[-1][-1]]):
+                    own.pop()  # that bin is full by now, or the pair was parted
                 if not own:
-                    present &= ~(1 << s)
-                elif home[own[-1]] != a and fills[a] + s - low > fills[home[own[-1]]]:
-                    return own[-1]
-                window &= ~(1 << s)
+                    index.drop(s)
+                elif home[own[-1][0]] != a and fills[a] + s - low > fills[home[own[-1][0]]]:
+                    return s - low, own[-1]
             return None
 
         for a in reversed(loose):
             again = True
             while again and 0 < fills[a] < capacity:
-                again, gap = False, capacity - fills[a]
-                singles = [(sizes[i], (i,)) for i in bins[a]]
-                pairs = [(sizes[i] + sizes[j], (i, j)) for k, i in enumerate(bins[a]) for j in bins[a][:k]] if len(bins[a]) <= 24 else []
-                best = None
-                for low, give in [(0, ()), *singles, *pairs]:  # move, one for one, two for one
-                    if (i := larger(low, min(capacity, low + gap), a)) is not None and (best is None or sizes[i] - low > best[0]):
-                        best = (sizes[i] - low, give, home[i], (i,))
-                if best is None or best[0] < gap:  # one for two out of the emptiest bins
-                    for b in loose[:4]:
-                        if b == a or len(bins[b]) < 2 or len(bins[b]) > 24:
-                            continue
-                        for k, i in enumerate(bins[b]):
-                            for j in bins[b][:k]:
-                                for low, give in singles:
-                                    d = sizes[i] + sizes[j] - low
-                                    if 0 < d <= gap and fills[a] + d > fills[b] and (best is None or d > best[0]):
-                                        best = (d, give, b, (i, j))
+                again, gap, best, own = False, capacity - fills[a], None, kinds(a)
+                ones = [(0, ()), *((s, (items[0],)) for s, items in own)]
+                for low, give in [*ones, *pairs(own)]:  # move, one for one, two for one
+                    if (hit := found(singles, low, min(capacity, low + gap), a)) and (best is None or hit[0] > best[0]):
+                        best = (hit[0], give, hit[1])
+                        if best[0] == gap:
+                            break
+                if best is None or best[0] < gap:  # one for two
+                    for low, give in ones[1:]:
+                        if (hit := found(twos, low, min(capacity, low + gap), a)) and (best is None or hit[0] > best[0]):
+                            best = (hit[0], give, hit[1])
+                            if best[0] == gap:
+                                break
                 if best:
-                    shift(a, best[1], best[2], best[3])
+                    shift(a, best[1], home[best[2][0]], best[2])
                     gained = again = True
-        if not gained:
-            break
     number, where = 0, np.zeros(len(sizes), np.int64)
     for own in bins:
         if own:
             where[own] = number
             number += 1
     return where
+
+
+class _Index:
+    """Items, or pairs of one bin, by size; a bit per size that has any."""
+
+    def __init__(self, capacity: int):
+        self.by_size: list[list[tuple]] = [[] for _ in range(capacity + 1)]
+        self.present = 0
+
+    def add(self, size: int, items: tuple) -> None:
+        if size < len(self.by_size):
+            self.by_size[size].append(items)
+            self.present |= 1 << size
+
+    def drop(self, size: int) -> None:
+        self.present &= ~(1 << size)
+
+    def sizes_down(self, low: int, high: int) -> Iterator[int]:
+        window = self.present & ((1 << (high + 1)) - 1)
+        while (s := window.bit_length() - 1) > low:
+            yield s
+            window &= (1 << s) - 1

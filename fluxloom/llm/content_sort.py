@@ -79,11 +79,18 @@ def mark_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # one row per run; the sort leaves the best row of a run first, but a group may span partitions
     best = F.min(F.struct((-F.col("_len")).alias("_neg"), F.col("_id").isNull().alias("_none"), "_id", "_row"))
     runs = rows.groupBy("_part", "_run").agg(best.alias("_best"), F.count(F.lit(1)).alias("_n"))
-    # borders: at most two rows per partition, chained where the texts on both sides are the same
+    # borders: at most two runs per partition; a narrow row of each is numbered, and where neighbours agree
+    # in digest and length their texts meet in a join on the border's number
+    edges = settle(rows.where(F.col("_edge").isNotNull()).groupBy("_part", "_run").agg(F.min("_edge").alias("_edge"), F.min("_sha").alias("_sha")))
     order = Window.orderBy("_part", "_run")
-    edges = rows.where(F.col("_edge").isNotNull()).groupBy("_part", "_run").agg(F.min("_edge").alias("_edge"))
-    fresh = F.when(F.lag("_edge").over(order).eqNullSafe(F.col("_edge")), 0).otherwise(1)
-    chains = edges.withColumn("_fresh", fresh).select("_part", "_run", F.sum("_fresh").over(order).alias("_chain"))
+    ends = edges.select("_part", "_run", "_sha", F.length("_edge").alias("_size"))
+    ends = ends.withColumns({c + "0": F.lag(c).over(order) for c in ("_part", "_run", "_sha", "_size")}).withColumn("_no", F.row_number().over(order))
+    alike = ends.where((F.col("_sha") == F.col("_sha0")) & (F.col("_size") == F.col("_size0")))
+    sides = F.explode(F.array(F.struct("_part", "_run"), F.struct(F.col("_part0").alias("_part"), F.col("_run0").alias("_run"))))
+    met = alike.select("_no", sides.alias("_s")).select("_no", "_s.*").join(edges.select("_part", "_run", "_edge"), ["_part", "_run"])
+    same = met.groupBy("_no").agg((F.min("_edge") == F.max("_edge")).alias("_same")).where("_same")
+    fresh = ends.join(same, "_no", "left").withColumn("_fresh", F.when(F.col("_same"), 0).otherwise(1))
+    chains = fresh.select("_part", "_run", F.sum("_fresh").over(order).alias("_chain"))
     linked = runs.join(chains, ["_part", "_run"])
     whole = linked.groupBy("_chain").agg(F.min("_best").alias("_best"), F.sum("_n").alias("_n"))
     spanning = linked.select("_part", "_run", "_chain").join(whole, "_chain").select("_part", "_run", "_best", "_n")

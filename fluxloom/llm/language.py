@@ -17,9 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fluxloom.session import settle
+
 ORDER = 4  # symbols of an n-gram; 64 bits hold four
 SAMPLE = 3000  # labelled documents per language that models are fitted and calibrated on
-MAX_LANGUAGES = 200  # the most frequent labels are learned
+CODE_POINTS = 20_000_000  # code points of a language's sample
+ALL_CODE_POINTS = 400_000_000  # code points of all samples together; many languages share them evenly
+FEW_LABELS = 10_000  # labels whose shares are sent to every task; more are joined
+MATRIX = 24_000_000  # cells of the table of all seen n-grams and languages; without room for it each language is asked alone
 UNKNOWN = "und"
 MARGIN = 0.75  # nats per symbol that a text may lie above its language's calibrated range: texts of two languages, names and keys stay
 FEW = 20  # calibration rows below which a language has no limit of its own
@@ -119,14 +124,19 @@ class Models:
     def __init__(self, names: list[str], languages: list[Language]):
         self.names, self.languages, self.limits = names, languages, np.full(len(names), np.inf)
         union = np.unique(np.concatenate([x.levels[0][1] for x in languages]))
+        if len(union) * len(names) > MATRIX:
+            self.hashes = None
+            return
         hashed = union * SCRAMBLE
         order = np.argsort(hashed)
         self.hashes = hashed[order]
         self.logs = np.stack([x.log(union)[order] for x in languages], axis=1).astype(np.float32)
 
-    def cross_entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Nats per symbol in each language, and the number of symbols of each text."""
-        grams, counts = keys(texts)
+    def log(self, grams: np.ndarray) -> np.ndarray:
+        """Logarithms of scrambled n-grams in each language."""
+        if self.hashes is None:
+            plain = grams * UNSCRAMBLE
+            return np.stack([x.log(plain) for x in self.languages], axis=1).astype(np.float32)
         at = np.minimum(np.searchsorted(self.hashes, grams), len(self.hashes) - 1)
         logs = self.logs[at]
         new = np.flatnonzero(self.hashes[at] != grams)
@@ -134,14 +144,37 @@ class Models:
             kinds, inverse = np.unique(grams[new], return_inverse=True)
             plain = kinds * UNSCRAMBLE
             logs[new] = np.stack([x.log(plain) for x in self.languages], axis=1)[inverse]
+        return logs
+
+    def cross_entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Nats per symbol in each language, and the number of symbols of each text."""
+        grams, counts = keys(texts)
         starts = np.cumsum(counts) - counts
-        return -np.add.reduceat(logs, starts, axis=0, dtype=np.float64) / counts[:, None], counts
+        return -np.add.reduceat(self.log(grams), starts, axis=0, dtype=np.float64) / counts[:, None], counts
+
+    def long_text(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """``cross_entropies`` of one text, in slices that hand on their last symbols."""
+        total, n, tail, letter = np.zeros(len(self.names)), 0, np.zeros(ORDER - 1, np.uint64), False
+        for at in range(0, len(text), CHUNK):
+            part = text[at : at + CHUNK]
+            raw = _alphabet()[np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.uint64)
+            keep = (raw != 0) | np.r_[letter, raw[:-1] != 0]
+            run, letter = np.concatenate([tail, raw[keep]]), raw[-1] != 0
+            if at + CHUNK >= len(text):
+                run = np.append(run, np.uint64(0))  # the text's end
+            grams = run[ORDER - 1 :].copy()
+            for back in range(1, ORDER):
+                grams |= run[ORDER - 1 - back : len(run) - back] << np.uint64(16 * back)
+            tail, n = run[len(run) - ORDER + 1 :], n + len(grams)
+            if len(grams):
+                total += self.log(grams * SCRAMBLE).sum(0, dtype=np.float64)
+        return -total[None] / n, np.array([n])
 
     def scored(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """``cross_entropies`` of any number of texts, about ``CHUNK`` symbols at a time."""
+        """``cross_entropies`` of any number of texts of any length, about ``CHUNK`` symbols at a time."""
         entropies, counts = [np.zeros((0, len(self.names)))], [np.zeros(0, np.int64)]
         for own in portions(texts):
-            e, n = self.cross_entropies(own)
+            e, n = self.long_text(own[0]) if len(own) == 1 and len(own[0]) > CHUNK else self.cross_entropies(own)
             entropies.append(e)
             counts.append(n)
         return np.concatenate(entropies), np.concatenate(counts)
@@ -152,13 +185,19 @@ class Models:
 
 
 def _sampled(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    """Labelled training rows ``lang, text, calibration``, about ``SAMPLE`` of each language."""
+    """Labelled training rows ``lang, text, calibration``: of each language about ``SAMPLE`` rows of at most ``CODE_POINTS`` together.
+
+    Every label is learned. A row longer than a language's share of code points is judged, but nothing is learned from it.
+    """
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where(~_held_out(F.col("id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES)
-    shares = F.broadcast(sizes.select("lang", (F.lit(float(SAMPLE)) / F.col("count")).alias("share")))  # at most MAX_LANGUAGES rows
+    sizes = settle(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text") + 1).alias("points")))
+    labels = sizes.count()
+    most = min(CODE_POINTS, ALL_CODE_POINTS // max(labels, 1))
+    shares = sizes.select("lang", F.least(F.lit(float(SAMPLE)) / F.col("n"), F.lit(float(most)) / F.col("points")).alias("share"))
     chance = F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1_000_000)) / 1e6
-    return rows.join(shares, "lang").where(chance < F.col("share")).select("lang", "text", (F.pmod(F.xxhash64("id", F.lit("fold")), F.lit(10)) == 0).alias("calibration"))
+    drawn = rows.where(F.length("text") <= most).join(F.broadcast(shares) if labels <= FEW_LABELS else shares, "lang").where(chance < F.col("share"))
+    return drawn.select("lang", "text", (F.pmod(F.xxhash64("id", F.lit("fold")), F.lit(10)) == 0).alias("calibration"))
 
 
 def _held_out(identifier):

@@ -1,9 +1,9 @@
 """Signature rules for license detection.
 
 One rule per line: ``label | priority | keyword | pattern``. Patterns are matched against text
-with A-Z lower-cased. In a pattern a blank stands for any run of up to 12 characters that are
+with A-Z lower-cased. In a pattern a blank stands for any run of characters that are
 neither letters nor digits (so line breaks and comment marks may separate the words), ``<ver>``
-for the words before a version number. A rule is only tried on texts that hold its keyword (or one of
+for the words before a version number. Tags are looked for in the whole expression behind "SPDX-License-Identifier:". A rule is only tried on texts that hold its keyword (or one of
 several, parted by "or"), so every match must hold it; any separator may stand for a blank there too.
 Priorities: 9 full notice, 7 versioned name or tag, 5 name, 3 general mention.
 """
@@ -11,6 +11,7 @@ Priorities: 9 full notice, 7 versioned name or tag, 5 name, 3 general mention.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 RULES = r"""
@@ -73,7 +74,8 @@ gfdl-1.1 | 8 | free documentation | (?:gnu )?free documentation licen[sc]e <ver>
 bsd-3-clause | 9 | neither the name | neither the name of (?:the )?(?:copyright holder|author|[^.\n]{1,60}) nor the names of (?:its|the|their) contributors may be used to endorse
 bsd-2-clause | 8 | redistribution and use | redistribution and use in source and binary forms with or without modification are permitted provided that
 bsd-4-clause | 9 | all advertising | all advertising materials mentioning features or use of this software must display
-bsd-3-clause | 7 | bsd | bsd[ -]?3[ -]?clause(?: licen[sc]e)?
+bsd-3-clause | 7 | bsd | bsd[ -]?3[ -]?clause(?![ -]clear)(?: licen[sc]e)?
+bsd-3-clause-clear | 7 | clear | bsd[ -]?3[ -]?clause[ -]clear(?: licen[sc]e)?
 bsd-2-clause | 7 | bsd | bsd[ -]?2[ -]?clause(?: licen[sc]e)?
 bsd-4-clause | 7 | bsd | bsd[ -]?4[ -]?clause(?: licen[sc]e)?
 bsd-3-clause | 7 | bsd | (?:3|three)[ -]clause bsd(?: licen[sc]e)?
@@ -232,7 +234,7 @@ warranty-disclaimer | 4 | warrant | without even the implied warranty of merchan
 
 # Tags whose license can be named by "SPDX-License-Identifier:" and by a package manifest.
 TAGS = """0bsd afl-3.0 agpl-3.0-only agpl-3.0-or-later apache-1.1 apache-2.0 artistic-2.0 blueoak-1.0.0 bsd-2-clause
-bsd-3-clause bsd-4-clause bsl-1.0 busl-1.1 cc-by-3.0 cc-by-4.0 cc-by-sa-4.0 cc-by-nc-4.0 cc0-1.0 cddl-1.0 cecill-2.1
+bsd-3-clause bsd-3-clause-clear bsd-4-clause bsl-1.0 busl-1.1 cc-by-3.0 cc-by-4.0 cc-by-sa-4.0 cc-by-nc-4.0 cc0-1.0 cddl-1.0 cecill-2.1
 ecl-2.0 epl-1.0 epl-2.0 eupl-1.2 gpl-2.0-only gpl-2.0-or-later gpl-3.0-only gpl-3.0-or-later isc lgpl-2.1-only
 lgpl-2.1-or-later lgpl-3.0-only lgpl-3.0-or-later mit mit-0 mpl-2.0 ms-pl ncsa ofl-1.1 osl-3.0 postgresql python-2.0
 unlicense upl-1.0 wtfpl zlib"""
@@ -247,12 +249,24 @@ class Rule:
     priority: int
     keyword: str
     pattern: re.Pattern
+    within: re.Pattern | None = None
+
+    def matches(self, text: str) -> Iterator[re.Match]:
+        """The places of the pattern, in the first group of ``within`` if the rule has one."""
+        if self.within is None:
+            return self.pattern.finditer(text)
+        return (m for part in self.within.finditer(text) for m in self.pattern.finditer(text, *part.span(1)))
+
+
+# A license expression goes to the end of its line; a tag there ends at a blank, a bracket, a quote or a comment's end.
+EXPRESSION = re.compile(r"spdx-license-identifier:([^\r\n]*)")
+TAG_START, TAG_END = r"(?<![^\s()\[\]{}<>\"',;:])", r"(?=$|[\s()\[\]{}<>\"',;*]|-->)"
 
 
 def _pattern(text: str) -> re.Pattern:
     text = text.replace("<ver>", r"(?:v(?:ersion)?\.?)").replace("<v>", r"(?:v(?:ersion)?\.? ?)")
     text = text.replace(" ?", "\x00").replace("[ -]", "[^0-9a-z]{1,3}")
-    text = text.replace(" ", "[^0-9a-z]{1,12}").replace("\x00", "[^0-9a-z]{0,12}")
+    text = text.replace(" ", "[^0-9a-z]+").replace("\x00", "[^0-9a-z]*")
     return re.compile(rf"(?<![0-9a-z\x80-\U0010ffff])(?:{text})(?![0-9a-z\x80-\U0010ffff])")
 
 
@@ -262,7 +276,6 @@ def _lines() -> list[tuple[str, int, str, str]]:
         label, priority, keyword, pattern = line.split(" | ", 3)
         lines.append((label, int(priority), keyword, pattern))
     for tag in TAGS.split():
-        lines.append((tag, 9, "spdx-license", rf"spdx-license-identifier: ?{re.escape(tag)}"))
         lines.append((tag, 8, "licen", rf"\"?licen[sc]e\"?\s{{0,4}}[:=]\s{{0,4}}[\"']{re.escape(tag)}[\"']"))
     for part, words in CC_PARTS.items():
         short = part.replace("-", "[ -]")
@@ -277,4 +290,5 @@ def _lines() -> list[tuple[str, int, str, str]]:
 
 
 def rules() -> list[Rule]:
-    return [Rule(k, label, priority, keyword, _pattern(pattern)) for k, (label, priority, keyword, pattern) in enumerate(_lines())]
+    plain = [Rule(k, label, priority, keyword, _pattern(pattern)) for k, (label, priority, keyword, pattern) in enumerate(_lines())]
+    return plain + [Rule(len(plain) + k, tag, 9, "spdx-license", re.compile(TAG_START + re.escape(tag) + TAG_END), EXPRESSION) for k, tag in enumerate(TAGS.split())]

@@ -58,7 +58,7 @@ def detect(text: str) -> list[tuple[str, int, int, int, int]]:
     for own in dict(hit for _, hit in _gate().iter(_spaced(text.encode("utf-8", "surrogatepass")))).values():
         tried.update((rule.number, rule) for rule in own)
     for rule in tried.values():
-        found += [(rule.label, rule.number, rule.priority, *m.span()) for m in rule.pattern.finditer(text)]
+        found += [(rule.label, rule.number, rule.priority, *m.span()) for m in rule.matches(text)]
     return _outermost(found)
 
 

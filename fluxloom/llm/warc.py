@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import struct
 from collections.abc import Iterator
 
@@ -20,7 +21,9 @@ from pyspark.sql import functions as F
 
 ARCHIVE = 48_000_000  # payload bytes aimed at in an archive
 LEAST_REVISIT = 1000  # shorter payloads are always stored
-SPREAD = 64  # tasks that the copies of one payload may be dealt to
+RECORD = 600  # bytes that a record counts for besides its payload
+SPREAD = 64  # archives that the copies of one payload are dealt to at least
+COPIES = 100_000  # copies of one payload in an archive, on the average, that give it more archives
 SAMPLE = 400  # pages that the dictionary is trained on
 DICTIONARY = 32_768  # bytes
 SEPARATOR = "P*M\x18\0\0\0\0"  # an empty skippable frame
@@ -86,11 +89,14 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.encode(F.coalesce(F.col(body_col), F.lit("")), "utf-8").alias("payload"))
     rows = rows.withColumns({"digest": F.sha1("payload"), "size": F.octet_length("payload").cast("bigint")})
     groups = rows.where(F.col("size") >= LEAST_REVISIT).groupBy("digest", "size").agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("n"))
-    keepers = groups.where("n > 1 AND keeper IS NOT NULL").select("digest", "keeper", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("salt"))
-    total = pages.agg(F.sum(F.octet_length(body_col))).first()[0] or 0
-    n = max(1, -(-total // ARCHIVE))
-    # the copies of a payload share a digest; the salt deals them out to several archives
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SPREAD)).cast("int")).repartition(n, "digest", "salt")
+    total, count = pages.agg(F.sum(F.coalesce(F.octet_length(body_col), F.lit(0)) + RECORD), F.count(F.lit(1))).first()
+    n = max(1, -(-(total or 0) // ARCHIVE))
+    # payloads with very many copies take more salts; at most one row in SPREAD * COPIES names such a payload
+    many = {r["digest"]: -(-r["n"] // COPIES) for r in groups.where(F.col("n") > SPREAD * COPIES).select("digest", "n").collect()} if count > SPREAD * COPIES else {}
+    salts = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in many.items() for x in pair]), "digest"), F.lit(SPREAD)) if many else F.lit(SPREAD)
+    keepers = groups.where("n > 1 AND keeper IS NOT NULL").select("digest", "keeper", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    # the copies of a payload share a digest; the salt, by row, deals them out to several archives
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url", F.monotonically_increasing_id()), salts).cast("int")).repartition(n, "digest", "salt")
     dealt = rows.join(keepers.repartition(n, "digest", "salt").hint("merge"), ["digest", "salt"], "left")
     refers = F.when((F.col("size") >= LEAST_REVISIT) & ~F.col("page_id").eqNullSafe(F.col("keeper")), F.col("keeper"))
     records = dealt.select("page_id", "url", "digest", "size", refers.alias("refers_to"), F.when(refers.isNull(), F.col("payload")).alias("payload"))
@@ -147,54 +153,107 @@ def read_frames(archive: bytes) -> Iterator[bytes]:
             if start >= len(archive):
                 raise ArchiveError(f"the frame at byte {at} is cut off")
             step = view[start : start + 65_536]
-            parts.append(one.decompress(step))
+            try:
+                parts.append(one.decompress(step))
+            except zstandard.ZstdError as error:
+                raise ArchiveError(f"the frame at byte {at} is damaged: {error}") from None
             start += len(step)
         at = start - len(one.unused_data)
         yield b"".join(parts)
 
 
-def parse_record(record: bytes) -> dict:
-    """Fields of a record after validation: version, header lines, lengths and both digests."""
+def _number(fields: dict[str, str], name: str) -> int | None:
+    """The page of a record identifier; null for identifiers of other makers."""
+    found = re.fullmatch(r"<urn:page:(-?[0-9]+)>", fields[name])
+    return int(found[1]) if found else None
+
+
+def _size(fields: dict[str, str], name: str) -> int:
+    if not re.fullmatch("[0-9]{1,18}", fields[name]):
+        raise ArchiveError(f"{name} is no length: {fields[name][:80]!r}")
+    return int(fields[name])
+
+
+def _checked(content: bytes, fields: dict[str, str], name: str) -> str:
+    """SHA-1 of ``content`` in hex after comparing it with the field, if there is one and it is a SHA-1."""
+    digest = hashlib.sha1(content).hexdigest()
+    if fields.get(name, "").lower().startswith("sha1:") and fields[name][5:].upper() != _b32(digest) and fields[name][5:].lower() != digest:
+        raise ArchiveError(f"the record differs from its {name}")
+    return digest
+
+
+def parse_record(record: bytes) -> dict | None:
+    """Fields of a record after validation: version, header lines, lengths and digests.
+
+    Records of other types than response and revisit are validated and give None. The digests and the payload's
+    length are optional, as in the format; without them they are those of the content (a revisit's are null).
+    """
     head, mark, rest = record.partition(b"\r\n\r\n")
-    lines = head.decode("ascii").split("\r\n")
-    if not mark or lines[0] != "WARC/1.1":
-        raise ArchiveError("no WARC/1.1 record")
+    try:
+        lines = head.decode("utf-8").split("\r\n")
+    except UnicodeDecodeError as error:
+        raise ArchiveError(f"the head is no text: {error}") from None
+    if not mark or lines[0] not in ("WARC/1.0", "WARC/1.1"):
+        raise ArchiveError("no WARC/1.0 or WARC/1.1 record")
+    names = {x.lower(): x for x in ("WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length", "WARC-Payload-Digest", "WARC-Block-Digest", "X-Payload-Length", "WARC-Refers-To", "WARC-Target-URI")}
     fields: dict[str, str] = {}
     for line in lines[1:]:
-        name, colon, value = line.partition(": ")
-        if not colon or name in fields:
+        name, colon, value = line.partition(":")
+        name = names.get(name.lower(), name.lower())
+        if not colon or not name or name in fields and name in names.values():
             raise ArchiveError(f"bad header line {line[:80]!r}")
-        fields[name] = value
-    if missing := [x for x in ("WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length", "WARC-Payload-Digest") if x not in fields]:
+        fields[name] = value.strip()
+    if missing := [x for x in ("WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length") if x not in fields]:
         raise ArchiveError(f"missing {missing}")
-    length = int(fields["Content-Length"])
+    length = _size(fields, "Content-Length")
     block = rest[:length]
     if len(block) != length or rest[length:] != b"\r\n\r\n":
         raise ArchiveError("Content-Length does not fit the record")
-    if "sha1:" + _b32(hashlib.sha1(block).hexdigest()) != fields["WARC-Block-Digest"]:
-        raise ArchiveError("the block differs from its digest")
+    _checked(block, fields, "WARC-Block-Digest")
+    kind = fields["WARC-Type"]
+    if kind not in ("response", "revisit"):
+        return None
     _, mark, payload = block.partition(b"\r\n\r\n")
-    kind, digest = fields["WARC-Type"], base64.b32decode(fields["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
+    size = _size(fields, "X-Payload-Length") if "X-Payload-Length" in fields else None
     if kind == "response":
-        if not mark or hashlib.sha1(payload).hexdigest() != digest or len(payload) != int(fields["X-Payload-Length"]):
-            raise ArchiveError("the payload differs from its digest or length")
-    elif kind != "revisit" or "WARC-Refers-To" not in fields:
-        raise ArchiveError(f"unexpected record of type {kind}")
-    number = lambda name: None if (x := fields[name].removeprefix("<urn:page:").removesuffix(">")) == "None" else int(x)
+        if not mark:
+            raise ArchiveError("a response without the end of its HTTP head")
+        digest = _checked(payload, fields, "WARC-Payload-Digest")
+        if size not in (None, len(payload)):
+            raise ArchiveError("the payload differs from its length")
+        size = len(payload)
+    else:
+        if "WARC-Refers-To" not in fields:
+            raise ArchiveError("a revisit without WARC-Refers-To")
+        digest = _hex(fields["WARC-Payload-Digest"]) if "WARC-Payload-Digest" in fields else None
+    url = fields.get("WARC-Target-URI")
     return {
-        "page_id": number("WARC-Record-ID"),
-        "url": None if fields["WARC-Target-URI"] == "urn:none" else fields["WARC-Target-URI"],
-        "payload_bytes": int(fields["X-Payload-Length"]),
+        "page_id": _number(fields, "WARC-Record-ID"),
+        "url": None if url == "urn:none" else url,
+        "payload_bytes": size,
         "payload_digest": digest,
         "record_type": kind,
-        "refers_to": number("WARC-Refers-To") if kind == "revisit" else None,
+        "refers_to": _number(fields, "WARC-Refers-To") if kind == "revisit" else None,
         "payload": payload if kind == "response" else None,
     }
 
 
+def _hex(digest: str) -> str:
+    """A digest field as hex; SHA-1 in base 32 is turned, others keep their text."""
+    kind, _, value = digest.partition(":")
+    if kind.lower() != "sha1" or len(value) != 32:
+        return value.lower()
+    try:
+        return base64.b32decode(value.upper()).hex()
+    except ValueError:
+        raise ArchiveError(f"no digest: {digest[:80]!r}") from None
+
+
 def read_archives(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
-    """One row per record of all archives under ``path``; a damaged archive fails with ``ArchiveError``.
+    """One row per response and revisit of all archives under ``path``; a damaged archive fails with ``ArchiveError``.
 
+    Records of other types are validated and passed over. ``page_id`` and ``refers_to`` are null where the
+    record's identifier is not one that ``write_archives`` gives.
     An empty archive folder gives no rows; an archive without records neither.
     """
     names = [f.split(" ")[0] for f in READ.split(", ")][: None if with_payload else -1]
@@ -208,8 +267,9 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
             for content in batch.column(0):
                 rows, size = [], 0
                 for record in read_frames(content.as_py()):
-                    rows.append(parse_record(record))
-                    size += len(record)
+                    if (row := parse_record(record)) is not None:
+                        rows.append(row)
+                        size += len(record)
                     if size > 4_000_000:
                         yield out(rows)
                         rows, size = [], 0

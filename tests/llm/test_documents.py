@@ -75,6 +75,20 @@ def test_exact_dedup_joins_groups_across_partitions(spark):
     assert sum(r.kept for r in got) == 701 and len(got) == 5000
 
 
+def test_borders_of_long_equal_texts_meet(spark):
+    """Texts that share their lead and cross partition borders are compared in full."""
+    lead = "same lead of all the texts here " * 40
+    rows = [(k, lead + "x" * (k % 3)) for k in range(600)]
+    kept = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(kept)
+    try:
+        spark.conf.set(kept, "false")
+        got = content_sort.mark_copies(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(8)).collect()
+    finally:
+        spark.conf.set(kept, before)
+    assert {(r.doc_id % 3, r.keep_id, r.group_size) for r in got} == {(0, 0, 200), (1, 1, 200), (2, 2, 200)}
+
+
 def test_drop_copies_keeps_whole_rows(messy):
     left = content_sort.drop_copies(messy)
     assert left.columns == messy.columns
@@ -144,19 +158,28 @@ def test_fill_packs_everything(sizes):
     assert len(by_bin) <= len(best_fit._best_fit(sizes, 64))
 
 
+def test_search_has_no_limit_on_pieces_of_a_bin():
+    """Bins of more than 24 pieces take part in all exchanges; the search ends only when nothing gains."""
+    rng = np.random.default_rng(3)
+    sizes = rng.integers(9, 33, 3000)
+    bins, _ = best_fit.fill(sizes, 1024)
+    assert len(set(bins)) == -(-int(sizes.sum()) // 1024)
+
+
 def test_local_search_empties_a_bin_that_best_fit_leaves():
     sizes = [6, 5, 5, 4, 4, 3, 3]  # 30 tokens in bins of 10: best fit needs 4 bins at most, 3 are enough
     assert len(set(best_fit.fill(np.array(sizes), 10)[0])) == 3
 
 
-def test_packing_of_messy_documents(messy):
+def test_packing_of_messy_documents(messy, spark):
     from tokenizers import Tokenizer
     import public_tokenizers
 
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    library.encode_special_tokens = True
     want = Counter()
-    for i, t in ROWS:
+    strange = [(900, "a <|endoftext|> b"), (901, "<|endoftext|><|endoftext|>"), (902, "<|endoftext| >")]
+    messy = messy.select("doc_id", "text").unionByName(spark.createDataFrame(strange, "doc_id bigint, text string"))
+    for i, t in ROWS + strange:
         ids = np.array([*library.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
         first = len(ids) % 1024 or 1024
         at = [0, *range(first, len(ids), 1024), len(ids)]
@@ -185,7 +208,6 @@ def test_byte_bpe_equals_the_tokenizers_library():
     import public_tokenizers
 
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    library.encode_special_tokens = True
     own = tokens.byte_bpe(tokens.default_path())
     for text in ["", " ", "a  b\n\n c \t", "don't <|endoftext|> 12½ é́ 日本 😀", " lead", "trail  ", "　x\x85y", *[t for _, t in ROWS if t]]:
         ids = own.ids(text)
