@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import heapq
 import re
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -37,6 +36,19 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+class _Numbers(dict):
+    """Numbers chunks in the order of their first sight; ``new`` collects those that were not known."""
+
+    def __init__(self, known: dict[str, int]):
+        super().__init__(known)
+        self.new: list[str] = []
+
+    def __missing__(self, chunk: str) -> int:
+        self.new.append(chunk)
+        self[chunk] = k = len(self)
+        return k
+
+
 class Pieces:
     """The vocabulary: bytes of every piece, the ids of byte pieces, and ids and scores of all others."""
 
@@ -93,10 +105,20 @@ class Codec(Pieces):
         return (pair * np.uint32(_C & 0xFFFFFFFF)) >> self.shift
 
     def _forget(self) -> None:
-        """Number 0 stands for a ``▁`` of the text, which is bytes."""
-        self.number, self.needed, self.plain = {"": 0}, [0], [np.array(self._bytes("▁"), "<u2").tobytes()]
+        """Number 0 stands for a ``▁`` of the text, which is bytes. A chunk's number is given at its first sight."""
+        self.number = _Numbers({"": 0})
+        self.plain: list[bytes | None] = [np.array(self._bytes("▁"), "<u2").tobytes()]
+        self.needed, self.size = np.zeros(1, np.int64), np.zeros(1, np.int64)  # needed is -1 until the plain agenda is known
         self.outcomes: dict[tuple[int, int], bytes] = {}
 
+    def _grow(self) -> None:
+        """Room for the chunks numbered since the last call."""
+        new = self.number.new
+        self.plain += [None] * len(new)
+        self.needed = np.concatenate([self.needed, np.full(len(new), -1, np.int64)])
+        self.size = np.concatenate([self.size, np.fromiter(map(len, new), np.int64, len(new))])
+        self.number.new = []
+
     # --- one chunk alone
     def _bytes(self, char: str) -> list[int]:
         return [self.byte_ids[b] for b in char.encode("utf-8", "surrogatepass")]
@@ -151,52 +173,51 @@ class Codec(Pieces):
         return self._merged(chunks, skips)[0]
 
     def _merged(self, chunks: list[str], skips: int | np.ndarray) -> tuple[list[bytes], np.ndarray]:
-        """Ids of every chunk under its bits of ``skips``, and how many candidates it met."""
+        """Ids of every chunk under its bits of ``skips``, and how many candidates it met.
+
+        Each chunk has a row of ``wide`` cells with an empty one on either side; all arrays are flat, and
+        ``left`` and ``right`` hold the cells of the neighbours.
+        """
         w, lengths = len(chunks), np.array([len(c) for c in chunks])
-        width, skips = int(lengths.max()), np.broadcast_to(np.asarray(skips, np.uint64), w)
-        ids = np.full((w, width + 2), NONE, np.uint16)
-        inside = np.arange(width + 2) < lengths[:, None]
-        ids[inside] = self.of_char[np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32)]
-        right = np.minimum(np.arange(1, width + 3, dtype=np.int32), width + 1) * np.ones((w, 1), np.int32)
-        left = np.arange(-1, width + 1, dtype=np.int32) * np.ones((w, 1), np.int32)
-        rank, merged = np.full((w, width + 2), NEVER, np.int32), np.zeros((w, width + 2), np.uint16)
-        offered = np.zeros(w, np.uint64)
-        if width > 1:
-            rank[:, : width - 1], merged[:, : width - 1] = self._find(ids[:, : width - 1], ids[:, 1:width])
-            row, at = np.nonzero(rank != NEVER)
-            order = np.arange(len(row)) - np.searchsorted(row, row)
-            gone = (skips[row] >> order.astype(np.uint64) & np.uint64(1)).astype(bool)
-            offered += np.bincount(row, minlength=w).astype(np.uint64)
-            rank[row[gone], at[gone]] = NEVER
-        live, row = inside, np.arange(w)
+        wide = int(lengths.max()) + 2
+        skips = np.broadcast_to(np.asarray(skips, np.uint64), w)
+        cells, place = np.arange(w * wide, dtype=np.int32), np.arange(wide)
+        live = ((place > 0) & (place <= lengths[:, None])).ravel()
+        ids = np.full(w * wide, NONE, np.uint16)
+        ids[live] = self.of_char[np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        left, right = cells - 1, cells + 1
+        rank, merged = np.full(w * wide, NEVER, np.int32), np.zeros(w * wide, np.uint16)
+        rank[:-1], merged[:-1] = self._find(ids[:-1], ids[1:])
+        first = np.flatnonzero(rank != NEVER)
+        of = first // wide
+        offered = np.bincount(of, minlength=w).astype(np.uint64)
+        order = np.arange(len(of)) - (np.cumsum(offered) - offered).astype(np.int64)[of]
+        rank[first[(skips[of] >> order.astype(np.uint64) & np.uint64(1)) != 0]] = NEVER
+        row, table = np.arange(w), rank.reshape(w, wide)
         while len(row):
-            at = rank[row].argmin(1)
-            some = rank[row, at] != NEVER
+            at = row * wide + (table if len(row) == w else table[row]).argmin(1)
+            some = rank[at] != NEVER
             row, at = row[some], at[some]
-            if not len(row):
-                break
-            mid = right[row, at]
-            end = right[row, mid]
-            ids[row, at], live[row, mid], rank[row, mid], right[row, at], left[row, end] = merged[row, at], False, NEVER, end, at
-            for a, b in ((at, end), (left[row, at], at)):
-                ok = a >= 0
-                r, a, b = row[ok], a[ok], b[ok]
-                found, piece = self._find(ids[r, a], ids[r, b])
-                gone = (skips[r] >> offered[r] & np.uint64(1)).astype(bool)
-                offered[r] += found != NEVER
-                rank[r, a], merged[r, a] = np.where(gone, NEVER, found), piece
+            mid = right[at]
+            end = right[mid]
+            ids[at], live[mid], rank[mid], right[at], left[end] = merged[at], False, NEVER, end, at
+            before, bits, met = left[at], skips[row], offered[row]
+            for a, b in ((at, end), (before, at)):
+                found, piece = self._find(ids[a], ids[b])
+                gone = (bits >> met & np.uint64(1)) != 0
+                met += found != NEVER
+                rank[a], merged[a] = np.where(gone, NEVER, found), piece
+            offered[row] = met
         out = ids[live]
-        ends = np.cumsum(live.sum(1))
-        raw, result, start = out.tobytes(), [], 0
+        ends = np.cumsum(live.reshape(w, wide).sum(1))
+        raw = out.tobytes()
         strange = np.zeros(w, bool)
         strange[np.searchsorted(ends, np.flatnonzero(out == NONE), side="right")] = True
-        for k, end in enumerate(ends.tolist()):
-            if strange[k]:
-                pieces = [[int(i)] if i != NONE else self._bytes(chunks[k][at]) for at, i in enumerate(ids[k]) if live[k, at]]
-                result.append(np.array([x for part in pieces for x in part], "<u2").tobytes())
-            else:
-                result.append(raw[2 * start : 2 * end])
-            start = end
+        result = [raw[a:b] for a, b in zip([0, *(2 * ends[:-1]).tolist()], (2 * ends).tolist(), strict=True)]
+        for k in np.flatnonzero(strange).tolist():
+            own = range(k * wide + 1, k * wide + 1 + len(chunks[k]))
+            pieces = [[int(ids[c])] if ids[c] != NONE else self._bytes(chunks[k][c - own.start]) for c in own if live[c]]
+            result[k] = np.array([x for part in pieces for x in part], "<u2").tobytes()
         return result, offered.astype(np.int64)
 
     def _learn(self, chunks: list[str], skips: np.ndarray) -> tuple[list[bytes], np.ndarray]:
@@ -213,20 +234,6 @@ class Codec(Pieces):
                     results[i] = x
         return results, offered
 
-    def _numbers(self, chunks: list[str]) -> np.ndarray:
-        """Number of each chunk; new ones up to ``WIDEST`` are merged without skips."""
-        new = list({c: None for c in chunks if c not in self.number})
-        if len(self.number) + len(new) > TABLE_SIZE:
-            self._forget()
-            new = list(dict.fromkeys(c for c in chunks if c))
-        narrow = [c for c in new if len(c) <= WIDEST]
-        ids, offered = self._learn(narrow, np.zeros(len(narrow), np.uint64))
-        wide = [c for c in new if len(c) > WIDEST]  # merged at each occurrence
-        self.number.update(zip(narrow + wide, range(len(self.number), len(self.number) + len(new)), strict=True))
-        self.plain += ids + [b""] * len(wide)
-        self.needed += offered.tolist() + [0] * len(wide)
-        return np.fromiter(map(self.number.__getitem__, chunks), np.int64, len(chunks))
-
     def _skips(self, keys: np.ndarray, most: np.ndarray) -> np.ndarray:
         """Bit k is set if candidate k of an occurrence is skipped, for the first ``most`` candidates of each."""
         skips = np.zeros(len(keys), np.uint64)
@@ -254,48 +261,44 @@ class Codec(Pieces):
                 chunks += _CHUNK.findall("▁" + part if k == 0 and text else part)
             counts.append(len(chunks) - before)
             first.append(self.hash(text.encode("utf-8", "surrogatepass"), self.seed))
+        if len(self.number) > TABLE_SIZE:
+            self._forget()
+        number = np.fromiter(map(self.number.__getitem__, chunks), np.int64, len(chunks))
+        self._grow()
         ends = np.cumsum(counts)
         place = np.arange(len(chunks)) - np.repeat(ends - counts, counts)
         keys = _mixed(np.repeat(np.array(first, np.uint64), counts) + place.astype(np.uint64) * np.uint64(_C))
-        size = np.fromiter(map(len, chunks), np.int64, len(chunks))
-        out = [b""] * len(chunks)
-        new = [k for k, c in enumerate(chunks) if c not in self.number]
-        times = Counter([chunks[k] for k in new])
-        alone = np.zeros(len(chunks), bool)
-        alone[[k for k in new if times[chunks[k]] == 1]] = True
-        alone &= size <= WIDEST
-        self._once(chunks, out, np.flatnonzero(alone), keys, size)
-        rest = np.flatnonzero(~alone)
-        number = self._numbers([chunks[at] for at in rest.tolist()])
-        for at, k in zip(rest.tolist(), number.tolist(), strict=True):
-            out[at] = self.plain[k]
-        needed = np.array(self.needed, np.int64)[number]
-        some = (size[rest] <= WIDEST) & (needed > 0)
-        at, number, needed = rest[some], number[some], needed[some]
-        varied = self._skips(keys[at], needed) != 0  # else no candidate of the plain agenda is skipped
-        at, number = at[varied], number[varied]
-        self._vary(chunks, out, at, number, self._skips(keys[at], _most(size[at])))
-        for at in np.flatnonzero(size > WIDEST).tolist():
-            out[at] = self._alone(chunks[at], self._drawn(keys[at], np.arange(3 * len(chunks[at]))) < np.uint64(self.limit))
+        size = self.size[number]
+        new = (self.needed < 0) & (self.size <= WIDEST)
+        times = np.bincount(number, minlength=len(self.size))
+        once = np.flatnonzero((new & (times == 1))[number])
+        own = [chunks[k] for k in once.tolist()]
+        # a new chunk that stands here once is merged once, under its own skips; if they skip nothing that is its plain form
+        skips = self._skips(keys[once], _most(size[once]))
+        alone, met = self._learn(own, skips)
+        self._remember(number[once], alone, met, (skips & ((np.uint64(1) << met.astype(np.uint64)) - np.uint64(1))) == 0)
+        several = np.flatnonzero(new & (times > 1))
+        where = np.zeros(len(self.size), np.int64)
+        where[number] = np.arange(len(chunks))
+        plain, met = self._learn([chunks[k] for k in where[several].tolist()], np.zeros(len(several), np.uint64))
+        self._remember(several, plain, met, np.ones(len(several), bool))
+        out = list(map(self.plain.__getitem__, number.tolist()))
+        for k, ids in zip(once.tolist(), alone, strict=True):
+            out[k] = ids
+        needed = self.needed[number]
+        needed[once] = 0
+        at = np.flatnonzero(needed > 0)
+        at = at[self._skips(keys[at], needed[at]) != 0]  # else no candidate of the plain agenda is skipped
+        self._vary(chunks, out, at, number[at], self._skips(keys[at], _most(size[at])))
+        for k in np.flatnonzero(size > WIDEST).tolist():  # merged at each occurrence
+            out[k] = self._alone(chunks[k], self._drawn(keys[k], np.arange(3 * len(chunks[k]))) < np.uint64(self.limit))
         return [b"".join(out[end - n : end]) for end, n in zip(ends.tolist(), counts, strict=True)]
 
-    def _once(self, chunks: list[str], out: list[bytes], at: np.ndarray, keys: np.ndarray, size: np.ndarray) -> None:
-        """Set ``out`` at the places of new chunks that stand there alone: merged once, under their own skips.
-
-        A chunk none of whose candidates was skipped has become what it becomes without skips, and is remembered.
-        """
-        skips = self._skips(keys[at], _most(size[at]))
-        own = [chunks[k] for k in at.tolist()]
-        ids, met = self._learn(own, skips)
-        plain = (skips & ((np.uint64(1) << met.astype(np.uint64)) - np.uint64(1))) == 0
-        if len(self.number) + int(plain.sum()) > TABLE_SIZE:
-            self._forget()
-        for k, chunk, x, n, whole in zip(at.tolist(), own, ids, met.tolist(), plain.tolist(), strict=True):
-            out[k] = x
-            if whole and len(self.number) < TABLE_SIZE:
-                self.number[chunk] = len(self.plain)
-                self.plain.append(x)
-                self.needed.append(n)
+    def _remember(self, number: np.ndarray, ids: list[bytes], met: np.ndarray, plain: np.ndarray) -> None:
+        """Keep the plain forms among ``ids`` with the number of candidates that they meet."""
+        self.needed[number[plain]] = met[plain]
+        for k in np.flatnonzero(plain).tolist():
+            self.plain[number[k]] = ids[k]
 
     def _vary(self, chunks: list[str], out: list[bytes], at: np.ndarray, number: np.ndarray, skips: np.ndarray) -> None:
         """Set ``out`` at the places of chunks of which a candidate is skipped; each (chunk, skips) is merged once."""
