@@ -175,6 +175,7 @@ def validate_references(checks: Mapping[str, tuple[DataFrame, DataFrame, Sequenc
 
 
 # Catalog identifiers in running text (no look-behind, so the engine can scan in linear time).
+WORD_MAP = 1024  # 64-bit words of the bitmap of alias tokens
 ID_PATTERN = r"(?i)(^|[^A-Za-z0-9])(TOI[\s._-]*\d{1,7}(\.\d{1,2})?|TIC[\s._:-]*\d{5,12}|(TOI|TIC)\d{4,})([^A-Za-z0-9]|$)"
 
 
@@ -188,10 +189,21 @@ def scan_text(lines: DataFrame, aliases: DataFrame, exceptions: DataFrame, today
     tokens = lambda c: F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda x: x != "")
     names = aliases.select(tokens("alias").alias("_a")).where((F.size("_a") > 0) & (F.length(F.array_join("_a", "")) >= 4))
     names = names.select(F.explode(F.array("_a", F.array(F.array_join("_a", "")))).alias("_a")).distinct().select(F.col("_a")[0].alias("word"), "_a")
-    longest = names.agg(F.max(F.size("_a"))).first()[0] or 1
-    # every token with the few that follow it; only those that start an alias are compared further
-    runs = F.transform(F.sequence(F.lit(1), F.size("_t")), lambda i: F.slice("_t", i, longest))
-    words = lines.withColumn("_t", tokens("line")).where(F.size("_t") > 0).select("path", "line_number", F.explode(F.array_distinct(runs)).alias("_w")).withColumn("word", F.col("_w")[0])
+    # a bitmap of the aliases' first two tokens (or the only one) and the longest alias ride along as one value; only
+    # tokens that may start an alias become rows, with the few tokens that follow
+    place = lambda *w: F.pmod(F.xxhash64(*w), F.lit(64 * WORD_MAP)).cast("int")
+    start = F.when(F.size("_a") > 1, place("word", F.get("_a", F.lit(1)))).otherwise(place("word"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), start.bitwiseAND(63))
+    parts = names.groupBy(F.shiftright(start, 6).alias("k")).agg(F.bit_or(bit).alias("bits"), F.max(F.size("_a")).alias("longest"))
+    entries = parts.agg(F.map_from_entries(F.collect_list(F.struct("k", "bits"))).alias("m"), F.coalesce(F.max("longest"), F.lit(1)).alias("longest"))
+    filled = F.transform(F.sequence(F.lit(0), F.lit(WORD_MAP - 1)), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0).cast("long")))
+    known = entries.select(F.struct(filled.alias("bits"), "longest").alias("known")).scalar()
+    texts = lines.select("path", "line_number", tokens("line").alias("_t"), known.alias("_k"))
+    hit = lambda p: F.getbit(F.get(F.col("_k.bits"), F.shiftright(p, 6)), p.bitwiseAND(63)) == 1
+    starts = F.transform("_t", lambda w, i: F.struct(place(w).alias("one"), place(w, F.get("_t", i + 1)).alias("two")))
+    runs = F.transform(starts, lambda p, i: F.when(hit(p["one"]) | hit(p["two"]), F.slice("_t", i + 1, F.col("_k.longest"))))
+    # the outer form, as the inner one would have every list computed twice
+    words = texts.select("path", "line_number", F.explode_outer(F.array_distinct(F.array_compact(runs))).alias("_w")).where(F.col("_w").isNotNull()).withColumn("word", F.col("_w")[0])
     named = attach(words, names, ["word"], spread=["path", "line_number"]).where(F.slice("_w", F.lit(1), F.size("_a")) == F.col("_a"))
     hits = ids.unionByName(named.select("path", "line_number", F.lit("alias").alias("finding")).distinct())
     live = exceptions.where(F.col("expires") >= F.lit(today).cast("date")).select("path", "line_number", "finding").distinct()

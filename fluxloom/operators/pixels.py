@@ -109,20 +109,37 @@ def localization_summary(centroids: DataFrame) -> DataFrame:
 
 
 def nonnegative_solve(g: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Least squares with non-negative amplitudes from the Gram matrix (at most six unknowns)."""
-    best, best_cost = np.zeros(len(b)), 0.0
-    for mask in range(1, 1 << len(b)):
-        use = [i for i in range(len(b)) if mask >> i & 1]
-        x, *_ = np.linalg.lstsq(g[np.ix_(use, use)], b[use], rcond=None)
-        cost = x @ g[np.ix_(use, use)] @ x - 2 * x @ b[use]
-        if (x >= 0).all() and cost < best_cost - 1e-15:
-            best, best_cost = np.zeros(len(b)), cost
-            best[use] = x
-    return best
+    """Least squares with non-negative amplitudes from the Gram matrix, by an active set.
+
+    The unknown that lowers the residual fastest joins the free ones; when a free one would turn negative, the step
+    ends where the first of them reaches zero. Each full step lowers the residual, so no set comes twice.
+    """
+    n = len(b)
+    x, free = np.zeros(n), np.zeros(n, bool)
+    tolerance = 1e-12 * max(float(np.abs(b).max(initial=0.0)), 1e-300)
+    for _ in range(3 * n + 10):
+        slope = np.where(free, -np.inf, b - g @ x)
+        k = int(slope.argmax())
+        if free.all() or slope[k] <= tolerance:
+            break
+        free[k] = True
+        while free.any():
+            own = np.flatnonzero(free)
+            full, *_ = np.linalg.lstsq(g[np.ix_(own, own)], b[own], rcond=None)
+            if (full > 0).all():
+                x[:] = 0.0
+                x[own] = full
+                break
+            low = full <= 0
+            part = np.min(x[own][low] / np.maximum(x[own][low] - full[low], 1e-300))
+            x[own] += part * (full - x[own])
+            free[own[low & (x[own] <= 1e-14 * max(x.max(), 1e-300))]] = False
+            x[~free] = 0.0
+    return x
 
 
 def source_amplitudes(img: DataFrame, sources: DataFrame, min_pixels: int = 5) -> DataFrame:
-    """Non-negative template amplitudes of the target and at most five neighbours.
+    """Non-negative template amplitudes of the target and its neighbours.
 
     Spark sums the Gram matrix over pixels; the helper solves the small system.
     ``sources`` has ``target_id, source_index, x_pix, y_pix, is_target``.
@@ -133,7 +150,7 @@ def source_amplitudes(img: DataFrame, sources: DataFrame, min_pixels: int = 5) -
     keys = [*GROUP, "source_index"]
     total = pairs.groupBy(*keys).agg(F.sum("v").alias("_t"), F.count(F.lit(1)).alias("_n")).where((F.col("_n") >= min_pixels) & (F.col("_t") > 0))
     unit = pairs.join(total, keys).select(*GROUP, "x", "y", "difference", "source_index", "is_target", (F.col("v") / F.col("_t")).alias("v"))
-    # at most six sources share a pixel
+    # the sources of a stamp share its pixels
     per_pixel = unit.groupBy(*GROUP, "x", "y", "difference").agg(F.collect_list(F.struct("source_index", "v", "is_target")).alias("s"))
     rows = per_pixel.select(*GROUP, "difference", "s", F.explode("s").alias("a"))
     cross = rows.select(*GROUP, F.col("a.source_index").alias("i"), F.col("a.is_target").alias("is_target"), (F.col("a.v") * F.col("difference")).alias("p"),

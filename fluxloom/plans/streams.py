@@ -52,6 +52,38 @@ def _(spark, folder):
     return spark.read.schema(L.OUTPUT).parquet(sink)
 
 
+K = "CAST(json_extract_string(props, '$.k') AS INTEGER)"
+
+
+@query("k2_advance_stream", f"""WITH RECURSIVE e0 AS (SELECT user_id AS target_id, event_id, ts, CASE event_type WHEN 'view' THEN 'gate' WHEN 'click' THEN 'advance' ELSE 'state' END AS kind,
+  CASE event_type WHEN 'error' THEN 'stopped' WHEN 'purchase' THEN 'paused' ELSE 'active' END AS s, CASE WHEN {K} % 3 > 0 THEN 'why' END AS why, {K} % 7 + 1 AS ph, CASE WHEN {K} % 5 = 0 THEN 1 ELSE 0 END AS bad FROM events),
+e AS (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY ts, kind <> 'gate', event_id) AS rn FROM e0),
+g AS (SELECT *, [{", ".join(f"max(CASE WHEN kind = 'gate' AND ph = {i} THEN rn * 2 + bad END) OVER w" for i in range(1, 8))}] AS snap FROM e WINDOW w AS (PARTITION BY target_id ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+ev AS (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY rn) AS m FROM g WHERE kind <> 'gate'),
+r AS (SELECT target_id, 0::BIGINT AS m, NULL::BIGINT AS event_id, NULL::VARCHAR AS event, NULL::VARCHAR AS s0, 0 AS p0, NULL::VARCHAR AS problem, 'active' AS cur, 1 AS phase FROM (SELECT DISTINCT target_id FROM ev)
+  UNION ALL SELECT target_id, m, event_id, kind, cur, phase, problem, CASE WHEN problem IS NOT NULL THEN cur WHEN kind = 'state' THEN s WHEN phase = 7 THEN 'published' ELSE cur END, CASE WHEN problem IS NULL AND kind = 'advance' AND phase < 7 THEN phase + 1 ELSE phase END
+  FROM (SELECT ev.*, r.cur, r.phase, CASE WHEN kind = 'state' THEN CASE WHEN s = cur THEN 'state unchanged' WHEN cur IN ('stopped', 'published', 'archived') AND why IS NULL THEN 'reason required' END
+    WHEN cur = 'stopped' THEN 'lifecycle is stopped' WHEN snap[phase] IS NULL THEN 'no gate snapshot' WHEN snap[phase] % 2 = 1 THEN 'evidence missing'
+    WHEN phase = 7 AND cur IN ('published', 'archived') THEN 'lifecycle is already locked: ' || cur END AS problem FROM r JOIN ev ON ev.target_id = r.target_id AND ev.m = r.m + 1)),
+n AS (SELECT {list(L.PHASES)} AS names)
+SELECT target_id, event_id, event, s0 AS from_state, cur AS to_state, names[p0] AS from_phase, names[phase] AS to_phase, problem IS NULL AS accepted, problem FROM r, n WHERE m > 0""")
+def _(spark, folder):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", L.ROCKSDB)
+    schema = A.table(spark, folder, "events").schema
+    k = F.get_json_object("props", "$.k").cast("int")
+
+    def arrived():
+        return spark.readStream.schema(schema).parquet(f"{folder}/events*.parquet").withColumnsRenamed({"user_id": "target_id", "ts": "at"})
+
+    kind = F.when(F.col("event_type") == "click", "advance").otherwise("state")
+    state = F.when(F.col("event_type") == "error", "stopped").when(F.col("event_type") == "purchase", "paused").otherwise("active")
+    events = arrived().where("event_type <> 'view'").select("target_id", "event_id", "at", kind.alias("kind"), state.alias("state"), F.when(k % 3 > 0, "why").alias("reason"))
+    gates = arrived().where("event_type = 'view'").select("target_id", "event_id", "at", F.element_at(F.array(*map(F.lit, L.PHASES)), k % 7 + 1).alias("phase"), F.when(k % 5 == 0, "evidence missing").alias("errors"))
+    sink = scratch_path(spark, "progress")
+    finish(L.run_to_table(L.progress_stream(events, gates), sink, scratch_path(spark, "progress-state")))
+    return spark.read.schema(L.MOVES).parquet(sink)
+
+
 @query("k3_outcome_counts", "SELECT o_orderstatus AS outcome, count(*) AS targets FROM orders GROUP BY 1")
 def _(spark, folder):
     schema = A.table(spark, folder, "orders").schema
