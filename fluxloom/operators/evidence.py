@@ -186,7 +186,7 @@ def scan_text(lines: DataFrame, aliases: DataFrame, exceptions: DataFrame, today
     case, as written (token by token, whatever separates them) or in compact form as one token.
     """
     ids = lines.where(F.col("line").rlike(ID_PATTERN)).select("path", "line_number", F.lit("target-id").alias("finding"))
-    tokens = lambda c: F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda x: x != "")
+    tokens = lambda c: F.array_remove(F.split(F.lower(c), "[^a-z0-9]+"), "")
     names = aliases.select(tokens("alias").alias("_a")).where((F.size("_a") > 0) & (F.length(F.array_join("_a", "")) >= 4))
     names = names.select(F.explode(F.array("_a", F.array(F.array_join("_a", "")))).alias("_a")).distinct().select(F.col("_a")[0].alias("word"), "_a")
     # a bitmap of the aliases' first two tokens (or the only one) and the longest alias ride along as one value; only
@@ -203,7 +203,7 @@ def scan_text(lines: DataFrame, aliases: DataFrame, exceptions: DataFrame, today
     starts = F.transform("_t", lambda w, i: F.struct(place(w).alias("one"), place(w, F.get("_t", i + 1)).alias("two")))
     runs = F.transform(starts, lambda p, i: F.when(hit(p["one"]) | hit(p["two"]), F.slice("_t", i + 1, F.col("_k.longest"))))
     # the outer form, as the inner one would have every list computed twice
-    words = texts.select("path", "line_number", F.explode_outer(F.array_distinct(F.array_compact(runs))).alias("_w")).where(F.col("_w").isNotNull()).withColumn("word", F.col("_w")[0])
+    words = texts.select("path", "line_number", F.explode_outer(F.array_compact(runs)).alias("_w")).where(F.col("_w").isNotNull()).withColumn("word", F.col("_w")[0])
     named = attach(words, names, ["word"], spread=["path", "line_number"]).where(F.slice("_w", F.lit(1), F.size("_a")) == F.col("_a"))
     hits = ids.unionByName(named.select("path", "line_number", F.lit("alias").alias("finding")).distinct())
     live = exceptions.where(F.col("expires") >= F.lit(today).cast("date")).select("path", "line_number", "finding").distinct()

@@ -2,7 +2,8 @@
 
 Every model is a sum over rows on an exploded parameter grid, or a normal matrix
 aggregated by Spark; only the final small linear system of a target is solved in
-numpy. H26 and H27 return grid optima and grid posteriors, not sampler output.
+numpy. H26 and H27 return grid optima and grid posteriors, not sampler output; H26 searches each
+instrument's jitter in numpy on sums of one grid point.
 """
 
 from __future__ import annotations
@@ -256,53 +257,125 @@ def true_anomaly(mean: Column, e: Column, rounds: int = 8) -> Column:
     return F.atan2(F.sqrt(1 + e) * F.sin(big / 2), F.sqrt(1 - e) * F.cos(big / 2)) * 2
 
 
+ORBIT = (0, 1, 2, 3)  # trend, cosine and sine of the true anomaly, activity
+FLAT = (0, 3)
+
+
+def solve_shared(block: np.ndarray, use: Sequence[int]) -> tuple[np.ndarray, float]:
+    """Coefficients of the shared terms in ``use`` and the chi-square left, from the 5x5 block whose last row is the velocity.
+
+    Terms are eliminated one after the other; one that the others explain (or that is constant) gets 0.
+    """
+    m, done = block.copy(), []
+    for k in use:
+        if m[k, k] > 1e-10 * max(block[k, k], 1e-300):
+            done.append((k, m[k].copy()))
+            m = m - np.outer(m[k], m[k]) / m[k, k]
+    beta = np.zeros(4)
+    for k, row in reversed(done):
+        beta[k] = (row[4] - sum(row[j] * beta[j] for j, _ in done if j != k)) / row[k]
+    return beta, max(float(m[4, 4]), 0.0)
+
+
+def jitter_search(blocks: np.ndarray, norms: np.ndarray, use: Sequence[int]) -> tuple[float, float, np.ndarray, np.ndarray]:
+    """Lowest ``-2 ln L`` over all jitters, its chi-square, shared coefficients and each instrument's jitter.
+
+    ``blocks[i, j]`` is what instrument i with jitter j adds to the shared sums. Given the coefficients, instruments are
+    independent, so each takes its best jitter; given the jitters, the coefficients follow. That ends in a good
+    choice from each common jitter; a bound then shows that no other is better, or finds it: instruments not yet
+    chosen cannot do better than alone, with coefficients of their own.
+    """
+    n, k = norms.shape
+    every, best = np.arange(n), None
+    for start in range(k):
+        choice, seen = np.full(n, start), set()
+        while tuple(choice) not in seen:
+            seen.add(tuple(choice))
+            beta, chi2 = solve_shared(blocks[every, choice].sum(0), use)
+            total = chi2 + float(norms[every, choice].sum())
+            if best is None or total < best[0] - 1e-9:
+                best = total, chi2, beta, choice
+            residual = np.append(-beta, 1.0)
+            choice = np.round(np.einsum("a,ijab,b->ij", residual, blocks, residual) + norms, 9).argmin(1)
+    alone = np.array([[solve_shared(blocks[i, j], use)[1] + norms[i, j] for j in range(k)] for i in range(n)])
+    rest = np.append(np.cumsum(alone.min(1)[::-1])[::-1], 0.0)  # lower bound of the instruments from i on
+    open_ = [(0, np.zeros_like(blocks[0, 0]), 0.0, ())]
+    while open_:
+        i, block, norm, chosen = open_.pop()
+        for j in alone[i].argsort()[::-1]:
+            with_j = block + blocks[i, j]
+            beta, chi2 = solve_shared(with_j, use)
+            total = chi2 + norm + norms[i, j]
+            if total + rest[i + 1] < best[0] - 1e-9:
+                if i + 1 < n:
+                    open_.append((i + 1, with_j, norm + norms[i, j], (*chosen, j)))
+                else:
+                    best = total, chi2, beta, np.array((*chosen, j))
+    return best
+
+
 def rv_compare(rv: DataFrame, periods: DataFrame, eccentricities: Sequence[float] = (0.0, 0.2, 0.4, 0.6), phases: int = 16,
                jitters: Sequence[float] = (0.0, 1.0, 3.0)) -> DataFrame:
-    """Offsets and trend with and without a Keplerian at the fixed period.
+    """Offsets, trend, activity and jitters with and without a Keplerian at the fixed period.
 
-    Eccentricity, mean anomaly and jitter form a grid; amplitude and argument of
-    periastron are linear and solved per grid point from sums centred on each
-    instrument. ``rv`` has ``target_id, instrument, t, velocity, sigma``.
+    Eccentricity and mean anomaly form a grid; amplitude and argument of periastron are linear. Per
+    instrument and jitter the offset is eliminated and what is left is summed, so each instrument's jitter is
+    searched on its own. ``rv`` has ``target_id, instrument, t, velocity, sigma`` and may have ``activity``, which is fitted
+    where every row of a target has it and it varies. Every parameter that is charged is fitted. ``jitters`` of the result
+    names the Keplerian's per instrument.
     """
-    ref = rv.groupBy("target_id").agg(F.avg("t").alias("_mid"))
-    x = attach(rv, periods.join(ref, "target_id"), TARGET, spread=["t"])
+    activity = F.col("activity").cast("double") if "activity" in rv.columns else F.lit(None).cast("double")
+    x = rv.select("target_id", "instrument", "t", "velocity", "sigma", activity.alias("activity"))
+    facts = x.groupBy("target_id").agg(F.avg("t").alias("_mid"), F.avg("activity").alias("_level"), ((F.count("activity") == F.count(F.lit(1))) & (F.max("activity") > F.min("activity"))).alias("_active"))
+    x = attach(x, periods.join(facts, "target_id"), TARGET, spread=["t"])
     x = fan_out(x, "target_id", "instrument", F.floor("t")).withColumn("e", F.explode(F.array(*[F.lit(float(v)) for v in eccentricities])))
     x = x.withColumn("m0", F.explode(F.array(*[F.lit(TAU * i / phases) for i in range(phases)])))
     x = x.withColumn("nu", true_anomaly(floored_mod((F.col("t") - F.col("_mid")) / F.col("period") * TAU + F.col("m0"), F.lit(TAU)), F.col("e")))
     x = x.withColumn("jitter", F.explode(F.array(*[F.lit(float(v)) for v in jitters])))
     var = F.col("sigma") * F.col("sigma") + F.col("jitter") * F.col("jitter")
-    x = x.select("target_id", "instrument", "e", "m0", "jitter", var.alias("var"), (F.col("t") - F.col("_mid")).alias("u1"), F.cos("nu").alias("u2"),
-                 F.sin("nu").alias("u3"), F.col("velocity").alias("u4")).withColumn("w", 1.0 / F.col("var"))
-    grid = ["target_id", "e", "m0", "jitter"]
-    pairs = [(i, j) for i in range(1, 5) for j in range(i, 5)]
-    s = x.groupBy(*grid, "instrument").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("s0"), F.sum(F.ln(F.col("var") * TAU)).alias("norm"),
-                                           *[F.sum(F.col("w") * F.col(f"u{i}")).alias(f"s{i}") for i in range(1, 5)],
-                                           *[F.sum(F.col("w") * F.col(f"u{i}") * F.col(f"u{j}")).alias(f"p{i}{j}") for i, j in pairs])
-    c = s.groupBy(*grid).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"), F.sum("norm").alias("norm"),
-                             *[F.sum(F.col(f"p{i}{j}") - F.col(f"s{i}") * F.col(f"s{j}") / F.col("s0")).alias(f"p{i}{j}") for i, j in pairs])
-    p = lambda i, j: F.col(f"p{min(i, j)}{max(i, j)}")
-    det3 = lambda a: (a[0][0] * (a[1][1] * a[2][2] - a[1][2] * a[2][1]) - a[0][1] * (a[1][0] * a[2][2] - a[1][2] * a[2][0]) + a[0][2] * (a[1][0] * a[2][1] - a[1][1] * a[2][0]))
-    rows = [[p(i, j) for j in (1, 2, 3)] for i in (1, 2, 3)]
-    with_rhs = lambda col: [[p(i, 4) if j == col else p(i, j) for j in (1, 2, 3)] for i in (1, 2, 3)]
-    c = c.withColumn("_d", det3(rows)).withColumn("_scale", F.abs(p(1, 1) * p(2, 2) * p(3, 3)))
-    d = F.when(F.col("_d") > F.col("_scale") * 1e-10, F.col("_d"))
-    c = c.withColumns({f"b{i}": det3(with_rhs(i)) / d for i in (1, 2, 3)})
-    flat = p(4, 4) - F.when(p(1, 1) > 0, p(1, 4) * p(1, 4) / F.when(p(1, 1) > 0, p(1, 1))).otherwise(0.0)
-    kepler = p(4, 4) - F.col("b1") * p(1, 4) - F.col("b2") * p(2, 4) - F.col("b3") * p(3, 4)
-    c = c.withColumn("chi2_flat", F.greatest(flat, F.lit(0.0))).withColumn("chi2_kepler", F.greatest(kepler, F.lit(0.0)))
-    c = c.withColumn("nll_flat", (F.col("chi2_flat") + F.col("norm")) / 2).withColumn("nll_kepler", (F.col("chi2_kepler") + F.col("norm")) / 2)
-    best = c.groupBy("target_id").agg(
-        F.min_by(F.struct("nll_flat", "chi2_flat", "n", "k", "jitter"), F.struct(F.round("nll_flat", 9), "jitter")).alias("f"),
-        F.min_by(F.struct("nll_kepler", "chi2_kepler", "e", "m0", "jitter", "b2", "b3"), F.when(F.col("nll_kepler").isNotNull(), F.struct(F.round("nll_kepler", 9), "e", "m0", "jitter"))).alias("g"))
-    n, k = F.col("f.n"), F.col("f.k")
-    q_flat, q_kepler = k * 2 + 1, k * 2 + 5  # offsets, jitters and trend, plus the four orbit terms
-    score = lambda nll, q: (q * 2 + nll * 2, F.ln(n) * q + nll * 2)
-    aic0, bic0 = score(F.col("f.nll_flat"), q_flat)
-    aic1, bic1 = score(F.col("g.nll_kepler"), q_kepler)
-    amplitude = F.hypot("g.b2", "g.b3")
-    return best.select("target_id", n.alias("n"), F.col("f.chi2_flat").alias("chi2_constant"), F.col("g.chi2_kepler").alias("chi2_keplerian"), aic0.alias("aic_constant"),
+    terms = (F.col("t") - F.col("_mid"), F.cos("nu"), F.sin("nu"), F.when(F.col("_active"), F.col("activity") - F.col("_level")).otherwise(0.0), F.col("velocity"))
+    x = x.select("target_id", "instrument", "e", "m0", "jitter", F.col("_active").cast("int").alias("active"), var.alias("var"), *[c.alias(f"u{i}") for i, c in enumerate(terms)]).withColumn("w", 1.0 / F.col("var"))
+    pairs = [(i, j) for i in range(5) for j in range(i, 5)]
+    s = x.groupBy("target_id", "e", "m0", "active", "instrument", "jitter").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("w").alias("s"), F.sum(F.ln(F.col("var") * TAU)).alias("norm"), *[F.sum(F.col("w") * F.col(f"u{i}")).alias(f"s{i}") for i in range(5)],
+        *[F.sum(F.col("w") * F.col(f"u{i}") * F.col(f"u{j}")).alias(f"p{i}{j}") for i, j in pairs])
+    left = F.array(*[F.col(f"p{i}{j}") - F.col(f"s{i}") * F.col(f"s{j}") / F.col("s") for i, j in pairs])
+    # one row per instrument and jitter of a target's grid point
+    grid = s.groupBy("target_id", "e", "m0", "active").agg(F.array_sort(F.collect_list(F.struct("instrument", "jitter", "n", "norm", left.alias("p")))).alias("b"))
+    kind = dict(rv.dtypes)
+    fields = f"target_id {kind['target_id']}, e double, m0 double, active int, n long, k long, flat double, chi2_flat double, kepler double, chi2_kepler double, b array<double>, jitters array<struct<instrument: {kind['instrument']}, jitter: double>>"
+    up = np.triu_indices(5)
+
+    def search(frames):
+        for frame in frames:
+            out = []
+            for row in frame.itertuples(index=False):
+                names = list(dict.fromkeys(x["instrument"] for x in row.b))
+                steps = len(row.b) // len(names)
+                blocks = np.zeros((len(names), steps, 5, 5))
+                blocks[:, :, up[0], up[1]] = np.array([x["p"] for x in row.b], float).reshape(len(names), steps, 15)
+                blocks[:, :, up[1], up[0]] = blocks[:, :, up[0], up[1]]
+                norms = np.array([x["norm"] for x in row.b], float).reshape(len(names), steps)
+                flat, kepler = jitter_search(blocks, norms, FLAT), jitter_search(blocks, norms, ORBIT)
+                chosen = [{"instrument": name, "jitter": row.b[i * steps + j]["jitter"]} for i, (name, j) in enumerate(zip(names, kepler[3]))]
+                out.append((row.target_id, row.e, row.m0, row.active, sum(x["n"] for x in row.b[::steps]), len(names), flat[0], flat[1], kepler[0], kepler[1], kepler[2].tolist(), chosen))
+            yield pd.DataFrame(out, columns=[f.split(" ")[0] for f in fields.split(", ")][:12])
+
+    found = grid.mapInPandas(search, fields)
+    best = found.groupBy("target_id").agg(
+        F.first("n").alias("n"), F.first("k").alias("k"), F.first("active").alias("active"), F.min_by(F.struct("flat", "chi2_flat"), F.struct(F.round("flat", 8), "e", "m0")).alias("f"),
+        F.min_by(F.struct("kepler", "chi2_kepler", "e", "m0", "b", "jitters"), F.struct(F.round("kepler", 8), "e", "m0")).alias("g"))
+    n, k = F.col("n"), F.col("k")
+    q_flat = k * 2 + 1 + F.col("active")  # offsets, jitters, trend and activity
+    q_kepler = q_flat + 4
+    score = lambda fit, q: (q * 2 + fit, F.ln(n) * q + fit)
+    aic0, bic0 = score(F.col("f.flat"), q_flat)
+    aic1, bic1 = score(F.col("g.kepler"), q_kepler)
+    b = lambda i: F.get("g.b", F.lit(i))
+    return best.select("target_id", "n", F.col("f.chi2_flat").alias("chi2_constant"), F.col("g.chi2_kepler").alias("chi2_keplerian"), aic0.alias("aic_constant"),
                        aic1.alias("aic_keplerian"), bic0.alias("bic_constant"), bic1.alias("bic_keplerian"), (aic0 - aic1).alias("delta_aic"), (bic0 - bic1).alias("delta_bic"),
-                       amplitude.alias("amplitude"), F.col("g.e").alias("eccentricity"), F.atan2(-F.col("g.b3"), F.col("g.b2")).alias("omega"), F.col("g.jitter").alias("jitter"))
+                       F.hypot(b(1), b(2)).alias("amplitude"), F.col("g.e").alias("eccentricity"), F.atan2(-b(2), b(1)).alias("omega"), b(0).alias("trend"),
+                       F.when(F.col("active") == 1, b(3)).alias("activity_coefficient"), F.col("g.jitters").alias("jitters"))
 
 
 # ---- spectral energy distribution ------------------------------------------------------------
@@ -366,6 +439,34 @@ def sed_summary(grid: DataFrame) -> DataFrame:
     return weighted_percentiles(merged, ["target_id", "param"], "value", "weight")
 
 
+TEFF_SUN, LOGG_SUN = 5772.0, 4.438  # fixed values
+DISTANCE_NODES, DISTANCE_STEP = 8, 0.5  # nodes on either side of the parallax, and their distance in standard errors
+
+
+def sed_posterior(grid: DataFrame, stars: DataFrame) -> DataFrame:
+    """Percentiles of distance, radius, luminosity and surface gravity; one row per (star, parameter).
+
+    The parallax error is spread over equally spaced nodes of a normal distribution; each node of ``grid`` is pushed through each
+    of them with the product of the weights. ``stars`` has ``target_id, parallax_mas, parallax_mas_err, mass_solar``; a star without
+    a positive parallax error has no such posterior, one without a mass has no surface gravity.
+    """
+    node = F.explode(F.sequence(F.lit(-DISTANCE_NODES), F.lit(DISTANCE_NODES))).alias("_k")
+    known = stars.where((F.col("parallax_mas") > 0) & (F.col("parallax_mas_err") > 0)).select("target_id", "parallax_mas", "parallax_mas_err", "mass_solar", node)
+    moved = F.col("parallax_mas") + F.col("_k") * DISTANCE_STEP * F.col("parallax_mas_err")
+    axis = known.withColumn("_p", moved).where(F.col("_p") > 0).select("target_id", "mass_solar", (1000.0 / F.col("_p")).alias("distance_pc"), (F.col("parallax_mas") / F.col("_p")).alias("_far"),
+                                                                    F.exp(F.pow(F.col("_k") * DISTANCE_STEP, F.lit(2.0)) * -0.5).alias("_pw"))
+    x = attach(grid.select("target_id", "teff", "av", "radius_solar", "weight"), axis, TARGET, spread=["teff", "av"])
+    radius = F.col("radius_solar") * F.col("_far")
+    luminosity = radius * radius * F.pow(F.col("teff") / TEFF_SUN, F.lit(4.0))
+    gravity = F.log10("mass_solar") + LOGG_SUN - F.log10(radius) * 2.0
+    named = (("radius_solar", radius), ("luminosity_solar", luminosity), ("logg_cgs", gravity))
+    values = x.select("target_id", (F.col("weight") * F.col("_pw")).alias("weight"), F.explode(F.array(*[F.struct(F.lit(n).alias("param"), v.alias("value")) for n, v in named])).alias("v")).select("target_id", "weight", "v.*")
+    whole = grid.groupBy("target_id").agg(F.sum("weight").alias("_g"))
+    far = axis.join(whole, "target_id").select("target_id", (F.col("_pw") * F.col("_g")).alias("weight"), F.lit("distance_pc").alias("param"), F.col("distance_pc").alias("value"))
+    merged = values.unionByName(far).groupBy("target_id", "param", "value").agg(F.sum("weight").alias("weight"))
+    return weighted_percentiles(merged, ["target_id", "param"], "value", "weight")
+
+
 def nearest_atmosphere(stars: DataFrame, grid: DataFrame, steps: Sequence[float] = (250.0, 5000.0), parts: int = 16) -> DataFrame:
     """Nearest (Teff, logg, [Fe/H]) node of each star; every star stays, with a ``status``.
 

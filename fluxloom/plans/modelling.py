@@ -108,11 +108,42 @@ def _(spark, folder):
     return rounded(M.circular_phase_summary(draws(spark, folder)), 8, "median", "p16", "p84", "half_width")
 
 
-@query("h26_rv_compare")
+def eliminated(source, k, name):
+    """One term taken out of the symmetric sums ``p``; the row of the term stays as ``r<k>``."""
+    p = lambda i, j: f"p{min(i, j)}{max(i, j)}"
+    cells = ", ".join(f"{p(i, j)} - {p(i, k)} * {p(k, j)} / {p(k, k)} AS {p(i, j)}" for i in range(5) for j in range(i, 5))
+    return f"{name} AS (SELECT * EXCLUDE ({', '.join(p(i, j) for i in range(5) for j in range(i, 5))}), {', '.join(f'{p(k, j)} AS r{k}{j}' for j in range(5))}, {cells} FROM {source})"
+
+
+RV_PAIRS = [(i, j) for i in range(5) for j in range(i, 5)]
+RV_SUMS = ["norm", *[f"p{i}{j}" for i, j in RV_PAIRS]]
+# every instrument's jitter against every other's: the product that the operator does not form
+RV_CHAIN = ", ".join(
+    f"c{m} AS (SELECT c{m - 1}.target_id, c{m - 1}.e, c{m - 1}.m0, c{m - 1}.n + coalesce(b.n, 0) AS n, c{m - 1}.k + CASE WHEN b.n IS NULL THEN 0 ELSE 1 END AS k, CASE WHEN b.n IS NULL THEN jits ELSE list_append(jits, b.jitter) END AS jits, "
+    + ", ".join(f"c{m - 1}.{x} + coalesce(b.{x}, 0) AS {x}" for x in RV_SUMS) + f" FROM c{m - 1} LEFT JOIN bl b ON b.target_id = c{m - 1}.target_id AND b.e = c{m - 1}.e AND b.m0 = c{m - 1}.m0 AND b.place = {m})" for m in range(2, 6))
+
+
+@query("h26_rv_compare", f"""WITH rv AS (SELECT user_id % 16 AS target_id, event_type AS instrument, (epoch_us(ts::TIMESTAMP) - 1704067200000000) / 86400e6 AS t, value::DOUBLE AS velocity,
+  CAST(json_extract_string(props, '$.k') AS INTEGER) % 5 + 2e0 AS sigma, sin(CAST(json_extract_string(props, '$.k') AS INTEGER) * 0.7e0) AS activity FROM events),
+mid AS (SELECT target_id, avg(t) AS mid, avg(activity) AS level FROM rv GROUP BY 1),
+gr AS (SELECT rv.*, mid, level, e, i, ((t - mid) / (target_id * 0.5e0 + 3) * 2 * pi() + i * 2 * pi() / 16) AS m FROM rv JOIN mid USING (target_id), (VALUES (0e0), (0.2e0), (0.4e0), (0.6e0)) ec(e), range(16) ph(i)),
+an AS (SELECT *, m - floor(m / (2 * pi())) * 2 * pi() AS ma FROM gr), k0 AS (SELECT *, ma + e * sin(ma) AS x0 FROM an),
+{", ".join(f"k{r} AS (SELECT * EXCLUDE (x{r - 1}), x{r - 1} - (x{r - 1} - e * sin(x{r - 1}) - ma) / (1 - e * cos(x{r - 1})) AS x{r} FROM k{r - 1})" for r in range(1, 9))},
+nu AS (SELECT *, atan2(sqrt(1 + e) * sin(x8 / 2), sqrt(1 - e) * cos(x8 / 2)) * 2 AS nu FROM k8),
+us AS (SELECT target_id, instrument, e, i AS m0, jitter, sigma * sigma + jitter * jitter AS var, t - mid AS u0, cos(nu) AS u1, sin(nu) AS u2, activity - level AS u3, velocity AS u4 FROM nu, (VALUES (0e0), (1e0), (3e0)) j(jitter)),
+sm AS (SELECT target_id, e, m0, instrument, jitter, count(*) AS n, sum(1 / var) AS s, sum(ln(var * 2 * pi())) AS norm, {", ".join(f"sum(u{i} / var) AS s{i}" for i in range(5))}, {", ".join(f"sum(u{i} * u{j} / var) AS q{i}{j}" for i, j in RV_PAIRS)} FROM us GROUP BY ALL),
+bl AS (SELECT target_id, e, m0, jitter, n, norm, {", ".join(f"q{i}{j} - s{i} * s{j} / s AS p{i}{j}" for i, j in RV_PAIRS)}, dense_rank() OVER (PARTITION BY target_id, e, m0 ORDER BY instrument) AS place FROM sm),
+c1 AS (SELECT target_id, e, m0, n, 1 AS k, [jitter] AS jits, {", ".join(RV_SUMS)} FROM bl WHERE place = 1), {RV_CHAIN},
+{eliminated("c5", 0, "d0")}, {eliminated("d0", 3, "d3")}, fl AS (SELECT *, p44 AS chi2_flat FROM d3), {eliminated("fl", 1, "d1")}, {eliminated("d1", 2, "d2")},
+so AS (SELECT *, p44 AS chi2_kepler, r24 / r22 AS b2, (r14 - r12 * r24 / r22) / r11 AS b1 FROM d2),
+ft AS (SELECT target_id, any_value(n) AS n, any_value(k) AS k, arg_min({{'f': chi2_flat + norm, 'c': chi2_flat}}, chi2_flat + norm) AS f, arg_min({{'g': chi2_kepler + norm, 'c': chi2_kepler, 'e': e, 'b1': b1, 'b2': b2, 'j': jits}}, chi2_kepler + norm) AS g FROM so GROUP BY 1)
+SELECT target_id, n::BIGINT AS n, round(f.c, 4) AS chi2_constant, round(g.c, 4) AS chi2_keplerian, round((k * 2 + 2) * 2 + f.f, 4) AS aic_constant, round((k * 2 + 6) * 2 + g.g, 4) AS aic_keplerian,
+  round((k * 2 + 2) * ln(n) + f.f, 4) AS bic_constant, round((k * 2 + 6) * ln(n) + g.g, 4) AS bic_keplerian, round(sqrt(g.b1 * g.b1 + g.b2 * g.b2), 5) AS amplitude, g.e AS eccentricity, g.j AS jitters FROM ft""")
 def _(spark, folder):
-    rv = A.events(spark, folder, A.SERIES16).select("target_id", F.col("event_type").alias("instrument"), "t", F.col("value").alias("velocity"), (F.col("k") % 5 + 2.0).alias("sigma"))
+    rv = A.events(spark, folder, A.SERIES16).select("target_id", F.col("event_type").alias("instrument"), "t", F.col("value").alias("velocity"), (F.col("k") % 5 + 2.0).alias("sigma"), F.sin(F.col("k") * 0.7).alias("activity"))
     periods = rv.select("target_id").distinct().withColumn("period", F.col("target_id") * 0.5 + 3.0)
-    return M.rv_compare(rv, periods)
+    kept = M.rv_compare(rv, periods).drop("delta_aic", "delta_bic", "omega", "trend", "activity_coefficient").withColumn("jitters", F.transform("jitters", lambda j: j["jitter"]))
+    return rounded(rounded(kept, 4, "chi2_constant", "chi2_keplerian", "aic_constant", "aic_keplerian", "bic_constant", "bic_keplerian"), 5, "amplitude")
 
 
 PHOT = [(b, 6.0 + i * 0.03) for i, b in enumerate(M.BANDS)]
@@ -150,6 +181,20 @@ def _(spark, folder):
     return rounded(M.sed_summary(M.sed_grid(*photometry(spark, folder))), 5, "p16", "median", "p84").select("target_id", "param", "p16", "median", "p84")
 
 
+@query("h27_sed_posterior", f"""WITH {SED}, ax AS (SELECT s_suppkey AS target_id, 0.6e0 + (s_suppkey % 7) * 0.1e0 AS mass, 1000 / (18 + k * 0.5e0 * err) AS distance_pc, 18 / (18 + k * 0.5e0 * err) AS far, exp(pow(k * 0.5e0, 2) * -0.5e0) AS pw
+  FROM (SELECT s_suppkey, 0.05e0 * (s_suppkey % 5) AS err FROM supplier) s, range(-8, 9) AS d(k) WHERE err > 0),
+px AS (SELECT target_id, teff, weight * pw AS w, radius_solar * far AS radius, mass FROM sg JOIN ax USING (target_id)),
+lv AS (SELECT target_id, 'radius_solar' AS param, radius AS x, w FROM px UNION ALL SELECT target_id, 'luminosity_solar', radius * radius * pow(teff / 5772e0, 4), w FROM px
+  UNION ALL SELECT target_id, 'logg_cgs', log10(mass) + 4.438e0 - log10(radius) * 2, w FROM px UNION ALL SELECT target_id, 'distance_pc', distance_pc, pw * g FROM ax JOIN (SELECT target_id, sum(weight) AS g FROM sg GROUP BY 1) USING (target_id)),
+mg AS (SELECT target_id, param, x, sum(w) AS w FROM lv GROUP BY 1, 2, 3), {wpct_sql('mg', 'target_id, param', '1, 2')}
+SELECT target_id, param, round(p16, 4) AS p16, round(median, 4) AS median, round(p84, 4) AS p84 FROM wp""")
+def _(spark, folder):
+    phot, stars = photometry(spark, folder)
+    facts = stars.withColumns({"parallax_mas_err": F.col("target_id") % 5 * 0.05, "mass_solar": F.col("target_id") % 7 * 0.1 + 0.6})
+    return rounded(M.sed_posterior(M.sed_grid(phot, stars), facts), 4, "p16", "median", "p84").select("target_id", "param", "p16", "median", "p84")
+
+
+
 @query("h28_nearest_atmosphere", """WITH st AS (SELECT c_custkey AS target_id, 3000 + c_acctbal * 0.7e0 + CASE WHEN c_custkey % 13 = 0 THEN 400000 ELSE 0 END AS teff_k, 3.5e0 + (c_custkey % 15) * 0.1e0 AS logg_cgs, CASE WHEN c_custkey % 11 > 0 THEN (c_custkey % 7 - 3) * 0.1e0 END AS feh FROM customer),
 g AS (SELECT p_partkey AS node_id, 3500e0 + (p_partkey % 24) * 100 AS teff_k, 3.5e0 + p_size % 4 * 0.5e0 AS logg_cgs, (p_partkey % 3 - 1) * 0.5e0 AS feh FROM part),
 d AS (SELECT target_id, node_id, sqrt((st.teff_k - g.teff_k) * (st.teff_k - g.teff_k) + (st.logg_cgs - g.logg_cgs) * (st.logg_cgs - g.logg_cgs) + (st.feh - g.feh) * (st.feh - g.feh)) AS distance FROM st, g WHERE st.feh IS NOT NULL),

@@ -247,3 +247,86 @@ def test_wilson_ends(spark):
     trials = frame(spark, target_id=[1] * 8, period=[1.0] * 4 + [2.0] * 4, duration_hours=[1.0] * 8, depth_ppm=[1.0] * 8, recovered=[True] * 4 + [False] * 4)
     got = controls.recovery_summary(trials).toPandas().set_index("period")
     assert got.loc[1.0, "upper"] == 1.0 and got.loc[2.0, "lower"] == 0.0 and got["trials"].max() == 8
+
+
+def test_rv_compare_fits_activity_trend_and_a_jitter_per_instrument(spark):
+    """An orbit of amplitude 7 with a trend of 0.12, activity of 2.5 a unit and two instruments, the second noisier than it says."""
+    rng = np.random.default_rng(4)
+    t = np.linspace(1170, 1230, 96)
+    second = np.arange(96) % 2 == 1
+    activity = np.sin(0.61 * t) + 0.31 * np.cos(0.17 * t)
+    noise = np.where(second, rng.normal(0, 3.0, 96), rng.normal(0, 0.4, 96))
+    v = np.where(second, -1.5, 2.0) + 0.12 * (t - 1200) + 2.5 * activity + 7 * np.cos(2 * np.pi * (t - 1200) / 5 + 0.8) + noise
+    columns = dict(target_id=np.ones(96, "int64"), instrument=np.where(second, "b", "a"), t=t, velocity=v, sigma=np.full(96, 0.4))
+    periods = spark.createDataFrame([(1, 5.0)], "target_id long, period double")
+    row = models.rv_compare(frame(spark, **columns, activity=activity), periods).first()
+    assert row["amplitude"] == pytest.approx(7, abs=0.4) and row["trend"] == pytest.approx(0.12, abs=0.03) and row["activity_coefficient"] == pytest.approx(2.5, abs=0.4)
+    assert {j["instrument"]: j["jitter"] for j in row["jitters"]} == {"a": 0.0, "b": 3.0}
+    # 2 offsets, 2 jitters, trend and activity; 4 more for the orbit
+    assert row["bic_keplerian"] - row["aic_keplerian"] == pytest.approx(10 * (np.log(96) - 2)) and row["bic_constant"] - row["aic_constant"] == pytest.approx(6 * (np.log(96) - 2))
+    plain = models.rv_compare(frame(spark, **columns), periods).first()
+    partial = models.rv_compare(frame(spark, **columns, activity=np.where(np.arange(96) == 5, None, activity)).withColumn("activity", F.col("activity").cast("double")), periods).first()
+    for other in (plain, partial):
+        assert other["activity_coefficient"] is None and other["aic_keplerian"] > row["aic_keplerian"]
+        assert other["bic_keplerian"] - other["aic_keplerian"] == pytest.approx(9 * (np.log(96) - 2))
+
+
+def test_jitter_search_equals_the_product_of_all_jitters():
+    import itertools
+
+    rng = np.random.default_rng(8)
+    jitters = np.array([0.0, 0.5, 1.0, 3.0, 9.0])
+    for _ in range(40):
+        blocks, norms = np.zeros((3, 5, 5, 5)), np.zeros((3, 5))
+        for i in range(3):
+            u = rng.normal(0, 1, (25, 4))
+            y = u @ np.array([1.0, 3.0, -2.0, 0.5]) + rng.normal(0, rng.choice([0.3, 1.0, 4.0]), 25) + rng.normal()
+            z = np.c_[u, y]
+            for j, jitter in enumerate(jitters):
+                var = np.full(25, 0.25) + jitter**2
+                w = 1 / var
+                centred = z - np.average(z, axis=0, weights=w)
+                blocks[i, j], norms[i, j] = (centred * w[:, None]).T @ centred, np.log(2 * np.pi * var).sum()
+        for use in (models.FLAT, models.ORBIT):
+            want = min(models.solve_shared(blocks[range(3), list(c)].sum(0), use)[1] + norms[range(3), list(c)].sum() for c in itertools.product(range(5), repeat=3))
+            got = models.jitter_search(blocks, norms, use)
+            assert got[0] == pytest.approx(want, abs=1e-8)
+        whole = blocks[:, 0].sum(0)
+        np.testing.assert_allclose(models.solve_shared(whole, models.ORBIT)[0], np.linalg.solve(whole[:4, :4], whole[:4, 4]), rtol=1e-8)
+
+
+def test_sed_posterior_recovers_a_star_and_its_distance(spark):
+    """A solar twin at 100 pc with half a per cent of parallax error."""
+    bands = spark.createDataFrame([(b,) for b in models.BANDS], "band string").withColumn("target_id", F.lit(1))
+    scale = np.log10(models.SOLAR_RADIUS / models.PARSEC / 100)
+    phot = bands.select("target_id", "band", (models.blackbody_magnitude(F.lit(5772.0), F.lit(0.02)) - float(scale) * 5.0).alias("mag"), F.lit(0.02).alias("err"))
+    stars = spark.createDataFrame([(1, 5772.0, 10.0, 0.05, 1.0)], "target_id int, teff_prior double, parallax_mas double, parallax_mas_err double, mass_solar double")
+    grid = models.sed_grid(phot, stars.select("target_id", "teff_prior", "parallax_mas"))
+    got = {r["param"]: r for r in models.sed_posterior(grid, stars).collect()}
+    assert got["radius_solar"]["median"] == pytest.approx(1, abs=0.1) and got["logg_cgs"]["median"] == pytest.approx(4.438, abs=0.1) and got["luminosity_solar"]["median"] == pytest.approx(1, abs=0.3)
+    assert got["distance_pc"]["median"] == pytest.approx(100, abs=0.3) and got["distance_pc"]["p84"] - got["distance_pc"]["p16"] == pytest.approx(1.0, abs=0.3)
+    wide = {r["param"]: r for r in models.sed_posterior(grid, stars.withColumn("parallax_mas_err", F.lit(2.0)).withColumn("mass_solar", F.lit(None).cast("double"))).collect()}
+    assert "logg_cgs" not in wide or wide["logg_cgs"]["median"] is None
+    assert wide["radius_solar"]["p84"] - wide["radius_solar"]["p16"] > 3 * (got["radius_solar"]["p84"] - got["radius_solar"]["p16"])
+    assert models.sed_posterior(grid, stars.withColumn("parallax_mas_err", F.lit(0.0))).count() == 0
+
+
+def test_active_set_equals_all_subsets():
+    rng = np.random.default_rng(11)
+    for n in (1, 2, 3, 5, 8):
+        for turn in range(15):
+            a = rng.normal(0, 1, (12, n))
+            if turn % 5 == 4 and n > 1:
+                a[:, -1] = a[:, 0]  # two sources at one place
+            g, b = a.T @ a, a.T @ rng.normal(0, 1, 12)
+            best = 0.0
+            for mask in range(1, 1 << n):
+                use = [i for i in range(n) if mask >> i & 1]
+                x, *_ = np.linalg.lstsq(g[np.ix_(use, use)], b[use], rcond=None)
+                if (x >= 0).all():
+                    best = min(best, x @ g[np.ix_(use, use)] @ x - 2 * x @ b[use])
+            x = pixels.nonnegative_solve(g, b)
+            assert (x >= 0).all() and x @ g @ x - 2 * x @ b == pytest.approx(best, abs=1e-8)
+    a = rng.normal(0, 1, (300, 20))
+    truth = np.maximum(rng.normal(0, 1, 20), 0)
+    np.testing.assert_allclose(pixels.nonnegative_solve(a.T @ a, a.T @ (a @ truth)), truth, atol=1e-8)
