@@ -356,14 +356,16 @@ def rv_compare(rv: DataFrame, periods: DataFrame, eccentricities: Sequence[float
                 blocks[:, :, up[0], up[1]] = np.array([x["p"] for x in row.b], float).reshape(len(names), steps, 15)
                 blocks[:, :, up[1], up[0]] = blocks[:, :, up[0], up[1]]
                 norms = np.array([x["norm"] for x in row.b], float).reshape(len(names), steps)
-                flat, kepler = jitter_search(blocks, norms, FLAT), jitter_search(blocks, norms, ORBIT)
+                kepler = jitter_search(blocks, norms, ORBIT)
+                # the orbit's grid does not matter without an orbit
+                flat = jitter_search(blocks, norms, FLAT) if row.e == eccentricities[0] and row.m0 == 0 else (None, None)
                 chosen = [{"instrument": name, "jitter": row.b[i * steps + j]["jitter"]} for i, (name, j) in enumerate(zip(names, kepler[3]))]
                 out.append((row.target_id, row.e, row.m0, row.active, sum(x["n"] for x in row.b[::steps]), len(names), flat[0], flat[1], kepler[0], kepler[1], kepler[2].tolist(), chosen))
             yield pd.DataFrame(out, columns=[f.split(" ")[0] for f in fields.split(", ")][:12])
 
     found = grid.mapInPandas(search, fields)
     best = found.groupBy("target_id").agg(
-        F.first("n").alias("n"), F.first("k").alias("k"), F.first("active").alias("active"), F.min_by(F.struct("flat", "chi2_flat"), F.struct(F.round("flat", 8), "e", "m0")).alias("f"),
+        F.first("n").alias("n"), F.first("k").alias("k"), F.first("active").alias("active"), F.min_by(F.struct("flat", "chi2_flat"), "flat").alias("f"),
         F.min_by(F.struct("kepler", "chi2_kepler", "e", "m0", "b", "jitters"), F.struct(F.round("kepler", 8), "e", "m0")).alias("g"))
     n, k = F.col("n"), F.col("k")
     q_flat = k * 2 + 1 + F.col("active")  # offsets, jitters, trend and activity

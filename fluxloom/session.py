@@ -43,9 +43,12 @@ _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per application, so that they need no copy of the repository."""
+    """Send this package to the workers once per application, so that they need no copy of the repository.
+
+    Also to a local master's: they are processes of their own and may start from any folder.
+    """
     context = spark.sparkContext
-    if is_local(spark) or context.applicationId in _shipped:
+    if context.applicationId in _shipped:
         return
     home = os.path.dirname(os.path.abspath(__file__))
     bundle = os.path.join(tempfile.mkdtemp(prefix="fluxloom-"), "fluxloom.zip")
