@@ -363,7 +363,7 @@ def rv_compare(rv: DataFrame, periods: DataFrame, eccentricities: Sequence[float
                 out.append((row.target_id, row.e, row.m0, row.active, sum(x["n"] for x in row.b[::steps]), len(names), flat[0], flat[1], kepler[0], kepler[1], kepler[2].tolist(), chosen))
             yield pd.DataFrame(out, columns=[f.split(" ")[0] for f in fields.split(", ")][:12])
 
-    found = grid.mapInPandas(search, fields)
+    found = fan_out(grid, "target_id", "e", "m0").mapInPandas(search, fields)
     best = found.groupBy("target_id").agg(
         F.first("n").alias("n"), F.first("k").alias("k"), F.first("active").alias("active"), F.min_by(F.struct("flat", "chi2_flat"), "flat").alias("f"),
         F.min_by(F.struct("kepler", "chi2_kepler", "e", "m0", "b", "jitters"), F.struct(F.round("kepler", 8), "e", "m0")).alias("g"))
