@@ -1,16 +1,23 @@
 """Box periodogram over exploded period grids and peak selection (IDs H1-H4, F1, F2, B12).
 
-The period grid is cut into blocks and each task gets (series, duration, block,
-part of the rows): it expands its rows to the periods of its block with a
-generator and collapses them at once to the weight sums of the phase bins. All
-later steps work on those bins. ``K`` bins span one duration, so a window is K
-consecutive bins, wrapping at the end of the period.
+The period grid is cut into blocks of about ``TASK_WORK`` rows x trials. ``K`` bins
+span one duration, so a window is K consecutive bins, wrapping at the end of the period.
+
+* A series of up to ``ROWS_PER_TASK`` rows is copied once per block. Its task sums the
+  phase bins of a few trials at a time (``scan``), slides the window over them and
+  returns finished trials, or only the block's strongest peak with two observed
+  events, counted on the rows at hand. Rows x trials never become rows, and nothing
+  is shuffled behind the copies but one row per block.
+* A longer series is split into parts: each part is expanded by a generator and
+  collapsed at once to phase-bin sums, which a shuffle by trial adds up.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +25,9 @@ from fluxloom.functions.fold import phase_hours
 from fluxloom.operators.spread import attach, fan_out
 
 K = 5
-TRIALS_PER_TASK = 256  # trial periods one task expands, so that its bins stay in cache
+TRIALS_PER_TASK = 256  # least number of trial periods of one task
+TASK_WORK = 16_000_000  # rows x trials of one task
+SCAN_CELLS = 1 << 16  # rows x trials worked on at once, so that they stay in cache
 ROWS_PER_TASK = 1_000_000  # a longer series is split over several tasks per trial block
 MIN_SNR = 7.1
 SCORE_DIGITS = 9
@@ -78,8 +87,109 @@ def box_bins(df: DataFrame, grid: DataFrame, series: Sequence[str]) -> DataFrame
         F.min("cycle").alias("c_min"), F.max("cycle").alias("c_max"), F.max("bins").alias("bins"))
 
 
+def scan(t: np.ndarray, flux: np.ndarray, w: np.ndarray, g) -> dict[str, np.ndarray]:
+    """Best box of each trial ``g.first .. g.last`` over rows in time order, positive depths only."""
+    trials = np.arange(g.first, g.last + 1)
+    period = 1.0 / (1.0 / g.period_min - g.step * trials)
+    bins = np.rint(period / (g.duration_hours / 24.0 / K)).astype(np.int64)
+    start, depth, depth_err, power = (np.full(len(trials), -1.0) for _ in range(4))
+    since, wy = t - g.t_start, w * flux
+    at_once = max(1, SCAN_CELLS // max(len(t), int(bins.max())))
+    for low in range(0, len(trials), at_once):
+        here = slice(low, low + at_once)
+        n = bins[here, None]
+        rows, width = np.arange(len(n))[:, None], int(n.max())
+        turns = since / period[here, None]
+        turns -= np.floor(turns)
+        turns *= n
+        cell = (np.minimum(turns.astype(np.int64), n - 1) + rows * width).ravel()
+        sums = [np.bincount(cell, np.tile(x, len(n)), len(n) * width).reshape(len(n), width) for x in (w, wy)]
+        # the bins behind the last one are the first ones again
+        turn = np.arange(width + K - 1) % n
+        win, win_y = (sum(np.take_along_axis(x, turn[:, j:j + width], 1) for j in range(K)) for x in sums)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            out = g.w_all - win
+            d = (g.wy_all - win_y) / out - win_y / win
+            score = np.round(win * d * d * 0.5, SCORE_DIGITS)
+            fits = (np.arange(width) < n) & (win > 0) & (out > g.w_all * 1e-12) & (d > 0)
+            score[~fits] = -1.0
+            best = score.argmax(axis=1)  # the earliest start of equal scores
+            pick = (np.arange(len(n)), best)
+            start[here], power[here], depth[here] = best, score[pick], d[pick]
+            depth_err[here] = np.sqrt(1.0 / win[pick] + 1.0 / out[pick])
+    kept = power >= 0
+    epoch = g.t_start + (start + K / 2.0) * (period / bins)
+    every = {"trial": trials, "period": period, "epoch": epoch, "depth": depth, "depth_err": depth_err, "power": power}
+    return {name: x[kept] for name, x in every.items()}
+
+
+def count_events(t: np.ndarray, period: float, epoch: float, hours: float) -> int:
+    """Distinct observed events: cadences (in time order) within half a duration, inclusive."""
+    x = t - epoch + period / 2
+    phase = x - period * np.floor(x / period) - period / 2
+    near = t[np.abs(phase * 24.0) <= hours / 2]
+    return len(np.unique(np.rint((near - epoch) / period)))
+
+
+def strongest_peak(found: dict[str, np.ndarray], t: np.ndarray, hours: float) -> dict[str, np.ndarray]:
+    """First trial by falling power, then falling number, with at least two events."""
+    for i in np.lexsort((found["trial"], found["power"]))[::-1]:
+        events = count_events(t, found["period"][i], found["epoch"][i], hours)
+        if events >= 2:
+            return {**{name: x[[i]] for name, x in found.items()}, "n_events": np.array([events])}
+    return {**{name: x[:0] for name, x in found.items()}, "n_events": np.array([], np.int64)}
+
+
+BOX = "trial int, period double, epoch double, depth double, depth_err double, power double"
+
+
+def scan_blocks(df: DataFrame, grid: DataFrame, series: Sequence[str], peaks: bool) -> DataFrame:
+    """Trials of the series that one task can hold, or with ``peaks`` each block's strongest valid one."""
+    series = list(series)
+    task = [*series, "duration_hours", "block"]
+    size = F.greatest(F.lit(TRIALS_PER_TASK), F.floor(F.lit(TASK_WORK) / F.col("n_points"))).cast("int")
+    sized = grid.withColumn("size", size)
+    blocks = F.explode(F.sequence(F.lit(0), F.floor((F.col("n_trials") - 1) / F.col("size")).cast("int")))
+    first = F.col("block") * F.col("size")
+    tasks = sized.withColumn("block", blocks).select(
+        *task, "t_start", "period_min", "step", "w_all", "wy_all", first.alias("first"),
+        (F.least(first + F.col("size"), F.col("n_trials")) - 1).alias("last"))
+    good = df.where(F.col("flux").isNotNull() & (F.col("flux_err") > 0)).select(
+        *series, "t", "flux", (1.0 / (F.col("flux_err") * F.col("flux_err"))).alias("w"))
+    packed = sized.groupBy(*series).agg(F.collect_list(F.struct("duration_hours", "n_trials", "size")).alias("_g"))
+    copies = attach(good, packed, series, spread=["t"]).select(*series, "t", "flux", "w", F.explode("_g").alias("_g"))
+    copies = copies.select(*series, "t", "flux", "w", "_g.*").withColumn("block", blocks).select(*task, "t", "flux", "w")
+
+    def run(rows: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows) or not len(block):
+            return pd.DataFrame(columns=names)
+        g = next(block.itertuples(index=False))
+        rows = rows.sort_values("t", kind="stable")
+        t = rows["t"].to_numpy(float)
+        found = scan(t, rows["flux"].to_numpy(float), rows["w"].to_numpy(float), g)
+        if peaks:
+            found = strongest_peak(found, t, g.duration_hours)
+        out = pd.DataFrame(found)
+        for name in (*series, "duration_hours"):
+            out[name] = block[name].iloc[0]
+        return out[names]
+
+    kinds = dict(grid.select(*series, "duration_hours").dtypes)
+    schema = ", ".join([*(f"`{name}` {kind}" for name, kind in kinds.items()), BOX, *(["n_events bigint"] if peaks else [])])
+    names = [*kinds, *(part.split()[0] for part in BOX.split(", ")), *(["n_events"] if peaks else [])]
+    tasks = tasks.toDF(*tasks.columns)  # columns of its own, since both sides stem from the same rows
+    return fan_out(copies, *task).groupBy(*task).cogroup(fan_out(tasks, *task).groupBy(*task)).applyInPandas(run, schema)
+
+
 def box_periodogram(df: DataFrame, grid: DataFrame, series: Sequence[str]) -> DataFrame:
-    """Best box per (series, duration, trial period) by likelihood, positive depths only.
+    """Best box per (series, duration, trial period) by likelihood, positive depths only."""
+    held, split = F.col("n_points") <= ROWS_PER_TASK, F.col("n_points") > ROWS_PER_TASK
+    short = scan_blocks(df, grid.where(held), series, False)
+    return short.unionByName(split_periodogram(df, grid.where(split), series).select(short.columns))
+
+
+def split_periodogram(df: DataFrame, grid: DataFrame, series: Sequence[str]) -> DataFrame:
+    """Best box per trial of series in several parts.
 
     ``two_events`` is a certificate: the inner bins of the window alone already
     hold cadences of two different events.
@@ -117,16 +227,25 @@ def events_in_box(df: DataFrame, boxes: DataFrame, series: Sequence[str]) -> Dat
     return near.groupBy(*boxes.columns).agg(F.countDistinct(cycle).alias("n_events"))
 
 
-def select_peak(periodogram: DataFrame, df: DataFrame, grid: DataFrame, series: Sequence[str], min_snr: float = MIN_SNR) -> DataFrame:
-    """First peak, by falling power, that covers at least two observed events.
+def split_peaks(df: DataFrame, grid: DataFrame, series: Sequence[str]) -> DataFrame:
+    """First peak, by falling power, with at least two observed events, of series in several parts.
 
     Only trials at least as strong as the strongest certified one can win, so the
     exact event count runs on those few; no trial is ever dropped by a cap.
     """
     group = [*series, "duration_hours"]
+    periodogram = split_periodogram(df, grid, series)
     sure = periodogram.groupBy(*group).agg(F.max(F.when(F.col("two_events"), F.col("power"))).alias("_sure"))
     rivals = attach(periodogram, sure, group, spread=["trial"]).where(F.col("_sure").isNull() | (F.col("power") >= F.col("_sure")))
-    valid = events_in_box(df, rivals.drop("_sure", "two_events"), series).where(F.col("n_events") >= 2)
+    return events_in_box(df, rivals.drop("_sure", "two_events", "n_trials"), series).where(F.col("n_events") >= 2)
+
+
+def select_peak(df: DataFrame, grid: DataFrame, series: Sequence[str], min_snr: float = MIN_SNR) -> DataFrame:
+    """First peak, by falling power, that covers at least two observed events; one row per (series, duration)."""
+    group = [*series, "duration_hours"]
+    held, split = F.col("n_points") <= ROWS_PER_TASK, F.col("n_points") > ROWS_PER_TASK
+    short = scan_blocks(df, grid.where(held), series, True)
+    valid = short.unionByName(split_peaks(df, grid.where(split), series).select(short.columns))
     best = valid.groupBy(*group).agg(F.max_by(
         F.struct("trial", "period", "epoch", "depth", "depth_err", "power", "n_events"),
         F.struct("power", F.col("trial"))).alias("b"))
@@ -158,7 +277,7 @@ def box_search(df: DataFrame, series: Sequence[str], durations_hours: Sequence[f
     else:
         facts = facts.join(bounds, list(series))
     grid = period_grid(facts, durations_hours, n_periods)
-    return select_peak(box_periodogram(df, grid, series), df, grid, series, min_snr)
+    return select_peak(df, grid, list(series), min_snr)
 
 
 def targeted_bounds(priors: DataFrame, half_width: float = 0.1) -> DataFrame:

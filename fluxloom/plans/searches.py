@@ -9,10 +9,9 @@ from fluxloom.plans.registry import query
 from fluxloom.sources import adapters as A
 
 LC16 = f"WITH {A.cadence_sql(A.SERIES16)}"
-LIMITS = (2.4, 3.2)
 
 
-def grid_sql(source: str, series: str, durations, pmin="2.4e0", pmax="3.2e0", n_periods: int = 300, extra: str = "") -> str:
+def grid_sql(source: str, series: str, durations, pmin="0.5e0", pmax="15e0", n_periods: int = 2000, extra: str = "") -> str:
     """CTEs ``facts`` and ``grid``."""
     values = ", ".join(f"({d}e0)" for d in durations)
     span = "(1 / period_min - 1 / period_max)"
@@ -58,7 +57,7 @@ PEAK = ["round(period, 8) AS period", "round(epoch, 7) AS epoch", "round(depth_p
 PEAK_SQL = ", ".join(PEAK)
 
 
-@query("h1_period_grid", f"""{LC16}, {grid_sql('lc', 'target_id', (3, 6), '0.5e0', '15e0', 2000)}
+@query("h1_period_grid", f"""{LC16}, {grid_sql('lc', 'target_id', (3, 6))}
 SELECT target_id, duration_hours, CAST(i AS INTEGER) AS trial, round(1 / (1 / period_min - step * i), 8) AS period
 FROM grid, LATERAL (SELECT unnest(range(0, n_trials)) AS i)""")
 def _(spark, folder):
@@ -70,17 +69,17 @@ def _(spark, folder):
 
 
 @query("h2_box_periodogram", f"""{LC16}, {grid_sql('lc', 'target_id', (6,))}, {box_sql_renamed('lc', 'target_id')}
-SELECT target_id, trial, round(period, 8) AS period, round(epoch, 7) AS epoch, round(depth * 1e6, 3) AS depth_ppm, round(power, 6) AS power FROM pgram""")
+SELECT target_id, trial, round(period, 8) AS period, round(epoch, 7) AS epoch, round(depth * 1e6, 2) AS depth_ppm, round(power, 3) AS power FROM pgram""")
 def _(spark, folder):
     lc = A.cadence(spark, folder, A.SERIES16)
-    facts = B.series_facts(lc, ["target_id"]).withColumn("period_min", F.lit(2.4)).withColumn("period_max", F.lit(3.2))
-    grid = B.period_grid(facts, (6.0,), 300)
+    facts = B.series_facts(lc, ["target_id"]).withColumn("period_min", F.lit(0.5)).withColumn("period_max", F.lit(15.0))
+    grid = B.period_grid(facts, (6.0,), 2000)
     return B.box_periodogram(lc, grid, ["target_id"]).select("target_id", "trial", F.round("period", 8).alias("period"),
-        F.round("epoch", 7).alias("epoch"), F.round(F.col("depth") * 1e6, 3).alias("depth_ppm"), F.round("power", 6).alias("power"))
+        F.round("epoch", 7).alias("epoch"), F.round(F.col("depth") * 1e6, 2).alias("depth_ppm"), F.round("power", 3).alias("power"))
 
 
 def h3(spark, folder, durations=(3.0, 6.0)):
-    return B.box_search(A.cadence(spark, folder, A.SERIES16), ["target_id"], durations, *LIMITS, 300)
+    return B.box_search(A.cadence(spark, folder, A.SERIES16), ["target_id"], durations)
 
 
 H3 = f"{LC16}, {grid_sql('lc', 'target_id', (3, 6))}, {box_sql_renamed('lc', 'target_id')}"
@@ -105,11 +104,11 @@ def _(spark, folder):
     return B.select_duration(h3(spark, folder), ["target_id"]).selectExpr("target_id", "duration_hours", "n_events", "status", *PEAK)
 
 
-@query("h4_targeted_search", f"""{LC16}, {grid_sql('lc', 'target_id', (6,), '(eph.period - 0.1e0)', '(eph.period + 0.1e0)', 100, 'JOIN eph USING (target_id)')},
+@query("h4_targeted_search", f"""{LC16}, {grid_sql('lc', 'target_id', (6,), '(eph.period - 0.1e0)', '(eph.period + 0.1e0)', 2000, 'JOIN eph USING (target_id)')},
 {box_sql_renamed('lc', 'target_id')} SELECT target_id, n_trials, n_events, status, {PEAK_SQL} FROM peaks""")
 def _(spark, folder):
     bounds = B.targeted_bounds(A.ephemeris(spark, folder, A.SERIES16))
-    out = B.box_search(A.cadence(spark, folder, A.SERIES16), ["target_id"], (6.0,), n_periods=100, bounds=bounds)
+    out = B.box_search(A.cadence(spark, folder, A.SERIES16), ["target_id"], (6.0,), bounds=bounds)
     return out.selectExpr("target_id", "n_trials", "n_events", "status", *PEAK)
 
 

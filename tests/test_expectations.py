@@ -118,6 +118,67 @@ def test_box_search_recovers_an_injected_signal(spark):
     assert best["depth_ppm"] == pytest.approx(5000, rel=0.2) and best["n_events"] == 5
 
 
+def box_brute_force(t, flux, err, grid, hours):
+    """All trials of one series by plain loops: {trial: (period, epoch, power, events)}."""
+    w = 1.0 / (err * err)
+    out = {}
+    for i in range(grid["n_trials"]):
+        period = 1.0 / (1.0 / grid["period_min"] - grid["step"] * i)
+        bins = int(np.rint(period / (hours / 24.0 / search.K)))
+        turns = (t - t.min()) / period
+        cell = np.minimum(((turns - np.floor(turns)) * bins).astype(int), bins - 1)
+        best = None
+        for start in range(bins):
+            inside = np.isin(cell, [(start + j) % bins for j in range(search.K)])
+            if not inside.any() or inside.all():
+                continue
+            a, b = w[inside].sum(), w[~inside].sum()
+            depth = (w * flux)[~inside].sum() / b - (w * flux)[inside].sum() / a
+            power = round(a * depth * depth * 0.5, search.SCORE_DIGITS)
+            if depth > 0 and (best is None or power > best[0]):
+                best = (power, start)
+        if best:
+            epoch = t.min() + (best[1] + search.K / 2) * period / bins
+            phase = (t - epoch + period / 2) % period - period / 2
+            near = t[np.abs(phase) * 24 <= hours / 2]
+            out[i] = (period, epoch, best[0], len(set(np.rint((near - epoch) / period))))
+    return out
+
+
+@pytest.mark.parametrize("held", [search.ROWS_PER_TASK, 40])
+def test_box_search_equals_plain_loops(spark, monkeypatch, held):
+    """Also for series in several parts (``held`` below their length), one of them with a single event."""
+    monkeypatch.setattr(search, "ROWS_PER_TASK", held)
+    monkeypatch.setattr(search, "TRIALS_PER_TASK", 7)
+    monkeypatch.setattr(search, "TASK_WORK", 900)
+    rng = np.random.default_rng(4)
+    t = [np.sort(rng.uniform(0, 9, n)) for n in (90, 120, 60)]
+    flux = [1 + rng.normal(0, 1e-3, len(x)) for x in t]
+    flux[0][np.abs((t[0] - 0.7 + 1) % 2 - 1) < 0.15] -= 0.02
+    flux[1][np.abs(t[1] - 4.4) < 0.2] -= 0.05
+    lc = frame(spark, target_id=np.repeat([0, 1, 2], [90, 120, 60]), t=np.concatenate(t), flux=np.concatenate(flux), flux_err=np.full(270, 1e-3))
+    facts = search.series_facts(lc, ["target_id"]).selectExpr("*", "1.5D AS period_min", "5.5D AS period_max")
+    grid = search.period_grid(facts, (7.0, 9.0), 40)
+    facts_of = {(r.target_id, r.duration_hours): r.asDict() for r in grid.collect()}
+    got = {(r.target_id, r.duration_hours, r.trial): r for r in search.box_periodogram(lc, grid, ["target_id"]).collect()}
+    peaks = {(r.target_id, r.duration_hours): r for r in search.select_peak(lc, grid, ["target_id"], 0.0).collect()}
+    assert len(peaks) == 6
+    for (target, hours), g in facts_of.items():
+        want = box_brute_force(t[target], flux[target], np.full(len(t[target]), 1e-3), g, hours)
+        assert {k[2] for k in got if k[:2] == (target, hours)} == set(want)
+        for i, (period, epoch, power, _) in want.items():
+            row = got[target, hours, i]
+            assert (row.period, row.power) == pytest.approx((period, power), rel=1e-7)
+        rank = sorted(((power, i) for i, (_, _, power, events) in want.items() if events >= 2), reverse=True)
+        row = peaks[target, hours]
+        assert row.n_trials == g["n_trials"]
+        if rank:
+            period, epoch, _, events = want[rank[0][1]]
+            assert (row.period, row.epoch) == pytest.approx((period, epoch), rel=1e-9) and row.n_events == events
+        else:
+            assert row.status == "no-detection" and row.n_events == 0
+
+
 def test_box_search_without_a_signal_keeps_a_row(spark):
     t = np.arange(0, 10, 0.05)
     lc = one_target(spark, t, 1 + 1e-4 * np.sin(t), 0.01)
