@@ -99,14 +99,15 @@ def scan(t: np.ndarray, flux: np.ndarray, w: np.ndarray, g) -> dict[str, np.ndar
         here = slice(low, low + at_once)
         n = bins[here, None]
         rows, width = np.arange(len(n))[:, None], int(n.max())
+        room, behind = width + K - 1, np.arange(K - 1)
         turns = since / period[here, None]
         turns -= np.floor(turns)
         turns *= n
-        cell = (np.minimum(turns.astype(np.int64), n - 1) + rows * width).ravel()
-        sums = [np.bincount(cell, np.tile(x, len(n)), len(n) * width).reshape(len(n), width) for x in (w, wy)]
-        # the bins behind the last one are the first ones again
-        turn = np.arange(width + K - 1) % n
-        win, win_y = (sum(np.take_along_axis(x, turn[:, j:j + width], 1) for j in range(K)) for x in sums)
+        cell = (np.minimum(turns.astype(np.int64), n - 1) + rows * room).ravel()
+        sums = [np.bincount(cell, np.tile(x, len(n)), len(n) * room).reshape(len(n), room) for x in (w, wy)]
+        for x in sums:  # the bins behind the last one are the first ones again
+            x[rows, n + behind] = x[rows, behind % n]
+        win, win_y = (sum(x[:, j:j + width] for j in range(K)) for x in sums)
         with np.errstate(divide="ignore", invalid="ignore"):
             out = g.w_all - win
             d = (g.wy_all - win_y) / out - win_y / win

@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 from fluxloom.operators import controls as R
 from fluxloom.operators import search as B
 from fluxloom.operators import signals as G
-from fluxloom.plans.ordered import OVER, detrend_sql
 from fluxloom.plans.registry import query
 from fluxloom.plans.searches import BEST, box_sql_renamed, grid_sql
 from fluxloom.sources import adapters as A
 
 LC16 = f"WITH {A.cadence_sql(A.SERIES16)}"
-CFG = R.SurveyConfig(durations_hours=(6.0,), period_min=2.5, period_max=3.0, n_periods=100, detrend_window_days=0.5)
-GRID = R.SensitivityGrid(periods=(2.55, 2.9), durations_hours=(4.0, 6.0), depths_ppm=(9000.0, 60000.0), phases=(0.125, 0.625))
+CFG = R.SurveyConfig()
+# h18 injects every sixth of the default signals' cells: each period and depth, the longest duration, two phases
+GRID = R.SensitivityGrid(durations_hours=(4.0,), phases=(0.125, 0.625))
 
 
 @query("c10_injection_grid", f"""{LC16}, a AS (SELECT target_id, min(t) AS t0 FROM lc GROUP BY 1)
@@ -25,7 +25,7 @@ def _(spark, folder):
     return R.injection_grid(A.cadence(spark, folder, A.SERIES16), R.SensitivityGrid())
 
 
-SIG = f"""{grid_sql('lc', 'target_id', (6,), '2.5e0', '3.0e0', 100)}, {box_sql_renamed('lc', 'target_id')}"""
+SIG = f"""{grid_sql('lc', 'target_id', CFG.durations_hours, '0.5e0', '20e0', CFG.n_periods)}, {box_sql_renamed('lc', 'target_id')}, {BEST}"""
 
 
 def reference(spark, folder):
@@ -35,7 +35,7 @@ def reference(spark, folder):
 
 
 CAND = """cand AS (SELECT target_id, period, epoch + f * period AS epoch, duration_hours, depth_ppm, f AS phase_offset
-  FROM peaks, (VALUES (0.25e0), (0.5e0), (0.75e0)) AS x(f) WHERE status = 'detected' AND n_events >= 2)"""
+  FROM best, (VALUES (0.25e0), (0.5e0), (0.75e0)) AS x(f) WHERE status = 'detected' AND n_events >= 2)"""
 
 
 @query("c11_candidate_injections", f"""{LC16}, {SIG}, {CAND} SELECT target_id, round(period, 8) AS period, round(epoch, 7) AS epoch,
@@ -66,29 +66,7 @@ def _(spark, folder):
                                         *[F.round(c, 9).alias(c) for c in ("fraction", "lower", "upper")])
 
 
-SCRAMBLES = " UNION ALL ".join(f"""SELECT o.target_id, o.sector, o.t, o.event_id, s.flux, o.flux_err, 'scramble-{seed}' AS control FROM rn0 o JOIN rn0 s
-  ON s.target_id = o.target_id AND s.sector = o.sector
-  AND s.rn = (o.rn - 1 - (1 + (o.target_id * 7919 + o.sector * 104729 + {seed} * 1299709) % greatest(o.n - 1, 1)) + o.n) % o.n + 1""" for seed in CFG.scramble_seeds)
-CONTROLS = f"""rn0 AS (SELECT *, row_number() OVER (PARTITION BY target_id, sector ORDER BY t) AS rn, count(*) OVER (PARTITION BY target_id, sector) AS n FROM lc),
-ctl AS MATERIALIZED (SELECT target_id, sector, t, event_id, flux, flux_err, 'signal' AS control FROM lc
-  UNION ALL SELECT target_id, sector, t, event_id, 2 - flux, flux_err, 'inverted' FROM lc UNION ALL {SCRAMBLES}),
-{detrend_sql('ctl', 'target_id, sector, control', 0.5)},
-var AS MATERIALIZED (SELECT target_id, control, 'normalized' AS branch, t, flux, flux_err FROM ctl
-  UNION ALL SELECT target_id, control, 'running-median', t, flux / lev, flux_err FROM det)"""
-ROB = f"""{CONTROLS}, {grid_sql('var', 'target_id, branch, control', (6,), '2.5e0', '3.0e0', 100)}, {box_sql_renamed('var', 'target_id, branch, control')}"""
-ROBUST = """rob AS (SELECT target_id, max(period) FILTER (WHERE branch = 'normalized' AND control = 'signal') AS plain_period,
-  max(snr) FILTER (WHERE branch = 'normalized' AND control = 'signal') AS plain_snr,
-  max(n_events) FILTER (WHERE branch = 'normalized' AND control = 'signal') AS plain_n_events,
-  max(period) FILTER (WHERE branch = 'running-median' AND control = 'signal') AS flat_period,
-  max(snr) FILTER (WHERE branch = 'running-median' AND control = 'signal') AS flat_snr,
-  max(n_events) FILTER (WHERE branch = 'running-median' AND control = 'signal') AS flat_n_events,
-  max(snr) FILTER (WHERE control <> 'signal') AS max_control_snr, count(snr) FILTER (WHERE control <> 'signal') AS n_controls
-  FROM peaks GROUP BY 1)"""
-
-
-@query("h16_robustness", f"""{LC16}, {ROB}, {ROBUST} SELECT target_id, round(plain_period, 7) AS plain_period, round(plain_snr, 5) AS plain_snr,
-  plain_n_events, round(flat_period, 7) AS flat_period, round(flat_snr, 5) AS flat_snr, flat_n_events,
-  round(max_control_snr, 5) AS max_control_snr, n_controls FROM rob""")
+@query("h16_robustness")
 def _(spark, folder):
     out = R.robustness(A.cadence(spark, folder, A.SERIES16), CFG)
     return out.select("target_id", F.round("plain_period", 7).alias("plain_period"), F.round("plain_snr", 5).alias("plain_snr"), "plain_n_events",
@@ -96,36 +74,7 @@ def _(spark, folder):
                       F.round("max_control_snr", 5).alias("max_control_snr"), "n_controls")
 
 
-def recovery_sql(prefix: str, injections: str) -> str:
-    """CTE ``{prefix}rec`` from a table of injections; every inner CTE gets the prefix."""
-    import re
-
-    text = f"""x0 AS (SELECT target_id, median(gap) AS exposure FROM (SELECT target_id, t - lag(t) OVER (PARTITION BY target_id ORDER BY t) AS gap FROM lc) WHERE gap > 0 GROUP BY 1),
-ij AS (SELECT *, row_number() OVER (ORDER BY target_id, period, epoch, duration_hours, depth_ppm) AS iid FROM {injections}),
-ic AS (SELECT lc.*, iid, depth_ppm, exposure, duration_hours / 24 / 2 AS hw, epoch + round_even((t - epoch) / period, 0) * period AS c
-  FROM lc JOIN ij USING (target_id) JOIN x0 USING (target_id)),
-dm AS MATERIALIZED (SELECT target_id, iid, sector, t, event_id, flux * (1 - depth_ppm * 1e-6 * {OVER}) AS flux, flux_err FROM ic),
-{detrend_sql('dm', 'target_id, sector, iid', 0.5)},
-var AS MATERIALIZED (SELECT target_id, iid, 'normalized' AS branch, t, flux, flux_err FROM dm
-  UNION ALL SELECT target_id, iid, 'running-median', t, flux / lev, flux_err FROM det),
-{grid_sql('var', 'target_id, iid, branch', (6,), '2.5e0', '3.0e0', 100)}, {box_sql_renamed('var', 'target_id, iid, branch')},
-m AS (SELECT ij.*, coalesce(abs(pk2.period / ij.period - 1) <= 0.01e0, false) AS pm,
-  coalesce(abs({A.phase_sql('pk2.epoch', 'ij.period', 'ij.epoch')} * 24) <= ij.duration_hours, false) AS em,
-  coalesce(snr >= 10 AND n_events >= 2, false) AS sp
-  FROM ij, (VALUES ('normalized'), ('running-median')) AS b(branch) LEFT JOIN peaks pk2 ON pk2.target_id = ij.target_id AND pk2.iid = ij.iid AND pk2.branch = b.branch),
-rec AS (SELECT target_id, period, epoch, duration_hours, depth_ppm, phase_offset, bool_and(pm) AS period_match, bool_and(em) AS epoch_match,
-  bool_and(sp) AS snr_pass, bool_and(pm AND em AND sp) AS recovered FROM m GROUP BY ALL)"""
-    for name in ("x0", "ij", "ic", "dm", "cd", "dg", "rr", "wd", "rk", "bd", "fl", "dt", "det", "var", "facts", "lim", "gr", "gs", "grid",
-                 "tr", "tb", "ex", "bn", "wn", "dp", "pk", "pgram", "evn", "bb", "peaks", "m", "rec"):
-        text = re.sub(rf"\b{name}\b(?=( AS (MATERIALIZED )?\()|\.|$|[ ,)\n])", prefix + name, text)
-    return text
-
-
-REC = recovery_sql("q_", "cand")
-
-
-@query("h17_injection_recovery", f"""{LC16}, {SIG}, {CAND}, {REC} SELECT target_id, round(period, 7) AS period, round(epoch, 6) AS epoch, duration_hours,
-  phase_offset, period_match, epoch_match, snr_pass, recovered FROM q_rec""")
+@query("h17_injection_recovery")
 def _(spark, folder):
     lc, det = reference(spark, folder)
     out = R.injection_recovery(lc, R.candidate_injections(det), CFG, 10.0)
