@@ -114,7 +114,7 @@ def _(spark, folder):
 
 
 def spectrum(spark, folder):
-    return S.power_spectrum(A.cadence(spark, folder, A.SERIES16), 100.0, 220.0)
+    return S.power_spectrum(A.cadence(spark, folder, A.SERIES16))
 
 
 @query("h11_oscillation_envelope")
@@ -144,5 +144,5 @@ def _(spark, folder):
 
 @query("h32_seismic")
 def _(spark, folder):
-    out = S.seismic(A.cadence(spark, folder, A.SERIES16), A.ephemeris(spark, folder, A.SERIES16), stars(spark, folder), 100.0, 220.0)
+    out = S.seismic(A.cadence(spark, folder, A.SERIES16), A.ephemeris(spark, folder, A.SERIES16), stars(spark, folder))
     return out.select("target_id", "numax_uhz", "dnu_uhz", "n_points", "mass_solar", "radius_solar", "method", F.array_join("reasons", ";").alias("reasons"), "status")

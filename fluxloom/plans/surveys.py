@@ -8,7 +8,6 @@ from fluxloom.operators import controls as R
 from fluxloom.operators import search as B
 from fluxloom.operators import signals as G
 from fluxloom.plans.registry import query
-from fluxloom.plans.searches import BEST, box_sql_renamed, grid_sql
 from fluxloom.sources import adapters as A
 
 LC16 = f"WITH {A.cadence_sql(A.SERIES16)}"
@@ -25,21 +24,13 @@ def _(spark, folder):
     return R.injection_grid(A.cadence(spark, folder, A.SERIES16), R.SensitivityGrid())
 
 
-SIG = f"""{grid_sql('lc', 'target_id', CFG.durations_hours, '0.5e0', '20e0', CFG.n_periods)}, {box_sql_renamed('lc', 'target_id')}, {BEST}"""
-
-
 def reference(spark, folder):
     lc = A.cadence(spark, folder, A.SERIES16)
     found = B.box_search(lc, ["target_id"], CFG.durations_hours, CFG.period_min, CFG.period_max, CFG.n_periods)
     return lc, B.select_duration(found, ["target_id"])
 
 
-CAND = """cand AS (SELECT target_id, period, epoch + f * period AS epoch, duration_hours, depth_ppm, f AS phase_offset
-  FROM best, (VALUES (0.25e0), (0.5e0), (0.75e0)) AS x(f) WHERE status = 'detected' AND n_events >= 2)"""
-
-
-@query("c11_candidate_injections", f"""{LC16}, {SIG}, {CAND} SELECT target_id, round(period, 8) AS period, round(epoch, 7) AS epoch,
-  duration_hours, round(depth_ppm, 3) AS depth_ppm, phase_offset FROM cand""")
+@query("c11_candidate_injections")
 def _(spark, folder):
     out = R.candidate_injections(reference(spark, folder)[1])
     return out.select("target_id", F.round("period", 8).alias("period"), F.round("epoch", 7).alias("epoch"), "duration_hours",

@@ -12,7 +12,6 @@ from fluxloom.operators import controls as R
 from fluxloom.operators import search as B
 from fluxloom.plans.ordered import OVER, detrend_sql
 from fluxloom.plans.searches import BEST, box_sql_renamed, grid_sql
-from fluxloom.plans.surveys import CAND
 from fluxloom.sources import adapters as A
 from tests.conftest import SF
 
@@ -25,6 +24,8 @@ def limits(source, series):
 
 
 SIG = f"""{limits('lc', 'target_id')}, {box_sql_renamed('lc', 'target_id')}, {BEST}"""
+CAND = """cand AS (SELECT target_id, period, epoch + f * period AS epoch, duration_hours, depth_ppm, f AS phase_offset
+  FROM best, (VALUES (0.25e0), (0.5e0), (0.75e0)) AS x(f) WHERE status = 'detected' AND n_events >= 2)"""
 
 
 SCRAMBLES = " UNION ALL ".join(f"""SELECT o.target_id, o.sector, o.t, o.event_id, s.flux, o.flux_err, 'scramble-{seed}' AS control FROM rn0 o JOIN rn0 s
@@ -102,6 +103,10 @@ def compare(df, con, sql, keys):
     return want
 
 
+def test_candidate_injections_equal_sql(detections, duck):
+    compare(R.candidate_injections(detections), duck, f"{LC16}, {SIG}, {CAND} SELECT * FROM cand", ["target_id", "phase_offset"])
+
+
 def test_robustness_equals_sql(cadences, duck):
     compare(R.robustness(cadences, CFG), duck, f"{LC16}, {ROB}, {ROBUST} SELECT * FROM rob", ["target_id"])
 
