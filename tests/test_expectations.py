@@ -1,5 +1,7 @@
 """Small fixtures with known numbers."""
 
+from types import SimpleNamespace
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -179,6 +181,28 @@ def test_box_search_equals_plain_loops(spark, monkeypatch, held):
             assert row.status == "no-detection" and row.n_events == 0
 
 
+@pytest.mark.parametrize("even", [False, True])
+def test_box_sums_of_a_long_series_do_not_visit_its_rows(monkeypatch, even):
+    """Running sums at the bin borders give what the rows give, also for equal times and rows on a border."""
+    rng = np.random.default_rng(8)
+    t = np.sort(np.round(rng.uniform(0, 12, 5000) * 48) / 48 if even else rng.uniform(0, 12, 5000)) + 3
+    flux, w = 1 + rng.normal(0, 0.02, 5000) - 0.01 * (np.abs((t - 4) % 2.7) < 0.2), 1 / rng.choice([4e-3, 5e-3, 6e-3], 5000) ** 2
+    g = SimpleNamespace(first=0, last=400, period_min=0.2, step=0.012, duration_hours=5.0, t_start=t[0], w_all=w.sum(), wy_all=(w * flux).sum())
+    plain = search.window_sums
+    monkeypatch.setattr(search, "window_sums", None)
+    got = search.scan(t, flux, w, g)
+    monkeypatch.setattr(search, "window_sums", plain)
+    monkeypatch.setattr(search, "FEWEST_BITS", 1)
+    want = search.scan(t, flux, w, g)
+    assert len(want["trial"]) > 300 and (got["trial"] == want["trial"]).all()
+    for name in want:
+        assert got[name] == pytest.approx(want[name], rel=1e-9), name
+    for i in range(0, len(got["trial"]), 7):
+        phase = (t - got["epoch"][i] + got["period"][i] / 2) % got["period"][i] - got["period"][i] / 2
+        near = t[np.abs(phase) * 24 <= 5.0 / 2]
+        assert search.count_events(t, got["period"][i], got["epoch"][i], 5.0) == len(set(np.rint((near - got["epoch"][i]) / got["period"][i])))
+
+
 def test_box_search_without_a_signal_keeps_a_row(spark):
     t = np.arange(0, 10, 0.05)
     lc = one_target(spark, t, 1 + 1e-4 * np.sin(t), 0.01)
