@@ -8,7 +8,7 @@ express; those two finish in numpy on blocks of bounded size.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -18,12 +18,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fluxloom.operators.spread import attach, blocks, medians, ordered, previous_value, rank_rows, running_sum, time_piece
+from fluxloom.operators.spread import attach, blocks, fan_out, medians, ordered, previous_value, rank_rows, running_sum, time_piece
 from fluxloom.session import cut
 
 GROUP = ("target_id", "sector")
 BLOCK = 4096
 BUDGET = 2_000_000  # window elements held at once by the numpy helpers
+NARROW = 24  # half width from which windows are no longer looked at one by one
 
 
 def median_spacing(df: DataFrame, keys: Sequence[str], name: str = "cadence") -> DataFrame:
@@ -63,13 +64,13 @@ def fill_missing(ranked: DataFrame, keys: Sequence[str], value: str = "flux", na
     x = ranked.withColumn("_p", F.floor(F.col("rn") / BLOCK)).withColumn(
         "_pt", F.when(F.col(value).isNotNull(), F.struct(F.col("rn").alias("r"), F.col(value).alias("v"))))
     ends = x.groupBy(*keys, "_p").agg(F.min("_pt").alias("_first"), F.max("_pt").alias("_last"), F.count("_pt").alias("_c"))
-    along = W.partitionBy(*keys).orderBy("_p")
+    # backwards as well as forwards: a frame that shrinks row by row is read anew for each row
+    along, back = (W.partitionBy(*keys).orderBy(o).rowsBetween(W.unboundedPreceding, -1) for o in (F.col("_p"), F.col("_p").desc()))
     ends = ends.select(
-        *keys, "_p", F.sum("_c").over(W.partitionBy(*keys)).alias(valid), F.last("_last", True).over(along.rowsBetween(W.unboundedPreceding, -1)).alias("_before"),
-        F.first("_first", True).over(along.rowsBetween(1, W.unboundedFollowing)).alias("_after"))
-    here = W.partitionBy(*keys, "_p").orderBy("rn")
-    local = x.withColumn("_lp", F.last("_pt", True).over(here.rowsBetween(W.unboundedPreceding, 0))).withColumn(
-        "_ln", F.first("_pt", True).over(here.rowsBetween(0, W.unboundedFollowing)))
+        *keys, "_p", F.sum("_c").over(W.partitionBy(*keys)).alias(valid), F.last("_last", True).over(along).alias("_before"),
+        F.last("_first", True).over(back).alias("_after"))
+    here, there = (W.partitionBy(*keys, "_p").orderBy(o).rowsBetween(W.unboundedPreceding, 0) for o in (F.col("rn"), F.col("rn").desc()))
+    local = x.withColumn("_lp", F.last("_pt", True).over(here)).withColumn("_ln", F.last("_pt", True).over(there))
     y = local.join(ends, [*keys, "_p"]).withColumn("_a", F.coalesce("_lp", "_before")).withColumn("_b", F.coalesce("_ln", "_after"))
     a, b = F.col("_a"), F.col("_b")
     line = a["v"] + (F.col("rn") - a["r"]) / (b["r"] - a["r"]) * (b["v"] - a["v"])
@@ -79,20 +80,73 @@ def fill_missing(ranked: DataFrame, keys: Sequence[str], value: str = "flux", na
 
 def running_medians(v: np.ndarray, half: int) -> np.ndarray:
     """Median over ``2 half + 1`` samples with repeated edge values."""
-    frames = sliding_window_view(np.pad(v, half, mode="edge"), 2 * half + 1)
-    step = max(1, BUDGET // (2 * half + 1))
-    return np.concatenate([np.median(frames[i:i + step], axis=1) for i in range(0, len(v), step)])
+    padded = np.pad(v, half, mode="edge")
+    if half < NARROW or np.isnan(v).any():
+        frames = sliding_window_view(padded, 2 * half + 1)
+        step = max(1, BUDGET // (2 * half + 1))
+        return np.concatenate([np.median(frames[i:i + step], axis=1) for i in range(0, len(v), step)])
+    # the middle rank of every window, bit by bit: each step sorts the ranks by one more bit, so the cost does not grow with the width
+    order = np.argsort(padded, kind="stable")
+    ranks = np.empty(len(padded), np.int64)
+    ranks[order] = np.arange(len(padded))
+    low = np.arange(len(v))
+    high, wanted, middle = low + 2 * half + 1, np.full(len(v), half), np.zeros(len(v), np.int64)
+    for bit in reversed(range(len(padded).bit_length())):
+        ones = (ranks >> bit & 1).astype(bool)
+        zeros = np.r_[0, np.cumsum(~ones)]
+        a, b = zeros[low], zeros[high]
+        upper = wanted >= b - a
+        middle |= upper.astype(np.int64) << bit
+        wanted = np.where(upper, wanted - (b - a), wanted)
+        low, high = np.where(upper, zeros[-1] + low - a, a), np.where(upper, zeros[-1] + high - b, b)
+        ranks = np.concatenate([ranks[~ones], ranks[ones]])
+    return padded[order[middle]]
+
+
+def block_size(reach: Column) -> Column:
+    """Rows of a block: several times the halo, so that a wide one does not multiply the rows."""
+    return F.greatest(F.lit(BLOCK), reach * 4)
 
 
 def per_block(df: DataFrame, keys: Sequence[str], column: str, fn) -> DataFrame:
-    """Run ``fn(block)`` on every block sorted by ``rn``; keep the block's own rows."""
-    schema = T.StructType([*df.schema.fields, T.StructField(column, T.DoubleType())])
-
-    def work(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values("rn", ignore_index=True)
-        return block.assign(**{column: fn(block)})[block["_own"]]
+    """Run ``fn(block)`` on every block sorted by ``rn``; keep the block's own rows.
 
-    return df.groupBy(*keys, "_block").applyInPandas(work, schema).drop("_block", "_own")
+    A task takes its blocks one after the other from sorted rows, since most runs of a broken series are short.
+    """
+    schema = T.StructType([*df.schema.fields, T.StructField(column, T.DoubleType())])
+    group = [*keys, "_block"]
+
+    def finish(rows: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        ends = np.r_[starts[1:], len(rows)]
+        values = np.concatenate([fn(rows.iloc[a:b]) for a, b in zip(starts, ends)])
+        return rows.assign(**{column: values})[rows["_own"].to_numpy(bool)]
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []  # the block that the next batch may go on with
+        for batch in batches:
+            if not len(batch):
+                continue
+            whole = pd.concat([held[-1].iloc[-1:], batch], ignore_index=True) if held else batch
+            new = np.zeros(len(whole), bool)
+            new[0] = not held
+            for name in group:
+                now, before = whole[name].iloc[1:].reset_index(drop=True), whole[name].iloc[:-1]
+                new[1:] |= ((now != before) & ~(now.isna() & before.isna())).to_numpy(bool)
+            starts = np.flatnonzero(new[1:] if held else new)
+            if held and not len(starts):
+                held.append(batch)
+                continue
+            last = int(starts[-1])
+            ready = pd.concat([*held, batch.iloc[:last]], ignore_index=True)
+            if len(ready):
+                before = sum(map(len, held))
+                firsts = starts[:-1] + before
+                yield finish(ready, np.r_[0, firsts] if held else firsts)
+            held = [batch.iloc[last:]]
+        if held:
+            yield finish(pd.concat(held, ignore_index=True), np.zeros(1, np.int64))
+
+    return fan_out(df, *group).sortWithinPartitions(*group, "rn").mapInPandas(work, schema).drop("_block", "_own")
 
 
 def detrend(df: DataFrame, window_days: float, split_gaps: bool = True, frac: float = 0.5,
@@ -115,7 +169,7 @@ def detrend(df: DataFrame, window_days: float, split_gaps: bool = True, frac: fl
     # numbered runs feed two more passes; written once, the plan stays short
     sized = cut(runs.withColumn("_half", ((width - 1) / 2).cast("int")).drop("cadence"))
     filled = fill_missing(sized, run_keys, "flux", "_filled", "_valid")
-    framed = blocks(filled, F.col("_half"), BLOCK)
+    framed = blocks(filled, F.col("_half"), block_size(F.col("_half")))
     trend = per_block(framed, run_keys, "_trend",
                       lambda b: running_medians(b["_filled"].to_numpy(float), int(b["_half"].iloc[0])))
     level = F.when((F.col("_valid") >= 3) & (F.col("_trend") != 0) & ~F.isnan("_trend"), F.col("_trend")).otherwise(F.lit(1.0))
@@ -146,13 +200,21 @@ def local_quadratic(v: np.ndarray, rn: np.ndarray, n: int, width: int) -> np.nda
     u = np.linspace(-1.0, 1.0, width)
     basis, _ = np.linalg.qr(np.vander(u, 3))
     position = rn - first - start
+    inner = usable & (position == width // 2)
+    for s in np.unique(start[usable & ~inner]):  # the full windows at the ends of the run
+        rows = np.flatnonzero(usable & ~inner & (start == s))
+        out[rows] = basis[position[rows]] @ (basis.T @ v[s:s + width])
+    rows = np.flatnonzero(inner)
+    weights = basis @ basis[width // 2]
+    if width > NARROW and np.isfinite(v).all():
+        size, level = 1 << (len(v) + width).bit_length(), v.mean()  # the weights add up to one
+        moved = np.fft.irfft(np.fft.rfft(v - level, size) * np.conj(np.fft.rfft(weights, size)), size)
+        out[rows] = moved[start[rows]] + level
+        return out
     frames = sliding_window_view(v, width) if len(v) >= width else np.empty((0, width))
-    for p in np.unique(position[usable]):
-        rows = np.flatnonzero(usable & (position == p))
-        weights = basis @ basis[p]
-        step = max(1, BUDGET // width)
-        for i in range(0, len(rows), step):
-            out[rows[i:i + step]] = frames[start[rows[i:i + step]]] @ weights
+    step = max(1, BUDGET // width)
+    for i in range(0, len(rows), step):
+        out[rows[i:i + step]] = frames[start[rows[i:i + step]]] @ weights
     return out
 
 
@@ -167,7 +229,7 @@ def highpass(df: DataFrame, window_days: float = 1.0) -> DataFrame:
     nominal = F.rint(F.lit(float(window_days)) / F.col("cadence")).cast("long")
     odd = lambda c, less: F.when(c % 2 == 0, c - 1 if less else c + 1).otherwise(c)
     sized = ranked.withColumn("_width", F.least(odd(nominal, False), odd(F.col("n"), True)).cast("int")).where(F.col("_width") >= 11)
-    framed = blocks(sized, F.col("_width"), BLOCK)
+    framed = blocks(sized, F.col("_width"), block_size(F.col("_width")))
     fit = per_block(framed, ["target_id", "run"], "_trend", lambda b: local_quadratic(
         b["flux"].to_numpy(float), b["rn"].to_numpy(), int(b["n"].iloc[0]), int(b["_width"].iloc[0])))
     return fit.where(F.col("_trend").isNotNull() & (F.col("_trend") != 0)).withColumn(
