@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fluxloom.functions.fold import floored_mod
-from fluxloom.operators.spread import attach
+from fluxloom.operators.spread import attach, fan_out, row_salt
 
 MAS = 3600.0 * 1000.0
 
@@ -47,7 +47,11 @@ def cone_search(targets: DataFrame, sources: DataFrame, radius_arcsec: float = 6
     n = cells_in_zone(F.col("_zone"), r)
     home = F.floor(F.col("t_ra") / 360.0 * n)
     t = t.withColumn("_cell", F.explode(F.array_distinct(F.array(*[F.pmod(home + d, n) for d in (-1, 0, 1)]))))
-    pairs = attach(s, t, ["_zone", "_cell"], parts=8, spread=["source_id"])
+    # both sides are dealt out by number: the pairs outgrow the rows by whose size adaptive execution would join tasks
+    cell = ["_zone", "_cell", "_salt"]
+    s = fan_out(s.withColumn("_salt", row_salt(s, ["_zone", "_cell"], 8, ["source_id"])), *cell)
+    t = fan_out(t.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(7)))), *cell)
+    pairs = s.join(t, cell).drop("_salt")
     sep = separation_arcsec(F.col("ra"), F.col("dec"), F.col("t_ra"), F.col("t_dec"))
     return pairs.withColumn("separation_arcsec", sep).where(F.col("separation_arcsec") <= radius_arcsec).drop("_zone", "_cell")
 
