@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fluxloom.functions.fold import floored_mod, phase_days
-from fluxloom.operators.robust import percentile_summary, weighted_percentiles
+from fluxloom.operators.robust import LEVELS, percentile_summary, weighted_percentiles
 from fluxloom.operators.spread import attach, fan_out, medians, running_sum
 from fluxloom.session import settle
 
@@ -94,8 +94,8 @@ def linear_ephemeris(times: DataFrame) -> DataFrame:
 
 
 def super_periods(eph: DataFrame, companions: DataFrame) -> DataFrame:
-    """Timing super-period of every declared outer companion for j = 2, 3, 4."""
-    x = companions.join(eph.select("target_id", "period"), "target_id").where(F.col("companion_period") > F.col("period"))
+    """Timing super-period of every declared outer companion for j = 2, 3, 4; a target listed twice counts once."""
+    x = companions.join(eph.groupBy("target_id").agg(F.any_value("period").alias("period")), "target_id").where(F.col("companion_period") > F.col("period"))
     x = x.withColumn("j", F.explode(F.array(*[F.lit(j) for j in (2, 3, 4)])))
     rate = F.abs(F.col("j") / F.col("companion_period") - (F.col("j") - 1) / F.col("period"))
     return x.select("target_id", "companion_period", "j", F.when(rate == 0, F.lit(float("inf"))).otherwise(1.0 / F.when(rate > 0, rate)).alias("super_period"))
@@ -452,21 +452,51 @@ def sed_posterior(grid: DataFrame, stars: DataFrame) -> DataFrame:
     of them with the product of the weights. ``stars`` has ``target_id, parallax_mas, parallax_mas_err, mass_solar``; a star without
     a positive parallax error has no such posterior, one without a mass has no surface gravity.
     """
-    node = F.explode(F.sequence(F.lit(-DISTANCE_NODES), F.lit(DISTANCE_NODES))).alias("_k")
-    known = stars.where((F.col("parallax_mas") > 0) & (F.col("parallax_mas_err") > 0)).select("target_id", "parallax_mas", "parallax_mas_err", "mass_solar", node)
-    moved = F.col("parallax_mas") + F.col("_k") * DISTANCE_STEP * F.col("parallax_mas_err")
-    axis = known.withColumn("_p", moved).where(F.col("_p") > 0).select("target_id", "mass_solar", (1000.0 / F.col("_p")).alias("distance_pc"), (F.col("parallax_mas") / F.col("_p")).alias("_far"),
-                                                                    F.exp(F.pow(F.col("_k") * DISTANCE_STEP, F.lit(2.0)) * -0.5).alias("_pw"))
-    x = attach(grid.select("target_id", "teff", "av", "radius_solar", "weight"), axis, TARGET, spread=["teff", "av"])
-    radius = F.col("radius_solar") * F.col("_far")
-    luminosity = radius * radius * F.pow(F.col("teff") / TEFF_SUN, F.lit(4.0))
-    gravity = F.log10("mass_solar") + LOGG_SUN - F.log10(radius) * 2.0
-    named = (("radius_solar", radius), ("luminosity_solar", luminosity), ("logg_cgs", gravity))
-    values = x.select("target_id", (F.col("weight") * F.col("_pw")).alias("weight"), F.explode(F.array(*[F.struct(F.lit(n).alias("param"), v.alias("value")) for n, v in named])).alias("v")).select("target_id", "weight", "v.*")
-    whole = grid.groupBy("target_id").agg(F.sum("weight").alias("_g"))
-    far = axis.join(whole, "target_id").select("target_id", (F.col("_pw") * F.col("_g")).alias("weight"), F.lit("distance_pc").alias("param"), F.col("distance_pc").alias("value"))
-    merged = values.unionByName(far).groupBy("target_id", "param", "value").agg(F.sum("weight").alias("weight"))
-    return weighted_percentiles(merged, ["target_id", "param"], "value", "weight")
+    known = stars.where((F.col("parallax_mas") > 0) & (F.col("parallax_mas_err") > 0)).select("target_id", "parallax_mas", "parallax_mas_err", "mass_solar")
+    rows = grid.select("target_id", "teff", "radius_solar", "weight")
+    out = fan_out(rows, "target_id").groupBy("target_id").cogroup(fan_out(known, "target_id").groupBy("target_id")).applyInPandas(star_posterior, POSTERIOR)
+    return out.withColumn("plus", F.col("p84") - F.col("median")).withColumn("minus", F.col("median") - F.col("p16"))
+
+
+POSTERIOR = "target_id long, param string, n long, p16 double, median double, p84 double"
+
+
+def star_posterior(nodes: pd.DataFrame, stars: pd.DataFrame) -> pd.DataFrame:
+    """The products of one star's nodes and distances, as many as the two grids fix, in one task."""
+    out = []
+    if len(nodes) and len(stars):
+        star = stars.iloc[0]
+        k = np.arange(-DISTANCE_NODES, DISTANCE_NODES + 1)
+        moved = star["parallax_mas"] + k * DISTANCE_STEP * star["parallax_mas_err"]
+        k, moved = k[moved > 0], moved[moved > 0]
+        share = np.exp((k * DISTANCE_STEP) ** 2 * -0.5)
+        teff, scale, weight = (nodes[c].to_numpy(float) for c in ("teff", "radius_solar", "weight"))
+        radius = np.outer(scale, star["parallax_mas"] / moved)
+        every = np.outer(weight, share).ravel()
+        named = {"radius_solar": (radius, every), "luminosity_solar": (radius * radius * ((teff / TEFF_SUN) ** 4)[:, None], every),
+                 "distance_pc": (1000.0 / moved, share * weight.sum())}
+        if star["mass_solar"] is not None and star["mass_solar"] > 0:
+            named["logg_cgs"] = (np.log10(star["mass_solar"]) + LOGG_SUN - np.log10(radius) * 2.0, every)
+        for name, (value, w) in named.items():
+            value, at = np.unique(value.ravel(), return_inverse=True)
+            w = np.bincount(at, w, len(value))
+            c = np.cumsum(w if w.sum() > 0 else np.ones(len(w)))
+            c /= c[-1]
+            levels = []
+            for level in LEVELS:
+                high = int(np.searchsorted(c, level, side="right"))  # first point above the level
+                if high == len(c) or high == 0:
+                    levels.append(value[min(high, len(c) - 1)])
+                else:
+                    levels.append(value[high - 1] + (level - c[high - 1]) / (c[high] - c[high - 1]) * (value[high] - value[high - 1]))
+            out.append((int(star["target_id"]), name, len(value), *levels))
+    return pd.DataFrame(out, columns=[part.split()[0] for part in POSTERIOR.split(", ")])
+
+
+def distinct_nodes(grid: DataFrame) -> DataFrame:
+    """Complete nodes, of equal ones the first: no other of them can be the nearest."""
+    known = grid.where(F.col("teff_k").isNotNull() & F.col("logg_cgs").isNotNull() & F.col("feh").isNotNull())
+    return known.groupBy("teff_k", "logg_cgs", "feh").agg(F.min("node_id").alias("node_id"))
 
 
 def nearest_atmosphere(stars: DataFrame, grid: DataFrame, steps: Sequence[float] = (250.0, 5000.0), parts: int = 16) -> DataFrame:
@@ -477,7 +507,7 @@ def nearest_atmosphere(stars: DataFrame, grid: DataFrame, steps: Sequence[float]
     the way to that end beats any node outside them. The rest goes on to wider buckets, the last of
     which span the range. Stars are dealt over ``parts`` tasks per bucket.
     """
-    known = grid.where(F.col("teff_k").isNotNull() & F.col("logg_cgs").isNotNull() & F.col("feh").isNotNull())
+    known = settle(distinct_nodes(grid))
     span = known.agg(F.min("teff_k").alias("_min"), F.max("teff_k").alias("_max"))  # one row
     placed = stars.where(F.col("teff_k").isNotNull() & F.col("logg_cgs").isNotNull() & F.col("feh").isNotNull()).select("target_id", "teff_k", "logg_cgs", "feh").distinct()
     left = settle(placed.join(F.broadcast(span)).withColumn("_at", F.greatest(F.least("teff_k", "_max"), F.col("_min"))))
