@@ -14,6 +14,7 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fluxloom.functions.fold import floored_mod, phase_days
@@ -411,7 +412,8 @@ def sed_grid(photometry: DataFrame, stars: DataFrame, teff_step: float = 100.0,
     factor three of one solar radius at the parallax distance.
     """
     x = photometry.where(F.col("band").isin(*BANDS) & F.col("mag").isNotNull() & F.col("err").isNotNull())
-    x = attach(x, stars.where((F.col("parallax_mas") > 0)), TARGET, spread=["band"])
+    # dealt out by number, since a row becomes one per node; a star's nodes then stay in its task
+    x = fan_out(attach(x, stars.where((F.col("parallax_mas") > 0)), TARGET, spread=["band"]), *TARGET)
     n_t, n_a = int(round(4500.0 / teff_step)) - 1, int(round(0.5 / av_step)) - 1
     x = x.withColumn("_i", F.explode(F.sequence(F.lit(1), F.lit(n_t)))).withColumn("_j", F.explode(F.sequence(F.lit(1), F.lit(n_a))))
     x = x.withColumn("teff", F.col("_i") * teff_step + 3500.0).withColumn("av", F.col("_j") * av_step)
@@ -429,8 +431,8 @@ def sed_grid(photometry: DataFrame, stars: DataFrame, teff_step: float = 100.0,
     bump = lambda shift: F.exp(F.pow((F.col("teff") - F.col("teff_prior") - shift) / 150.0, F.lit(2.0)) * -0.5)
     logp = F.col("chi2") * -0.5 + F.ln(bump(0.0) + bump(250.0) + 1e-300) - F.pow(F.col("av") / 0.05, F.lit(2.0)) * 0.5
     s = s.withColumn("logp", logp)
-    top = s.groupBy("target_id").agg(F.max("logp").alias("_top"))
-    return s.join(top, "target_id").withColumn("weight", F.exp(F.col("logp") - F.col("_top"))).select(*node, "n_bands", "radius_solar", "chi2", "weight")
+    top = F.max("logp").over(W.partitionBy("target_id"))  # over the nodes of one star
+    return s.withColumn("weight", F.exp(F.col("logp") - top)).select(*node, "n_bands", "radius_solar", "chi2", "weight")
 
 
 def sed_summary(grid: DataFrame) -> DataFrame:
@@ -454,7 +456,7 @@ def sed_posterior(grid: DataFrame, stars: DataFrame) -> DataFrame:
     """
     known = stars.where((F.col("parallax_mas") > 0) & (F.col("parallax_mas_err") > 0)).select("target_id", "parallax_mas", "parallax_mas_err", "mass_solar")
     rows = grid.select("target_id", "teff", "radius_solar", "weight")
-    out = fan_out(rows, "target_id").groupBy("target_id").cogroup(fan_out(known, "target_id").groupBy("target_id")).applyInPandas(star_posterior, POSTERIOR)
+    out = rows.groupBy("target_id").cogroup(fan_out(known, "target_id").groupBy("target_id")).applyInPandas(star_posterior, POSTERIOR)
     return out.withColumn("plus", F.col("p84") - F.col("median")).withColumn("minus", F.col("median") - F.col("p16"))
 
 

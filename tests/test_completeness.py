@@ -128,3 +128,12 @@ def test_posterior_of_a_star_is_finished_in_one_task(spark):
         want = [np.interp(level, c, x) for level in (0.16, 0.5, 0.84)]
         row = got[i, "radius_solar"]
         assert [row.p16, row.median, row.p84] == pytest.approx(want, rel=1e-9) and row.n == len(x)
+
+
+def test_nodes_of_a_star_are_made_behind_the_exchange(spark):
+    """Photometry is dealt out by number ahead of the nodes, which are neither shuffled nor joined again."""
+    phot = spark.createDataFrame([(1, "G", 10.0, 0.1), (2, "G", 11.0, 0.1)], "target_id long, band string, mag double, err double")
+    stars = spark.createDataFrame([(1, 18.0, 5500.0), (2, 18.0, 5500.0)], "target_id long, parallax_mas double, teff_prior double")
+    plan = M.sed_grid(phot, stars)._jdf.queryExecution().optimizedPlan().toString()
+    first = plan[:plan.index("Generate")]
+    assert plan.count("RepartitionByExpression") == 1 and "RepartitionByExpression" not in first and "Join" not in first
