@@ -91,7 +91,7 @@ def robustness_trials(df: DataFrame, cfg: SurveyConfig) -> DataFrame:
     """Best box per (target, branch, control): all variants go through one search."""
     keys = ["target_id", "branch", "control"]
     rows = both_branches(control_rows(df, cfg), ["target_id", "sector", "control"], cfg)
-    found = search.box_search(rows, keys, cfg.durations_hours, cfg.period_min, cfg.period_max, cfg.n_periods, min_points=cfg.min_points)
+    found = search.box_search(rows, keys, cfg.durations_hours, cfg.period_min, cfg.period_max, cfg.n_periods, min_points=cfg.min_points, shared=["target_id"])
     return search.select_duration(found, keys)
 
 
@@ -116,7 +116,7 @@ def injection_recovery(df: DataFrame, injections: DataFrame, cfg: SurveyConfig,
     rows = both_branches(dimmed.select("target_id", "injection_id", "sector", "t", "flux", "flux_err"),
                          ["target_id", "sector", "injection_id"], cfg)
     keys = ["target_id", "injection_id", "branch"]
-    found = search.box_search(rows, keys, cfg.durations_hours, cfg.period_min, cfg.period_max, cfg.n_periods, min_points=cfg.min_points)
+    found = search.box_search(rows, keys, cfg.durations_hours, cfg.period_min, cfg.period_max, cfg.n_periods, min_points=cfg.min_points, shared=["target_id"])
     best = search.select_duration(found, keys).select(*keys, F.col("period").alias("_p"), F.col("epoch").alias("_e"), "snr", "n_events")
     every = explode_branches(named)
     x = every.join(best, keys, "left")

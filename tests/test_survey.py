@@ -4,9 +4,12 @@ The registered queries search the default range, which SQL does not finish in mi
 """
 
 import re
+from types import SimpleNamespace
 
 import duckdb
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from fluxloom.operators import controls as R
 from fluxloom.operators import search as B
@@ -145,3 +148,47 @@ def test_sensitivity_counts_every_cell(cadences):
         assert cells[None].trials == 4 and cells[None].recovered == cells[10.0].recovered + cells[300000.0].recovered
         assert cells[300000.0].recovered >= cells[10.0].recovered
         assert all(0 <= r.lower <= r.fraction <= r.upper <= 1 for r in cells.values())
+
+
+def test_variants_of_an_observation_are_searched_together(cadences, monkeypatch):
+    """Series with equal times and weights share a scan, those of other weights or times keep their own; none differs from a search alone."""
+    few = cadences.where("target_id < 2").withColumn("variant", F.lit("a"))
+    for name, flux, err, kept in (("b", "2 - flux", "flux_err", "true"), ("c", "flux", "flux_err * (1 + 0.1 * (event_id % 3))", "true"), ("d", "flux", "flux_err", "event_id % 9 > 0")):
+        few = few.unionByName(cadences.where(f"target_id < 2 AND {kept}").withColumns({"flux": F.expr(flux), "flux_err": F.expr(err), "variant": F.lit(name)}))
+    keys = ["target_id", "variant"]
+
+    def found(shared):
+        out = B.box_search(few, keys, CFG.durations_hours, CFG.period_min, CFG.period_max, CFG.n_periods, min_points=20, shared=shared)
+        return {(r.target_id, r.variant, r.duration_hours): r for r in out.collect()}
+
+    alone = found(None)
+    assert len(alone) == 16
+    for held in (B.ROWS_PER_TASK, 150):  # one bundle, several
+        monkeypatch.setattr(B, "ROWS_PER_TASK", held)
+        together = found(["target_id"])
+        assert together.keys() == alone.keys()
+        for key, row in alone.items():
+            assert (together[key].status, together[key].n_events, together[key].n_trials) == (row.status, row.n_events, row.n_trials)
+            assert (together[key].snr, together[key].period) == pytest.approx((row.snr, row.period), rel=1e-9), key
+
+
+def test_a_scan_of_variants_bins_their_rows_once(monkeypatch):
+    rng = np.random.default_rng(3)
+    for n in (80, 3000):  # rows one by one, running sums at the borders
+        t = np.sort(rng.uniform(0, 12, n))
+        w, fluxes = 1 / rng.choice([4e-3, 5e-3], n) ** 2, [1 + rng.normal(0, 0.01, n) for _ in range(4)]
+        g = SimpleNamespace(first=0, last=200, period_min=0.5, step=0.005, duration_hours=4.0, t_start=t[0], w_all=w.sum())
+        sums = [(w * flux).sum() for flux in fluxes]
+        alone = [B.scan(t, flux, w, SimpleNamespace(**vars(g), wy_all=wy)) for flux, wy in zip(fluxes, sums)]
+        floors, plain = [], np.floor
+        binned, columns = [], B.Running.ahead
+        monkeypatch.setattr(B.Running, "ahead", lambda self, *a: binned.append(1) or columns(self, *a))
+        monkeypatch.setattr(np, "floor", lambda x, *a, **k: floors.append(1) or plain(x, *a, **k))
+        B.scan_together(t, fluxes[:1], w, g, sums[:1])
+        once = len(floors), len(binned)
+        together = B.scan_together(t, fluxes, w, g, sums)
+        monkeypatch.undo()
+        assert once != (0, 0) and (len(floors), len(binned)) == (2 * once[0], 2 * once[1])
+        for one, both in zip(alone, together):
+            for name in one:
+                assert (one[name] == both[name]).all()
