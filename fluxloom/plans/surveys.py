@@ -8,6 +8,7 @@ from fluxloom.operators import controls as R
 from fluxloom.operators import search as B
 from fluxloom.operators import signals as G
 from fluxloom.plans.registry import query
+from fluxloom.session import cut
 from fluxloom.sources import adapters as A
 
 LC16 = f"WITH {A.cadence_sql(A.SERIES16)}"
@@ -68,6 +69,7 @@ def _(spark, folder):
 @query("h17_injection_recovery")
 def _(spark, folder):
     lc, det = reference(spark, folder)
+    det = cut(det)  # one row per target, for the injections and what they are held against
     out = R.injection_recovery(lc, R.candidate_injections(det), CFG, 10.0)
     return out.select("target_id", F.round("period", 7).alias("period"), F.round("epoch", 6).alias("epoch"), "duration_hours",
                       "phase_offset", "period_match", "epoch_match", "snr_pass", "recovered")
@@ -82,5 +84,6 @@ def _(spark, folder):
 @query("h19_robustness_verdict")
 def _(spark, folder):
     lc, det = reference(spark, folder)
+    det = cut(det)
     recovery = R.injection_recovery(lc, R.candidate_injections(det), CFG, 10.0)
     return R.robustness_verdict(det, R.robustness(lc, CFG), recovery, 60.0, CFG)
