@@ -245,3 +245,28 @@ def test_queries_of_the_new_operators(spark):
     assert [c for c in queries.QUERIES["op13_url_filter"](spark, SF).columns][:5] == ["page_id", "host", "path", "rule", "verdict"]
     assert queries.QUERIES["op12_spelling_variants"](spark, SF).columns == ["word", "form", "root", "n", "n_near", "form_n"]
     assert queries.QUERIES["op11_phrase_mining"](spark, SF).columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
+
+
+def test_url_models_learn_from_every_judged_url(spark, monkeypatch):
+    """Counts of all URLs that are not held out, long ones too, and a limit from all that are; tables too large keep the frequent contexts."""
+    rng = np.random.default_rng(6)
+    rows = [(f"http://{'ham' if k % 2 else 'spam'}{rng.integers(400)}.example.com/{rng.integers(10**6)}/{'abcd'[k % 4] * 20}", "allow" if k % 2 else "block") for k in range(16000)]
+    rows += [("http://ham.example.com/" + "xyz" * 1500, "allow")]
+    seen = spark.createDataFrame(rows, "url string, verdict string")
+    held = {r.url: r.held for r in seen.selectExpr("url", "pmod(xxhash64(url, 'fold'), 5) = 0 AS held").collect()}
+    model = urls.fit(seen)
+    known, want = [], {}
+    for name, mine in (("allow", model.accepted), ("block", model.rejected)):
+        own = urls.grams([u.encode() for u, v in rows if v == name and not held[u]])[0]
+        kinds, n = np.unique(own, return_counts=True)
+        known.append(kinds)
+        want[name] = urls.Markov(kinds, n.astype(float))
+        assert np.allclose(mine.log(kinds), want[name].log(kinds))
+    exact = urls.UrlFilter(want["allow"], want["block"])
+    good, bad = (exact.scores([u.encode() for u, v in rows if v == name and held[u]]) for name in ("allow", "block"))
+    wrong = lambda cut: np.mean(good < cut) + np.mean(bad >= cut)
+    assert wrong(model.limit) <= wrong(urls.best_limit(good, bad)) + 1e-12 + np.mean(np.abs(np.r_[good, bad] - model.limit) < urls.GRAIN)
+    monkeypatch.setattr(urls, "ENTRIES", 3000)
+    small = urls.fit(seen)
+    assert 0 < sum(len(kinds) for m in (small.accepted, small.rejected) for _, kinds, *_ in m.levels) <= 3000
+    assert np.isfinite(small.accepted.log(known[1])).all() and wrong(small.limit) < 2
