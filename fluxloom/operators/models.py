@@ -315,6 +315,23 @@ def jitter_search(blocks: np.ndarray, norms: np.ndarray, use: Sequence[int]) ->
     return best
 
 
+def anomaly_phasor(mean: np.ndarray, e: float) -> tuple[np.ndarray, np.ndarray]:
+    """Cosine and sine of the true anomaly, by up to eight Newton steps."""
+    x = mean + e * np.sin(mean)
+    for _ in range(8 if e else 0):
+        step = (x - e * np.sin(x) - mean) / (1.0 - e * np.cos(x))
+        x = x - step
+        if len(x) and np.nanmax(np.abs(step), initial=0.0) < 1e-13:
+            break
+    cos = np.cos(x)
+    far = 1.0 - e * cos
+    return (cos - e) / far, math.sqrt(1.0 - e * e) * np.sin(x) / far
+
+
+ORBIT_ROWS = 250_000  # rows of a target from which its sums are formed in parts
+ORBIT_STEP = 4096  # rows looked at together
+
+
 def rv_compare(rv: DataFrame, periods: DataFrame, eccentricities: Sequence[float] = (0.0, 0.2, 0.4, 0.6), phases: int = 16,
                jitters: Sequence[float] = (0.0, 1.0, 3.0)) -> DataFrame:
     """Offsets, trend, activity and jitters with and without a Keplerian at the fixed period.
@@ -327,19 +344,52 @@ def rv_compare(rv: DataFrame, periods: DataFrame, eccentricities: Sequence[float
     """
     activity = F.col("activity").cast("double") if "activity" in rv.columns else F.lit(None).cast("double")
     x = rv.select("target_id", "instrument", "t", "velocity", "sigma", activity.alias("activity"))
-    facts = x.groupBy("target_id").agg(F.avg("t").alias("_mid"), F.avg("activity").alias("_level"), ((F.count("activity") == F.count(F.lit(1))) & (F.max("activity") > F.min("activity"))).alias("_active"))
+    facts = x.groupBy("target_id").agg(F.avg("t").alias("_mid"), F.avg("activity").alias("_level"), F.count(F.lit(1)).alias("_n"), ((F.count("activity") == F.count(F.lit(1))) & (F.max("activity") > F.min("activity"))).alias("_active"))
     x = attach(x, periods.join(facts, "target_id"), TARGET, spread=["t"])
-    x = fan_out(x, "target_id", "instrument", F.floor("t")).withColumn("e", F.explode(F.array(*[F.lit(float(v)) for v in eccentricities])))
-    x = x.withColumn("m0", F.explode(F.array(*[F.lit(TAU * i / phases) for i in range(phases)])))
-    x = x.withColumn("nu", true_anomaly(floored_mod((F.col("t") - F.col("_mid")) / F.col("period") * TAU + F.col("m0"), F.lit(TAU)), F.col("e")))
-    x = x.withColumn("jitter", F.explode(F.array(*[F.lit(float(v)) for v in jitters])))
-    var = F.col("sigma") * F.col("sigma") + F.col("jitter") * F.col("jitter")
-    terms = (F.col("t") - F.col("_mid"), F.cos("nu"), F.sin("nu"), F.when(F.col("_active"), F.col("activity") - F.col("_level")).otherwise(0.0), F.col("velocity"))
-    x = x.select("target_id", "instrument", "e", "m0", "jitter", F.col("_active").cast("int").alias("active"), var.alias("var"), *[c.alias(f"u{i}") for i, c in enumerate(terms)]).withColumn("w", 1.0 / F.col("var"))
+    since = F.col("t") - F.col("_mid")
+    part = F.pmod(F.xxhash64("t", "velocity"), F.ceil(F.col("_n") / ORBIT_ROWS)).cast("int")
+    x = x.select("target_id", "instrument", part.alias("part"), F.col("_active").cast("int").alias("active"), since.alias("since"), floored_mod(since / F.col("period") * TAU, F.lit(TAU)).alias("phase"),
+                 F.when(F.col("_active"), F.col("activity") - F.col("_level")).otherwise(0.0).alias("activity"), F.coalesce(F.col("velocity").cast("double"), F.lit(0.0)).alias("velocity"), F.col("sigma").cast("double").alias("sigma"))
+    kinds = dict(x.dtypes)
     pairs = [(i, j) for i in range(5) for j in range(i, 5)]
-    s = x.groupBy("target_id", "e", "m0", "active", "instrument", "jitter").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("w").alias("s"), F.sum(F.ln(F.col("var") * TAU)).alias("norm"), *[F.sum(F.col("w") * F.col(f"u{i}")).alias(f"s{i}") for i in range(5)],
-        *[F.sum(F.col("w") * F.col(f"u{i}") * F.col(f"u{j}")).alias(f"p{i}{j}") for i, j in pairs])
+    sums = ["s", "norm", *(f"s{i}" for i in range(5)), *(f"p{i}{j}" for i, j in pairs)]
+    nodes = [(float(e), TAU * i / phases) for e in eccentricities for i in range(phases)]
+
+    def collapse(rows: pd.DataFrame) -> pd.DataFrame:
+        """The sums of the rows at every grid point and jitter, as matrix products of a few rows at a time."""
+        total = np.zeros((len(sums), len(nodes), len(jitters)))
+        at = {name: k for k, name in enumerate(sums)}
+        for low in range(0, len(rows), ORBIT_STEP):
+            here = rows.iloc[low:low + ORBIT_STEP]
+            since, phase, act, velocity, sigma = (here[c].to_numpy(float) for c in ("since", "phase", "activity", "velocity", "sigma"))
+            cos, sin = (np.vstack(x) for x in zip(*(anomaly_phasor(np.mod(phase + m0, TAU), e) for e, m0 in nodes)))
+            var = sigma[:, None] ** 2 + np.array(jitters, float) ** 2
+            w = np.nan_to_num(1.0 / var, nan=0.0)
+            total[at["s"]] += w.sum(axis=0)
+            total[at["norm"]] += np.nansum(np.log(var * TAU), axis=0)
+            fixed = {0: since, 3: act, 4: velocity}
+            for i, u in fixed.items():
+                total[at[f"s{i}"]] += u @ w
+                for j, v in fixed.items():
+                    if j >= i:
+                        total[at[f"p{i}{j}"]] += (u * v) @ w
+                for k, c in ((1, cos), (2, sin)):
+                    total[at[f"p{min(i, k)}{max(i, k)}"]] += c @ (u[:, None] * w)
+            for k, c in ((1, cos), (2, sin)):
+                total[at[f"s{k}"]] += c @ w
+            total[at["p11"]] += (cos * cos) @ w
+            total[at["p12"]] += (cos * sin) @ w
+            total[at["p22"]] += (sin * sin) @ w
+        out = pd.DataFrame(total.reshape(len(sums), -1).T, columns=sums)
+        e, m0, jitter = (np.array(x, float) for x in zip(*((*node, float(j)) for node in nodes for j in jitters)))
+        first = rows.iloc[0]
+        return out.assign(target_id=first["target_id"], instrument=first["instrument"], active=first["active"], e=e, m0=m0, jitter=jitter, n=len(rows))[collapsed]
+
+    collapsed = ["target_id", "e", "m0", "active", "instrument", "jitter", "n", *sums]
+    task = ["target_id", "instrument", "part"]
+    fields = f"target_id {kinds['target_id']}, e double, m0 double, active int, instrument {kinds['instrument']}, jitter double, n long, " + ", ".join(f"{c} double" for c in sums)
+    parts = fan_out(x, *task).groupBy(*task).applyInPandas(collapse, fields)
+    s = parts.groupBy("target_id", "e", "m0", "active", "instrument", "jitter").agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in sums])
     left = F.array(*[F.col(f"p{i}{j}") - F.col(f"s{i}") * F.col(f"s{j}") / F.col("s") for i, j in pairs])
     # one row per instrument and jitter of a target's grid point
     grid = s.groupBy("target_id", "e", "m0", "active").agg(F.array_sort(F.collect_list(F.struct("instrument", "jitter", "n", "norm", left.alias("p")))).alias("b"))

@@ -137,3 +137,24 @@ def test_nodes_of_a_star_are_made_behind_the_exchange(spark):
     plan = M.sed_grid(phot, stars)._jdf.queryExecution().optimizedPlan().toString()
     first = plan[:plan.index("Generate")]
     assert plan.count("RepartitionByExpression") == 1 and "RepartitionByExpression" not in first and "Join" not in first
+
+
+def test_velocity_sums_do_not_multiply_rows(spark, monkeypatch):
+    """No row per grid point is made of a row; parts of a target and missing values add up to what the whole gives."""
+    rng = np.random.default_rng(5)
+    n = 400
+    t = np.sort(rng.uniform(0, 30, n))
+    velocity = [None if k % 50 == 7 else float(4 * np.sin(2 * np.pi * t[k] / 3 + 1) + rng.normal(0, 1)) for k in range(n)]
+    rows = [(1, "ab"[k % 2], float(t[k]), velocity[k], 1.0 + k % 3, float(np.cos(k))) for k in range(n)]
+    rv = spark.createDataFrame(rows, "target_id long, instrument string, t double, velocity double, sigma double, activity double")
+    periods = spark.createDataFrame([(1, 3.0)], "target_id long, period double")
+    out = M.rv_compare(rv, periods)
+    assert "explode(array(0.0, 0.2" not in out._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "FlatMapGroupsInPandas" in out._jdf.queryExecution().optimizedPlan().toString()
+    whole = out.first()
+    monkeypatch.setattr(M, "ORBIT_ROWS", 90)
+    monkeypatch.setattr(M, "ORBIT_STEP", 17)
+    parts = M.rv_compare(rv, periods).first()
+    assert whole["n"] == n and whole["aic_keplerian"] < whole["aic_constant"]
+    for name in ("n", "chi2_constant", "chi2_keplerian", "aic_keplerian", "amplitude", "eccentricity", "trend"):
+        assert parts[name] == pytest.approx(whole[name], rel=1e-9), name
