@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from fluxloom.operators.spread import fan_out
+
 # Default event-release bounds (minimum, maximum).
 TCE_BOUNDS = {"snr": (20.0, None), "period": (1.0, 15.0), "depth_ppm": (200.0, 1500.0), "planet_radius": (1.2, 3.5), "stellar_radius": (None, 1.3), "tmag": (None, 12.5)}
 
@@ -130,11 +132,17 @@ def inventory_diff(manifest: DataFrame, files: DataFrame) -> DataFrame:
     return x.withColumn("difference", why).where(F.col("difference").isNotNull()).select("path", "difference")
 
 
+CELL_TASKS = 192  # few enough that the shuffle writes rows as they come instead of sorting them in memory
+
+
 def grid_completeness(grid: DataFrame, trials: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Cells missing from, repeated in or foreign to the reported grid."""
-    g = grid.select(*keys).distinct().withColumn("_g", F.lit(1))
-    t = trials.groupBy(*keys).agg(F.count(F.lit(1)).alias("reported"))
-    x = g.join(t, list(keys), "full").fillna(0, ["reported"])
+    # all rows meet once in many tasks, neither joined nor gathered ahead of the shuffle; a key with a NULL equals none of the other side
+    keys = list(keys)
+    known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    sides = [(grid, F.lit(1), F.lit(0).cast("long")), (trials, F.lit(None).cast("int"), F.lit(1).cast("long"))]
+    rows = [df.select(*keys, mark.alias("_g"), count.alias("reported"), F.when(~known, F.lit(i)).alias("_side")) for i, (df, mark, count) in enumerate(sides)]
+    x = fan_out(rows[0].unionByName(rows[1]), *keys, least=CELL_TASKS).groupBy(*keys, "_side").agg(F.max("_g").alias("_g"), F.sum("reported").alias("reported")).drop("_side")
     why = F.when(F.col("_g").isNull(), "not declared").when(F.col("reported") == 0, "missing").when(F.col("reported") > 1, "repeated")
     return x.withColumn("problem", why).where(F.col("problem").isNotNull()).drop("_g")
 

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fluxloom.operators import records as R
+from fluxloom.operators.spread import fan_out
 from fluxloom.plans.registry import query
 from fluxloom.session import scratch_path
 from fluxloom.sources import adapters as A
@@ -240,7 +241,8 @@ def _(spark, folder):
 SELECT target_id, cell, coalesce(reported, 0) AS reported, CASE WHEN g.target_id IS NULL THEN 'not declared' WHEN reported IS NULL THEN 'missing' ELSE 'repeated' END AS problem FROM (SELECT target_id, cell, 1 AS one FROM g) g FULL JOIN u USING (target_id, cell)
 WHERE g.one IS NULL OR reported IS NULL OR reported > 1""".replace("CASE WHEN g.target_id IS NULL", "CASE WHEN g.one IS NULL"))
 def _(spark, folder):
-    g = A.table(spark, folder, "part").select(F.col("p_partkey").alias("target_id"), F.explode(F.sequence(F.lit(1).cast("long"), F.lit(21).cast("long"))).alias("cell"))
+    parts = fan_out(A.table(spark, folder, "part").select("p_partkey"), "p_partkey", least=R.CELL_TASKS)  # a row becomes 21
+    g = parts.select(F.col("p_partkey").alias("target_id"), F.explode(F.sequence(F.lit(1).cast("long"), F.lit(21).cast("long"))).alias("cell"))
     t = A.table(spark, folder, "lineitem").select(F.col("l_partkey").alias("target_id"), F.expr("CAST(CASE WHEN l_linenumber = 7 THEN 29 ELSE l_linenumber + CASE l_returnflag WHEN 'R' THEN 7 WHEN 'A' THEN 14 ELSE 0 END END AS BIGINT)").alias("cell"))
     return R.grid_completeness(g, t, ["target_id", "cell"])
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from fluxloom.operators import evidence as J
 from fluxloom.operators import models as M
+from fluxloom.operators import records as R
 from fluxloom.operators import spectra as S
 
 
@@ -158,3 +159,14 @@ def test_velocity_sums_do_not_multiply_rows(spark, monkeypatch):
     assert whole["n"] == n and whole["aic_keplerian"] < whole["aic_constant"]
     for name in ("n", "chi2_constant", "chi2_keplerian", "aic_keplerian", "amplitude", "eccentricity", "trend"):
         assert parts[name] == pytest.approx(whole[name], rel=1e-9), name
+
+
+def test_grid_completeness_meets_its_rows_once(spark):
+    """Neither a join nor a gathering ahead of the one shuffle, whose tasks are many; NULL keys of both sides stay apart."""
+    grid = spark.createDataFrame([(1, 1), (1, 2), (1, 3), (1, 3), (2, None)], "target_id long, cell long")
+    trials = spark.createDataFrame([(1, 1), (1, 1), (1, 2), (3, 1), (2, None)], "target_id long, cell long")
+    out = R.grid_completeness(grid, trials, ["target_id", "cell"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1 and f", {R.CELL_TASKS})" in plan
+    rows = sorted(map(tuple, out.select("target_id", "cell", "reported", "problem").collect()), key=str)
+    assert rows == sorted([(1, 1, 2, "repeated"), (1, 3, 0, "missing"), (3, 1, 1, "not declared"), (2, None, 0, "missing"), (2, None, 1, "not declared")], key=str)
