@@ -221,12 +221,13 @@ def local_quadratic(v: np.ndarray, rn: np.ndarray, n: int, width: int) -> np.nda
 def highpass(df: DataFrame, window_days: float = 1.0) -> DataFrame:
     """ppm residual from a local quadratic per contiguous segment; short segments drop out."""
     keys = ["target_id"]
-    spacing = median_spacing(df, keys)
-    x = attach(ordered(df, keys, ["t"], time_piece("t"), previous="previous"), spacing, keys, spread=["t"]).drop("n")
+    numbered = cut(ordered(df, keys, ["t"], time_piece("t"), previous="previous").drop("n"))  # one sort for the cadence and the runs
+    spacing = medians(numbered, keys, F.col("t") - F.col("previous"), "cadence").drop("n")
+    x = attach(numbered, spacing, keys, spread=["t"])
     runs = number_runs(x, keys, F.col("t") - F.col("previous") > F.col("cadence") * 5.0).drop("previous")
     sizes = runs.groupBy("target_id", "run").agg(F.count(F.lit(1)).alias("n"))
     ranked = attach(runs, sizes, ["target_id", "run"], spread=["t"])
-    nominal = F.rint(F.lit(float(window_days)) / F.col("cadence")).cast("long")
+    nominal = F.rint(F.try_divide(F.lit(float(window_days)), F.col("cadence"))).cast("long")  # NULL where most instants are equal: the whole run
     odd = lambda c, less: F.when(c % 2 == 0, c - 1 if less else c + 1).otherwise(c)
     sized = ranked.withColumn("_width", F.least(odd(nominal, False), odd(F.col("n"), True)).cast("int")).where(F.col("_width") >= 11)
     framed = blocks(sized, F.col("_width"), block_size(F.col("_width")))

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from fluxloom.operators import evidence as J
 from fluxloom.operators import models as M
 from fluxloom.operators import records as R
+from fluxloom.operators import series
 from fluxloom.operators import spectra as S
+from fluxloom.session import cut
 
 
 def test_aliases_match_as_written_and_compact(spark):
@@ -170,3 +172,42 @@ def test_grid_completeness_meets_its_rows_once(spark):
     assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1 and f", {R.CELL_TASKS})" in plan
     rows = sorted(map(tuple, out.select("target_id", "cell", "reported", "problem").collect()), key=str)
     assert rows == sorted([(1, 1, 2, "repeated"), (1, 3, 0, "missing"), (3, 1, 1, "not declared"), (2, None, 0, "missing"), (2, None, 1, "not declared")], key=str)
+
+
+def test_whitening_does_not_run_in_lambdas_and_makes_the_spectrum_once(spark):
+    """Neither a lambda per point and neighbour nor a second periodogram; a missing power counts as the largest."""
+    rng = np.random.default_rng(7)
+    lc = spark.createDataFrame([(1, float(t), float(f), 1.0) for t, f in zip(np.sort(rng.uniform(0, 12, 400)), rng.normal(0, 1, 400))], "target_id long, t double, flux double, flux_err double")
+    plan = S.power_spectrum(lc, 100.0, 220.0)._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan and "FlatMapGroupsInPandas" not in plan and "collect_list" not in plan
+    power = rng.exponential(1.0, 400)
+    power[100:190] = np.nan
+    spec = spark.createDataFrame([(1, k, 100.0 + k, None if np.isnan(p) else float(p)) for k, p in enumerate(power)], "target_id long, k int, frequency_uhz double, power double")
+    got = sorted(S.whitened(spec).collect(), key=lambda r: r.k)
+    padded = np.pad(np.where(np.isnan(power), np.inf, power), 50, mode="edge")
+    level = np.array([np.sort(padded[k:k + 101])[50] for k in range(400)])
+    sure = np.flatnonzero(np.isfinite(level) & np.isfinite(power))
+    assert np.allclose([got[k].whitened for k in sure], power[sure] / level[sure], rtol=1e-12)
+    assert all(got[k].whitened is None for k in range(100, 190)) and got[145].envelope is None and got[0].envelope > 0
+
+
+def test_highpass_numbers_its_rows_once(spark):
+    """The cadence comes from the rows that are numbered anyway; a series of equal instants does not end the others."""
+    rows = [(1, 0.05 * k, 1.0 + 0.01 * math.sin(k)) for k in range(60)] + [(2, 0.05 * (k // 20), 1.0 + 0.01 * math.cos(k)) for k in range(60)]
+    out = series.highpass(spark.createDataFrame(rows, "target_id long, t double, flux double"))
+    assert "lag(" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = out.groupBy("target_id").agg(F.count("residual_ppm").alias("n"), F.countDistinct("run").alias("runs")).collect()
+    assert {r.target_id: (r.n, r.runs) for r in got} == {1: (60, 1), 2: (60, 3)}
+
+
+def test_seismic_reads_its_input_and_fits_its_trend_once(spark, monkeypatch):
+    """The rows are settled ahead of the mask and behind the high-pass, which several later steps read."""
+    lc = spark.range(400).selectExpr("id % 2 AS target_id", "id DIV 2 * 0.02D AS t", "1D + sin(id) * 0.001D AS flux", "1D AS flux_err")
+    eph = spark.createDataFrame([(0, 3.1, 0.4, 6.0)], "target_id long, period double, epoch double, duration_hours double")
+    stars = spark.createDataFrame([(0, 5700.0, None, 1.0), (1, 5700.0, 1.0, None)], "target_id long, teff_k double, mass_prior double, radius_prior double")
+    settled = []
+    monkeypatch.setattr(S, "cut", lambda df: settled.append(df._jdf.queryExecution().optimizedPlan().toString()) or cut(df))
+    out = S.seismic(lc, eph, stars, 100.0, 220.0)
+    lines = [line for plan in settled for line in plan.splitlines()]
+    assert sum("Range (" in line for line in lines) == 1 and sum("MapInPandas" in line and "_trend" in line for line in lines) == 1
+    assert sorted(r.target_id for r in out.collect()) == [0, 1]
