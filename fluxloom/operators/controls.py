@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fluxloom.functions.fold import phase_hours
-from fluxloom.operators import search, series, signals
+from fluxloom.operators import search, series, signals, variants
 from fluxloom.operators.folding import exposure
 from fluxloom.operators.spread import attach
 from fluxloom.session import cut
@@ -47,6 +48,7 @@ class SensitivityGrid:
 
 WILSON_Z = 1.959963984540054
 BRANCHES = ("normalized", "running-median")
+BOX = ("period", "epoch", "duration_hours", "depth_ppm")
 
 
 def explode_values(df: DataFrame, name: str, values: Sequence[float]) -> DataFrame:
@@ -87,6 +89,18 @@ def control_rows(df: DataFrame, cfg: SurveyConfig) -> DataFrame:
     return reduce(DataFrame.unionByName, [part.withColumn("control", F.lit(name)) for name, part in parts])
 
 
+def held_branches(label, seen: variants.Observation, flux: np.ndarray, known: np.ndarray, cfg: SurveyConfig) -> Iterator[variants.Series]:
+    """As ``both_branches`` for a variant of an observation that one task holds; a row without a sector has no run."""
+    yield (label, BRANCHES[0]), seen, flux, known
+    yield (label, BRANCHES[1]), seen, seen.flat(flux, known & seen.placed, cfg.detrend_window_days, cfg.gap_fraction), known & seen.placed
+
+
+def long_rows(df: DataFrame, facts: DataFrame) -> DataFrame | None:
+    """Rows of the targets that no task holds, None if there are none."""
+    long = facts.where(F.col("n_points") > variants.ROWS_PER_TASK).select("target_id")
+    return None if long.isEmpty() else attach(df, long, ["target_id"], spread=["t"])
+
+
 def robustness_trials(df: DataFrame, cfg: SurveyConfig) -> DataFrame:
     """Best box per (target, branch, control): all variants go through one search."""
     keys = ["target_id", "branch", "control"]
@@ -111,12 +125,26 @@ def injection_recovery(df: DataFrame, injections: DataFrame, cfg: SurveyConfig,
     """Recovery of each injection in both branches; a missing peak is not a recovery."""
     named = injections.withColumn("injection_id", F.xxhash64("period", "epoch", "duration_hours", "depth_ppm"))
     base = df.select("target_id", "sector", "t", "flux", "flux_err")
-    base = attach(base, exposure(base).select("target_id", "exposure"), ["target_id"], spread=["t"])
-    dimmed = signals.inject(base, named.select("target_id", "injection_id", "period", "epoch", "duration_hours", "depth_ppm"))
-    rows = both_branches(dimmed.select("target_id", "injection_id", "sector", "t", "flux", "flux_err"),
-                         ["target_id", "sector", "injection_id"], cfg)
+    facts = variants.sizes(base)
+    wanted = named.select("target_id", "injection_id", *BOX)
     keys = ["target_id", "injection_id", "branch"]
-    found = search.box_search(rows, keys, cfg.durations_hours, cfg.period_min, cfg.period_max, cfg.n_periods, min_points=cfg.min_points, shared=["target_id"])
+
+    def make(seen: variants.Observation, order: list[dict]) -> Iterator[variants.Series]:
+        spacing = seen.exposure()
+        if spacing is None:
+            return
+        rows = seen if len(order) == 1 else seen.repeated(len(order))  # an injection that is wanted twice has its rows twice
+        dimmed = signals.held_inject(rows.t, rows.flux, spacing, *(order[0][name] for name in BOX))
+        yield from held_branches(order[0]["injection_id"], rows, dimmed, rows.known, cfg)
+
+    found = variants.box_search_variants(base, facts, wanted, "injection_id", make, len(BRANCHES), cfg)
+    if (long := long_rows(base, facts)) is not None:
+        long = attach(long, exposure(long).select("target_id", "exposure"), ["target_id"], spread=["t"])
+        dimmed = signals.inject(long, wanted)
+        rows = both_branches(dimmed.select("target_id", "injection_id", "sector", "t", "flux", "flux_err"),
+                             ["target_id", "sector", "injection_id"], cfg)
+        more = search.box_search(rows, keys, cfg.durations_hours, cfg.period_min, cfg.period_max, cfg.n_periods, min_points=cfg.min_points, shared=["target_id"])
+        found = found.unionByName(more)
     best = search.select_duration(found, keys).select(*keys, F.col("period").alias("_p"), F.col("epoch").alias("_e"), "snr", "n_events")
     every = explode_branches(named)
     x = every.join(best, keys, "left")

@@ -179,6 +179,67 @@ def detrend(df: DataFrame, window_days: float, split_gaps: bool = True, frac: fl
     return out.select(*df.columns, "run")
 
 
+def middle(x: np.ndarray) -> float | None:
+    """Median by the formula of ``quantiles``; None without a value."""
+    x = np.sort(x[~np.isnan(x)])
+    if not len(x):
+        return None
+    h = (len(x) - 1) * 0.5
+    k = int(h)
+    return float(x[k] + (h - k) * (x[min(k + 1, len(x) - 1)] - x[k]))
+
+
+def held_runs(t: np.ndarray, known: np.ndarray, groups: Sequence[tuple[int, int]], window_days: float, frac: float = 0.5) -> list[tuple[int, int, int]]:
+    """First row, end and half window of each contiguous run as in ``detrend``; ``groups`` are slices in time order."""
+    out = []
+    for a, b in groups:
+        cadence = middle(np.diff(t[a:b][known[a:b]]))
+        limit = max(frac * window_days, 0.0 if cadence is None else cadence * 5.0)
+        half = 1
+        if cadence is not None and cadence > 0:
+            samples = max(3, int(np.rint(window_days / cadence)))
+            half = (samples + (samples % 2 == 0) - 1) // 2
+        starts = a + np.r_[0, np.flatnonzero(np.diff(t[a:b]) > limit) + 1]
+        out += [(int(x), int(y), half) for x, y in zip(starts, np.r_[starts[1:], b])]
+    return out
+
+
+def held_fill(flux: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """As ``fill_missing`` for one run with at least one known value."""
+    if known.all():
+        return flux
+    at, row = np.flatnonzero(known), np.arange(len(flux))
+    after = np.searchsorted(at, row)
+    a, b = at[np.maximum(after - 1, 0)], at[np.minimum(after, len(at) - 1)]
+    inside = (after > 0) & (after < len(at))
+    line = flux[a] + (row - a) / np.where(inside, b - a, 1) * (flux[b] - flux[a])
+    return np.where(known, flux, np.where(after == 0, flux[b], np.where(after == len(at), flux[a], line)))
+
+
+def held_levels(flux: np.ndarray, known: np.ndarray, runs: Sequence[tuple[int, int, int]]) -> np.ndarray:
+    """What ``detrend`` divides each row of a series by, whose rows one task holds; the same blocks."""
+    level = np.ones(len(flux))
+    for a, b, half in runs:
+        if known[a:b].sum() < 3:
+            continue
+        filled, size = held_fill(flux[a:b], known[a:b]), max(BLOCK, half * 4)
+        for low in range(0, b - a, size):
+            high, first = min(low + size, b - a), max(low - half, 0)
+            level[a + low:a + high] = running_medians(filled[first:high + half], half)[low - first:high - first]
+    level[(level == 0) | np.isnan(level)] = 1.0
+    return level
+
+
+def held_scramble(key: int, sectors: np.ndarray, groups: Sequence[tuple[int, int]], seed: int) -> np.ndarray:
+    """Row from which ``scramble`` takes the flux of each row; ``groups`` are the sectors' slices in time order."""
+    source = np.arange(len(sectors))
+    for a, b in groups:
+        offset = 1 + (int(key) * 7919 + int(sectors[a]) * 104729 + seed * 1299709) % max(b - a - 1, 1)
+        if b - a > 1:
+            source[a:b] = a + (np.arange(b - a) - offset) % (b - a)
+    return source
+
+
 def scramble(df: DataFrame, seed: int, keys: Sequence[str] = GROUP, shift_key: str = "target_id") -> DataFrame:
     """Rotate the flux of each sector by an offset fixed by (target, sector, seed), never zero."""
     keys = list(keys)
