@@ -102,11 +102,32 @@ def long_rows(df: DataFrame, facts: DataFrame) -> DataFrame | None:
 
 
 def robustness_trials(df: DataFrame, cfg: SurveyConfig) -> DataFrame:
-    """Best box per (target, branch, control): all variants go through one search."""
+    """Best box per (target, branch, control): all variants of an observation go through one search."""
     keys = ["target_id", "branch", "control"]
-    rows = both_branches(control_rows(df, cfg), ["target_id", "sector", "control"], cfg)
-    found = search.box_search(rows, keys, cfg.durations_hours, cfg.period_min, cfg.period_max, cfg.n_periods, min_points=cfg.min_points, shared=["target_id"])
-    return search.select_duration(found, keys)
+    base = df.select("target_id", "sector", "t", "flux", "flux_err")
+    facts = variants.sizes(base)
+    seeds = {f"scramble-{seed}": seed for seed in cfg.scramble_seeds}
+    wanted = facts.select("target_id", F.explode(F.array(*[F.lit(name) for name in ("signal", "inverted", *seeds)])).alias("control"))
+
+    def make(seen: variants.Observation, order: list[dict]) -> Iterator[variants.Series]:
+        name = order[0]["control"]
+        flux, known = seen.flux, seen.known
+        if name == "inverted":
+            flux = 2.0 - flux
+        elif name in seeds:
+            source = series.held_scramble(seen.key, seen.sector, seen.groups, seeds[name])
+            flux, known = flux[source], known[source] & seen.placed
+        yield from held_branches(name, seen, flux, known, cfg)
+
+    found = variants.box_search_variants(base, facts, wanted, "control", make, len(BRANCHES), cfg)
+    if (long := long_rows(base, facts)) is not None:
+        rows = both_branches(control_rows(long, cfg), ["target_id", "sector", "control"], cfg)
+        more = search.box_search(rows, keys, cfg.durations_hours, cfg.period_min, cfg.period_max, cfg.n_periods, min_points=cfg.min_points, shared=["target_id"])
+        found = found.unionByName(more)
+    # rows of no target form a series in which nothing is searched
+    blind = search.series_facts(base.where(F.col("target_id").isNull()), ["target_id"], cfg.min_points)
+    blind = blind.select("target_id", F.lit(BRANCHES[0]).alias("branch"), F.explode(F.array(F.lit("signal"), F.lit("inverted"))).alias("control"), F.lit(0).alias("n_events"))
+    return search.select_duration(found.unionByName(blind, allowMissingColumns=True), keys)
 
 
 def robustness(df: DataFrame, cfg: SurveyConfig) -> DataFrame:

@@ -18,7 +18,7 @@ def survey(spark):
     rng = np.random.default_rng(8)
     rows = []
     for target in (3, 4):
-        t = np.sort(np.round(rng.uniform(0, 20, 500), 3 if target == 3 else 1))
+        t = np.sort(np.round(rng.uniform(0, 20, 500), 12 if target == 3 else 1))
         flux = 1 + rng.normal(0, 4e-3, 500) - 0.03 * (np.abs((t - 1) % 2.7) < 0.2)
         flux[10] = 0.0
         for k, (x, y) in enumerate(zip(t, flux)):
@@ -74,3 +74,21 @@ def test_parts_and_slices_of_trials_give_the_same_peaks(survey, monkeypatch):
     monkeypatch.setattr(V, "PART_WORK", 50_000)
     same(R.injection_recovery(survey, wanted, CFG, 8.0).toPandas(), whole, ["target_id", "depth_ppm", "phase_offset"])
     assert sent[1].agg(F.max("slices")).first()[0] > 1
+
+
+def test_controls_made_in_tasks_equal_rows_of_their_own(survey, monkeypatch):
+    keys = ["target_id", "branch", "control"]
+    columns = [*keys, "duration_hours", "n_trials", "period", "epoch", "depth_ppm", "depth_err_ppm", "snr", "n_events", "status"]
+    # the order of several rows at an instant is open, for scrambles and running medians
+    trials = lambda: R.robustness_trials(survey, CFG).where("target_id = 3 OR target_id = 4 AND branch = 'normalized' AND control NOT LIKE 'scramble%'")
+    here, rows = both_ways(monkeypatch, lambda: trials().select(columns).toPandas())
+    assert len(here) == 2 * 5 + 2 and here["snr"].nunique() > 8
+    same(here, rows, keys)
+
+
+def test_rows_of_no_target_are_reported_and_rows_of_no_time_left_out(spark, survey):
+    row = R.robustness(survey.where("target_id IS NULL"), CFG).first()
+    assert (row.target_id, row.plain_snr, row.plain_n_events, row.flat_n_events, row.max_control_snr, row.n_controls) == (None, None, 0, None, None, 0)
+    few = survey.where("target_id = 3")
+    timeless = few.unionByName(few.limit(20).withColumns({"t": F.lit(None).cast("double"), "sector": F.lit(None).cast("int")}))
+    same(*(R.robustness(x, CFG).toPandas() for x in (timeless, few)), ["target_id"])
